@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more; what was made of them has been written."""
+    from pyarrow import fs
+
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            try:
+                store, at = fs.FileSystem.from_uri(path)
+            except (ValueError, OSError, pa.ArrowInvalid):  # a store that only Spark reads keeps them until the folder is cleared
+                continue
+            store.delete_dir(at)
+
+
 def small_keys(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     """``keys`` with a broadcast hint if it is counted to hold at most ``limit`` rows; otherwise as it is, for a shuffled join."""
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
@@ -84,8 +98,6 @@ BYTE_POWERS, WORD_POWERS = Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string or binary array back to back, and the offset of each value; nulls are empty."""
-    import pyarrow as pa
-
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landspark.llm import ann, exact_dedup, html_text, mixing, packing, pii, quality, substrings, warc
+from landspark.llm import ann, exact_dedup, html_text, jaccard, mixing, packing, pii, quality, substrings, warc
 from landspark.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_packing": op2_packing,
+    "op3_jaccard": op3_jaccard,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality": op5_quality,
     "op6_ann": op6_ann,
