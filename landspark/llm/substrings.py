@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landspark.llm.common import WORD_POWERS, groups_of, materialise, mix, small_keys, text_buffer, word_hashes
+from landspark.llm.common import WORD_POWERS, discard, groups_of, materialise, mix, small_keys, text_buffer, word_hashes
 
 WINDOW = 35
 U = np.uint64
@@ -196,19 +196,29 @@ def repeated_intervals(base: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = materialise(base.select("_k", "_text").mapInArrow(_anchors(window), "_k long, name long, n int"), "anchors")
     shared = anchors.groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name")
     hits = materialise(anchors.join(shared, "name").groupBy("_k").agg(F.collect_list("name").alias("names")), "hits")
+    discard(anchors)
     del anchors, shared
     some = base.join(small_keys(hits.select("_k")), "_k", "left_semi")
     runs = materialise(some.join(hits, "_k").select("_k", "_text", "names").mapInArrow(_runs(window), RUNS), "runs")
+    discard(hits)
+    del hits, some
     groups = materialise(runs.groupBy("name", "u", "c").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("_k"), F.min("s").alias("s"), F.first("windows").alias("windows")), "groups")
     whole = runs.select("_k", "s", "c", "name", "u").join(groups.filter("n > 1").select("name", "u", "c"), ["name", "u", "c"])
-    whole = whole.select("_k", "s", (F.col("s") + F.col("c") - 1 + window).alias("e"))
+    whole = materialise(whole.select("_k", F.struct("s", (F.col("s") + F.col("c") - 1 + window).alias("e")).alias("span")).groupBy("_k").agg(F.collect_list("span").alias("spans")), "whole")
+    discard(runs)
+    del runs
     # anchors with a run that occurs once: each distinct run gives its windows, with its number of occurrences
     open_names = groups.filter("n = 1").select("name").distinct()
     windows = groups.join(open_names, "name", "left_semi").select("name", "n", "_k", "s", F.posexplode("windows").alias("at", "w"))
     windows = materialise(windows.select("name", "w", "n", "_k", (F.col("s") + F.col("at")).alias("s")), "windows")
+    discard(groups)
+    del groups, open_names
     again = windows.groupBy("name", "w").agg(F.sum("n").alias("t")).filter("t > 1").select("name", "w")
-    single = windows.filter("n = 1").join(again, ["name", "w"]).select("_k", "s", (F.col("s") + window).alias("e"))
-    return whole.unionByName(single).groupBy("_k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    single = windows.filter("n = 1").join(again, ["name", "w"]).select("_k", F.struct("s", (F.col("s") + window).alias("e")).alias("span"))
+    single = single.groupBy("_k").agg(F.collect_list("span").alias("spans"))
+    spans = materialise(whole.unionByName(single).groupBy("_k").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    discard(whole, windows)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,7 +230,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     no rows; other columns are not read.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("_text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k"))
-    spans = materialise(repeated_intervals(base, window), "spans")
+    spans = repeated_intervals(base, window)
     keys = spans.select("_k")
     checked = small_keys(keys)
     columns = ("doc_id", "_text", "spans")
