@@ -21,38 +21,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landspark.llm.common import materialise
+
 WINDOW = 2048
 END_ID = 1
 #: Documents that one packing task takes, about.
 SHARD = 6144
 #: Distinct lengths, the most frequent ones, whose combinations of three are enumerated (of two: all lengths).
 TRIPLE_LENGTHS = 96
-#: Words whose ids a worker remembers at most; the memory starts anew beyond it.
-WORDS_KEPT = 400_000
+#: Words as they stand in texts, and their letters alone, whose ids a worker remembers at most; later ones are encoded anew.
+WORDS_KEPT, CORES_KEPT = 400_000, 400_000
+#: What may follow a word's letters; with nothing else behind the letters it is one piece of its own for the tokenizer.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit words, with the ids of each white-space separated word remembered.
+    """Token ids of whole texts as little-endian 32-bit words, with the ids of white-space separated words remembered.
 
-    The tokenizer drops white space and never merges across it, so the ids of a text are those of its words in order.
+    The tokenizer drops white space and never merges across it, so the ids of a text are those of its words in order; and
+    letters followed by punctuation are two pieces.  Words of letters are encoded many at a time: each is one piece, so
+    the tokens that end a piece tell the words apart.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), Remembered()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            # a letter that lower case takes apart would make one word two pieces
+            out += [x.tobytes() for x in np.split(ids, cut[:-1])] if len(cut) == len(part) and cut[-1] == len(ids) else self._each(part)
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        known, cores = self.known, self.known.cores
         split = [t.split() for t in texts]
-        new = list(set(chain.from_iterable(split)).difference(self.known))
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known, new = {}, list(set(chain.from_iterable(split)))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(found.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        found = [list(map(known.__getitem__, words)) for words in split]
+        if known.pending:
+            other, late, missing = [], [], {}
+            for raw, (core, tail) in known.pending.items():
+                if core is None:
+                    other.append(raw)
+                else:
+                    late.append((raw, core, tail))
+                    missing[core] = missing[tail] = None
+            missing = [c for c in missing if c and c not in cores]
+            letters, rest = [c for c in missing if c.isalpha()], [c for c in missing if not c.isalpha()]
+            fresh = dict(zip(letters + rest, self._letters(letters) + self._each(rest), strict=True)) | {"": b""}
+            get = lambda c: fresh[c] if c in fresh else cores[c]
+            done = {raw: get(core) + get(tail) for raw, core, tail in late}
+            done.update(zip(other, self._each([w.decode("utf-8", "replace") for w in other]), strict=True))
+            for words, ids in zip(split, found, strict=True):
+                at = -1
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at + 1)
+                    ids[at] = done[words[at]]
+            if len(cores) < CORES_KEPT:
+                cores.update(fresh)
+            if len(known) < WORDS_KEPT:
+                known.update(done)
+            known.pending = {}
+        return list(map(b"".join, found))
+
+
+class Remembered(dict):
+    """Ids by word.  A word that isn't there is put together from its letters and what follows them, or noted as pending."""
+
+    def __init__(self):
+        super().__init__()
+        self.cores: dict[str, bytes] = {}
+        self.pending: dict[bytes, tuple] = {}
+
+    def __missing__(self, raw: bytes) -> bytes | None:
+        word = raw.decode("utf-8", "replace")
+        core = word.rstrip(TAIL)
+        if not core.isalpha():
+            self.pending[raw] = None, None
+            return None
+        tail = word[len(core) :]
+        core = core.lower() if core.isascii() else core
+        ids, more = self.cores.get(core), self.cores.get(tail) if tail else b""
+        if ids is None or more is None:
+            self.pending[raw] = core, tail
+            return None
+        ids = ids + more if more else ids
+        if len(self) < WORDS_KEPT:
+            self[raw] = ids
+        return ids
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: what it remembers serves all of the worker's tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -62,13 +138,13 @@ def _pieces(path: str, window: int):
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        words = encoder(path)
         for b in batches:
             ids, texts = b.column(0), b.column(1)
-            for at in range(0, b.num_rows, 256):
-                part = [t or b"" for t in texts.slice(at, 256).to_pylist()]
+            for at in range(0, b.num_rows, 512):
+                part = [t or b"" for t in texts.slice(at, 512).to_pylist()]
                 doc, start, length, crc, total = [], [], [], [], []
-                for i, found in zip(ids.slice(at, 256).to_pylist(), encoder.encode(part), strict=True):
+                for i, found in zip(ids.slice(at, 512).to_pylist(), words.encode(part), strict=True):
                     found += end
                     n = len(found) // 4
                     for k in range(0, n, window):
@@ -168,14 +244,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard:
     doc_id and start and lie in different places.  An empty table gives no rows; other columns are not read.
 
     A sequence is padded to the window unless its length is a power of two.  A third of the documents may have one
-    length: shards are dealt by a hash of (id, start, crc) and a random-free row salt, never by length.
+    length: shards are dealt by a hash of the id and the ids' crc, never by length.
     """
     n = docs.count()
     shards = max(1, -(-n // shard))
     cut = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_pieces(tokenizer, window), PIECES)
     cut = cut.withColumn("_shard", F.when(F.col("length") == window, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(shards))).cast("long"))
-    from landspark.llm.common import materialise
-
     cut = materialise(cut, "pieces")
     # a whole window needs no partner: its sequence is named by its place in the table of pieces
     full = cut.filter("_shard = -1").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
