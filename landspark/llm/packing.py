@@ -11,6 +11,7 @@ that still holds them.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -30,7 +31,7 @@ SHARD = 6144
 #: Distinct lengths, the most frequent ones, whose combinations of three are enumerated (of two: all lengths).
 TRIPLE_LENGTHS = 96
 #: Words as they stand in texts, and their letters alone, whose ids a worker remembers at most; later ones are encoded anew.
-WORDS_KEPT, CORES_KEPT = 400_000, 400_000
+WORDS_KEPT, CORES_KEPT = 250_000, 300_000
 #: What may follow a word's letters; with nothing else behind the letters it is one piece of its own for the tokenizer.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -44,6 +45,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; a pool of threads would hold memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), Remembered()
