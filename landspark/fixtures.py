@@ -84,8 +84,26 @@ SELECT listing_id, parcel_id, price_zl, concat('Komornik Km ', cast(listing_id %
 FROM ({LISTINGS}) l
 """
 
-SQL = {"fx_parcels": PARCELS, "fx_zones": ZONES, "fx_zones_adjacent": ADJACENT, "fx_listings": LISTINGS, "fx_signals": SIGNALS, "fx_retry": RETRY, "fx_notices": NOTICES}
-BASE = {"fx_parcels": "orders", "fx_zones": "customer", "fx_zones_adjacent": "orders", "fx_listings": "lineitem", "fx_signals": "events", "fx_retry": "events", "fx_notices": "lineitem"}
+LEADS = f"""
+SELECT o_orderkey AS lead_id, o_orderkey // 2 AS parcel_id, {gmina('o_custkey', 'o_custkey')} AS teryt_gmina, {pick('o_orderkey % 3', 'current_buildable', 'future_buildable', 'current_buildable')} AS strategy_type,
+  cast(cast(40 + o_orderkey * 7 % 61 AS decimal(10,2)) / 100 AS decimal(3,2)) AS confidence_score,
+  CASE WHEN o_orderkey % 3 = 1 THEN {pick('o_custkey % 4', 'formal', 'supported', 'speculative', None)} END AS confidence_band,
+  {pick('o_custkey % 5', 'new', 'reviewed', 'shortlisted', 'rejected', 'new')} AS status,
+  CASE WHEN o_orderkey % 11 > 0 THEN cast(cast(o_orderkey * 37 % 10001 AS decimal(12,2)) / 100 AS decimal(5,2)) END AS max_coverage_pct,
+  CASE WHEN o_orderkey % 13 > 0 THEN cast(o_custkey * 13 % 6000 AS decimal(12,2)) END AS max_buildable_area_m2,
+  CASE WHEN o_orderkey % 17 > 0 THEN {pick('o_orderkey % 6', 'MN', 'MW/U', 'U', 'ZL', 'MNU', 'ML')} END AS dominant_przeznaczenie,
+  CASE WHEN o_orderkey % 3 = 1 THEN {pick('o_custkey % 3', 'pog_zone: residential', 'planning_resolution: service', 'studium_zone: mixed_residential')} END AS dominant_future_signal,
+  CASE WHEN o_orderkey % 7 > 0 THEN cast(100 + o_orderkey * 7919 % 400000 AS decimal(14,2)) END AS price_zl,
+  cast(200 + o_custkey % 3000 AS decimal(12,2)) AS area_m2,
+  CASE WHEN o_orderkey % 7 > 0 THEN cast(cast((100 + o_orderkey * 7919 % 400000) * 100 // (200 + o_custkey % 3000) AS decimal(14,2)) / 100 AS decimal(12,2)) END AS price_per_m2_zl,
+  CASE WHEN o_orderkey % 3 = 1 THEN cast(o_custkey * 11 % 101 AS decimal(6,2)) END AS overall_score,
+  CASE WHEN o_orderkey % 3 = 1 THEN cast(o_custkey * 11 % 81 AS decimal(6,2)) END AS future_signal_score,
+  CASE WHEN o_orderkey % 3 = 1 THEN cast(o_custkey % 3 * 10 AS decimal(5,2)) END AS cheapness_score, o_orderdate AS created_at
+FROM orders
+"""
+
+SQL = {"fx_leads": LEADS, "fx_parcels": PARCELS, "fx_zones": ZONES, "fx_zones_adjacent": ADJACENT, "fx_listings": LISTINGS, "fx_signals": SIGNALS, "fx_retry": RETRY, "fx_notices": NOTICES}
+BASE = {"fx_leads": "orders", "fx_parcels": "orders", "fx_zones": "customer", "fx_zones_adjacent": "orders", "fx_listings": "lineitem", "fx_signals": "events", "fx_retry": "events", "fx_notices": "lineitem"}
 
 #: Vertices of a ring, clockwise and not closed, for the three shapes.
 RECTANGLE = ("x0, y0", "x0, y0 + h", "x0 + w, y0 + h", "x0 + w, y0")
