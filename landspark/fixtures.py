@@ -60,7 +60,7 @@ SELECT event_id AS signal_id, {gmina('user_id', 'user_id')} AS teryt_gmina,
   CASE WHEN event_id % 5 = 0 THEN event_id // 5 END AS parcel_id,
   {pick('event_id % 6', 'pog_zone', 'pog_ouz', 'studium_zone', 'planning_resolution', 'mpzp_project', 'planning_resolution')} AS signal_kind,
   {pick('event_id % 4', 'formal_binding', 'formal_directional', 'formal_preparatory', 'heuristic')} AS signal_status,
-  {pick('event_id % 12', 'residential', 'mixed_residential', 'service', 'forest', 'water', 'agricultural', 'unknown', None, 'residential', 'industrial', 'road', 'green')} AS designation_normalized,
+  {pick('event_id % 12', 'residential', 'mixed_residential', 'service', 'residential', 'mixed_residential', 'forest', 'agricultural', 'unknown', None, 'service', 'industrial', 'residential')} AS designation_normalized,
   CASE WHEN event_id % 7 > 0 THEN concat('https://plan.test/', cast(event_id % 7 AS varchar(20)), '/', cast(user_id % 50 AS varchar(20))) END AS source_url,
   CASE WHEN event_id % 3 > 0 THEN concat('plan ', cast(event_id % 11 AS varchar(20))) END AS plan_name,
   {pick('event_id % 3', 'html', 'gison', 'pdf')} AS source_type, ts AS created_at
