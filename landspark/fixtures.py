@@ -102,8 +102,24 @@ SELECT o_orderkey AS lead_id, o_orderkey // 2 AS parcel_id, {gmina('o_custkey',
 FROM orders
 """
 
-SQL = {"fx_leads": LEADS, "fx_parcels": PARCELS, "fx_zones": ZONES, "fx_zones_adjacent": ADJACENT, "fx_listings": LISTINGS, "fx_signals": SIGNALS, "fx_retry": RETRY, "fx_notices": NOTICES}
-BASE = {"fx_leads": "orders", "fx_parcels": "orders", "fx_zones": "customer", "fx_zones_adjacent": "orders", "fx_listings": "lineitem", "fx_signals": "events", "fx_retry": "events", "fx_notices": "lineitem"}
+CADASTRE = f"""
+SELECT concat({gmina('o_custkey', 'o_custkey')}, '.', lpad(cast(o_orderkey % 30 + 1 AS varchar(20)), 4, '0'), '.', cast(o_orderkey % 211 + 1 AS varchar(20))) AS cad_id,
+  {pick('o_custkey % 3', '12', '18', '24')} AS woj, concat('Obręb-', {pick('o_orderkey % 7', 'Łąki', 'Górny', 'Dolny', 'Śródmieście', 'Zachód', 'Wschód', 'Nowy')}, ' ', cast(o_orderkey % 41 AS varchar(20))) AS precinct_name,
+  cast(o_orderkey % 211 + 1 AS varchar(20)) AS number, cast(200 + o_orderkey % 1500 AS decimal(12,2)) AS area_m2, o_orderkey AS k
+FROM orders
+"""
+
+UNRESOLVED = f"""
+SELECT o_orderkey AS listing_id, CASE WHEN o_orderkey % 4 = 0 THEN concat({gmina('o_custkey', 'o_custkey')}, lpad(cast(o_orderkey % 30 + 1 AS varchar(20)), 2, '0'))
+    WHEN o_orderkey % 4 < 3 THEN concat('OBRĘB ', {pick('o_orderkey % 7', 'łąki', 'górny', 'dolny', 'śródmieście', 'zachód', 'wschód', 'nowy')}, '  ', cast(o_orderkey % 41 AS varchar(20))) END AS raw_obreb,
+  CASE WHEN o_orderkey % 9 > 0 THEN cast(o_orderkey % 211 + 1 AS varchar(20)) END AS raw_numer,
+  CASE WHEN o_orderkey % 5 > 0 THEN {pick('o_custkey % 3', 'małopolskie', 'podkarpackie', 'śląskie')} END AS raw_woj,
+  CASE WHEN o_orderkey % 6 > 0 THEN cast(210 + o_orderkey % 1500 AS decimal(12,2)) END AS area_m2
+FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0
+"""
+
+SQL = {"fx_cadastre": CADASTRE, "fx_unresolved": UNRESOLVED, "fx_leads": LEADS, "fx_parcels": PARCELS, "fx_zones": ZONES, "fx_zones_adjacent": ADJACENT, "fx_listings": LISTINGS, "fx_signals": SIGNALS, "fx_retry": RETRY, "fx_notices": NOTICES}
+BASE = {"fx_cadastre": "orders", "fx_unresolved": "orders", "fx_leads": "orders", "fx_parcels": "orders", "fx_zones": "customer", "fx_zones_adjacent": "orders", "fx_listings": "lineitem", "fx_signals": "events", "fx_retry": "events", "fx_notices": "lineitem"}
 
 #: Vertices of a ring, clockwise and not closed, for the three shapes.
 RECTANGLE = ("x0, y0", "x0, y0 + h", "x0 + w, y0 + h", "x0 + w, y0")
