@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from landspark.fixtures import derived, duck, duck_edges
@@ -142,3 +143,48 @@ def e6_extend_pick(spark, sf_dir):
     rows = derived(spark, sf_dir, "fx_leads").select("lead_id", "overall_score", "confidence_score")
     picked = rows.filter("overall_score > 99").orderBy("lead_id").limit(30)
     return lead_ops.extend_pick(picked, rows, "lead_id", [F.desc("confidence_score"), F.asc("lead_id")], 60).select("lead_id")
+
+
+CENTROID = f"""c AS (SELECT parcel_id, 500000 + sum(((x1-500000)+(x2-500000)) * ((x2-500000)*(y1-300000) - (x1-500000)*(y2-300000)) / 6) / {AREA} AS cx,
+  300000 + sum(((y1-300000)+(y2-300000)) * ((x2-500000)*(y1-300000) - (x1-500000)*(y2-300000)) / 6) / {AREA} AS cy FROM e GROUP BY parcel_id)"""
+
+
+@query(
+    "c5_plan_extents",
+    f"""WITH {duck('fx_parcels', 'fx_zones')}, {duck_edges('e', 'fx_parcels', 'parcel_id')}, {CENTROID}, pp AS (SELECT * FROM c JOIN fx_parcels USING (parcel_id)),
+b AS (SELECT zone_id, teryt_gmina, x0 - 3000 AS minx, x0 + w + 3000 AS maxx, y0 - 3000 AS miny, y0 + h + 3000 AS maxy FROM fx_zones)
+SELECT b.teryt_gmina, zone_id, coalesce(count_if(cx BETWEEN minx AND maxx AND cy BETWEEN miny AND maxy), 0) AS n_hits, coalesce(count_if(cy BETWEEN minx AND maxx AND cx BETWEEN miny AND maxy), 0) AS n_swapped_hits, FALSE AS bbox_axes_suspect FROM b JOIN pp USING (teryt_gmina) GROUP BY b.teryt_gmina, zone_id""",
+)
+def c5_plan_extents(spark, sf_dir):
+    """Parcels whose interior point lies in a plan's extent, grown by 3 km."""
+    from landspark.operators.spatial import match_plan_extents
+
+    grown = F.transform("geom", lambda a: F.transform(a, lambda r: F.transform(r, lambda v: F.struct((F.when(v["x"] == F.col("x0"), v["x"] - 3000).when(v["x"] == F.col("x0") + F.col("w"), v["x"] + 3000).otherwise(v["x"])).alias("x"), (F.when(v["y"] == F.col("y0"), v["y"] - 3000).when(v["y"] == F.col("y0") + F.col("h"), v["y"] + 3000).otherwise(v["y"])).alias("y")))))
+    return match_plan_extents(derived(spark, sf_dir, "fx_parcels"), derived(spark, sf_dir, "fx_zones").withColumn("geom", grown))
+
+
+@query(
+    "d25_cluster_summary",
+    f"WITH {duck('fx_parcels', 'fx_listings', 'fx_leads')}, s AS (SELECT * FROM fx_parcels WHERE substr(teryt_gmina, 1, 4) IN ('1203', '1806', '2405')) SELECT s.teryt_gmina, count(DISTINCT s.parcel_id) AS parcels, count(DISTINCT l.listing_id) AS listings, count(DISTINCT CASE WHEN l.source_url LIKE '%budowlane%' THEN l.listing_id END) AS building_listings, count(DISTINCT d.lead_id) AS leads FROM s LEFT JOIN fx_listings l USING (parcel_id) LEFT JOIN fx_leads d ON d.parcel_id = s.parcel_id GROUP BY s.teryt_gmina",
+)
+def d25_cluster_summary(spark, sf_dir):
+    """Parcels, linked listings and leads of a cluster of counties; sides are counted before they are joined."""
+    parcels = derived(spark, sf_dir, "fx_parcels").filter(F.substring("teryt_gmina", 1, 4).isin("1203", "1806", "2405")).select("parcel_id", "teryt_gmina")
+    listings = derived(spark, sf_dir, "fx_listings").groupBy("parcel_id").agg(F.countDistinct("listing_id").alias("l"), F.countDistinct(F.when(F.col("source_url").contains("budowlane"), F.col("listing_id"))).alias("b"))
+    leads = derived(spark, sf_dir, "fx_leads").groupBy("parcel_id").agg(F.countDistinct("lead_id").alias("d"))
+    rows = parcels.join(listings, "parcel_id", "left").join(leads, "parcel_id", "left")
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return rows.groupBy("teryt_gmina").agg(F.count(F.lit(1)).alias("parcels"), total("l", "listings"), total("b", "building_listings"), total("d", "leads"))
+
+
+@query(
+    "k9_red_team",
+    f"{LEADS}, s AS (SELECT 'low_score_banded' AS section, lead_id, overall_score FROM fx_leads WHERE overall_score < 40 AND confidence_band IS NOT NULL UNION ALL SELECT 'high_score_unbanded', lead_id, overall_score FROM fx_leads WHERE overall_score >= 60 AND confidence_band IS NULL UNION ALL SELECT 'cheap_without_signal', lead_id, overall_score FROM fx_leads WHERE cheapness_score >= 20 AND future_signal_score < 10) SELECT section, lead_id FROM s QUALIFY row_number() OVER (PARTITION BY section ORDER BY overall_score DESC, lead_id) <= 10",
+)
+def k9_red_team(spark, sf_dir):
+    """Ten doubtful leads of each of three kinds (K9)."""
+    rows = derived(spark, sf_dir, "fx_leads").select("lead_id", "overall_score", "confidence_band", "cheapness_score", "future_signal_score")
+    kinds = {"low_score_banded": "overall_score < 40 AND confidence_band IS NOT NULL", "high_score_unbanded": "overall_score >= 60 AND confidence_band IS NULL", "cheap_without_signal": "cheapness_score >= 20 AND future_signal_score < 10"}
+    tagged = rows.withColumn("section", F.explode(F.array_compact(F.array(*(F.when(F.expr(test), name) for name, test in kinds.items())))))
+    w = Window.partitionBy("section").orderBy(F.desc("overall_score"), "lead_id")
+    return tagged.withColumn("_n", F.row_number().over(w)).filter("_n <= 10").select("section", "lead_id")
