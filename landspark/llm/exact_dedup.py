@@ -110,6 +110,10 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that have an equal text with a larger id; columns as they were."""
-    kept = exact_copies(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept.dropDuplicates(), docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """``docs`` without the rows that have an equal text with a larger id; columns as they were.
+
+    The rows to drop are the fewer ones: they are told by id and digest, and texts are not shuffled unless they are many.
+    """
+    drop = exact_copies(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_drop_id"), F.col("text_sha256").alias("_drop_sha")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("_drop_id")) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == F.col("_drop_sha"))
+    return docs.join(small_keys(drop), same, "left_anti")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landspark.llm.common import words_of
+from landspark.llm.common import materialise, small_keys, words_of
 
 #: A source's target is at most this many times its size.
 MOST = 3
@@ -52,6 +52,7 @@ def mix_rates(docs: DataFrame, seed: str = "mix:", cycle: tuple[int, ...] = (1,
     """
     base = docs.select("doc_id", F.col("source").alias("_source"), words_of(F.col("text")).alias("size"))
     targets = source_targets(base.groupBy("_source").agg(F.sum("size").alias("source_size")), cycle, most).select(F.col("_source").alias("_target_source"), "source_size", "target")
+    targets = small_keys(materialise(targets, "targets"))  # a row for each source: broadcast if they are few, so a hot source is not shuffled
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     return (
         base.join(targets, F.col("_source").eqNullSafe(F.col("_target_source")))
@@ -69,6 +70,7 @@ def mix_documents(docs: DataFrame, seed: str = "mix:") -> DataFrame:
     """
     base = docs.withColumn("_mix_size", words_of(F.col("text")))
     targets = source_targets(base.groupBy(F.col("source").alias("_source")).agg(F.sum("_mix_size").alias("source_size"))).select(F.col("_source").alias("_mix_source"), F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0).alias("_mix_rate"))
+    targets = small_keys(materialise(targets, "targets"))
     copies = F.floor("_mix_rate").cast("int") + (unit_draw(F.col("doc_id"), seed) < F.col("_mix_rate") - F.floor("_mix_rate")).cast("int")
     joined = docs.join(targets, docs["source"].eqNullSafe(F.col("_mix_source")))
     return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
