@@ -26,9 +26,13 @@ from landspark.llm.common import WORD_POWERS, discard, groups_of, materialise, m
 from landspark.llm.graph import components
 
 SHINGLE = 5
-#: A shingle is frequent if this many documents of one Arrow batch, or more, hold it; the most frequent ones are kept.
-OFTEN, OFTEN_KEPT = 6, 500_000
+#: Shingles, or keys, that a task gathers before it counts them and goes on.
+FLUSH = 2_500_000
+#: A shingle is frequent if this many documents of one such batch, or more, hold it; the most frequent ones are kept.
+OFTEN, OFTEN_KEPT = 4, 500_000
 SKETCH = 8  # words of 64 bits
+#: Leaders that each document is compared with in the first round, and keys before a shared one that tell it is not a pair's first.
+LEADERS, BEFORE = 3, 6
 U = np.uint64
 #: Largest set of the first band, and of each further band; within a band all sets have the same number of blocks.
 FIRST, SECOND = 64, 256
@@ -73,7 +77,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in SETS.split(", ")]
     for b in batches:
         data, offsets = text_buffer(b.column(1))
-        tokens = []
+        tokens, held = [], 0
         for i, j in groups_of(offsets):
             of, s = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             n = np.bincount(of, minlength=j - i)
@@ -85,11 +89,14 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens.append(s)
             none = pa.nulls(j - i, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.array(n), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), none, none], names=names)
-        found, count = np.unique(np.concatenate(tokens) if tokens else np.zeros(0, np.uint64), return_counts=True)
-        found, count = found[count >= OFTEN], count[count >= OFTEN]
-        if len(found):
-            none = pa.nulls(len(found), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(found.view(np.int64)), pa.array(count)], names=names)
+            held += len(s)
+            if held >= FLUSH or j == b.num_rows:
+                found, count = np.unique(np.concatenate(tokens), return_counts=True)
+                found, count = found[count >= OFTEN], count[count >= OFTEN]
+                tokens, held = [], 0
+                if len(found):
+                    none = pa.nulls(len(found), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(found.view(np.int64)), pa.array(count)], names=names)
 
 
 def prefix_keys(of: np.ndarray, s: np.ndarray, m: np.ndarray, bits: np.ndarray, most: np.ndarray, often: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +130,7 @@ def _keys(often: np.ndarray):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data, offsets = text_buffer(b.column(1))
-            docs, keys = [], []
+            docs, keys, held = [], [], 0
             for i, j in groups_of(offsets):
                 of, s = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 m = np.bincount(of, minlength=j - i)
@@ -134,21 +141,24 @@ def _keys(often: np.ndarray):
                     d, k = prefix_keys(of, s, m, shift, most, often, ask)
                     docs.append(d + i)
                     keys.append(k)
-            if not docs:
-                continue
-            d, k = np.concatenate(docs), np.concatenate(keys)
-            if not len(d):
-                continue
-            # within the batch a key's documents follow its first one, so that a key leaves a batch once
-            _, first, back, count = np.unique(k, return_index=True, return_inverse=True, return_counts=True)
-            lead = first[back.ravel()]
-            r = ids[d]
-            own = lead == np.arange(len(d))
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(r), pa.array(r[lead], mask=own), pa.array(own & (count[back.ravel()] > 1))], names=["key", "r", "leader", "led"])
+                    held += len(k)
+                if held >= FLUSH // 4 or j == b.num_rows:
+                    if held:
+                        yield _led(ids, np.concatenate(docs), np.concatenate(keys))
+                    docs, keys, held = [], [], 0
 
     return find
 
 
+def _led(ids: np.ndarray, d: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+    """Keys of one batch: a key's documents follow its first one, so that a key leaves a batch once."""
+    _, first, back, count = np.unique(k, return_index=True, return_inverse=True, return_counts=True)
+    back = back.ravel()
+    lead, r = first[back], ids[d]
+    own = lead == np.arange(len(d))
+    return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(r), pa.array(r[lead], mask=own), pa.array(own & (count[back] > 1))], names=["key", "r", "leader", "led"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's shingle hashes, in order, as bytes."""
     for b in batches:
@@ -194,14 +204,61 @@ def _hamming():
     return out
 
 
+def _long_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's set size and a parity sketch of about as many bits as the set has members, 512 at least."""
+    for b in batches:
+        data, offsets = text_buffer(b.column(1))
+        for i, j in groups_of(offsets):
+            of, s = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            m = np.bincount(of, minlength=j - i)
+            cut = np.concatenate(([0], np.cumsum(m)))
+            place = mix(s ^ U(0x2545F4914F6CDD1D))
+            bits = []
+            for k in range(j - i):
+                width = max(512, 1 << max(0, int(m[k]) - 1).bit_length())
+                parity = np.bincount((place[cut[k] : cut[k + 1]] & U(width - 1)).astype(np.int64), minlength=width) & 1
+                bits.append(np.packbits(parity.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(m.astype(np.int64)), pa.array(bits, pa.binary())], names=["r", "m", "bits"])
+
+
+def _near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sizes and sketches allow similarity; the longer sketch is folded onto the shorter, which keeps parities."""
+    for batch in batches:
+        keep = []
+        for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            keep.append(4 * min(m, n) >= 3 * max(m, n) and 7 * int(np.bitwise_count(x ^ y).sum()) <= m + n)
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def _joined(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b) with ``columns`` of the table's rows for a and for b."""
+    left = table.select(F.col("r").alias("a"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    right = table.select(F.col("r").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", *(f"{c}_{x}" for c in columns for x in "ab"))
+
+
+def _of_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    nodes = pairs.select(F.col("a").alias("r")).union(pairs.select("b")).distinct()
+    return texts.join(small_keys(nodes), "r", "left_semi")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) that are similar; sets are made from the texts of the documents that occur in a pair."""
+    """The pairs (a, b) that are similar: sketches as long as the sets are compared first, then the sets of the pairs left.
+
+    Both are made from the texts of the documents that occur in a pair.
+    """
     pairs = materialise(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("r")).union(pairs.select("b")).distinct()
-    sets = materialise(texts.join(small_keys(nodes), "r", "left_semi").mapInArrow(_sets, "r long, tokens binary"), "sets")
-    left, right = sets.select(F.col("r").alias("a"), F.col("tokens").alias("one")), sets.select(F.col("r").alias("b"), F.col("tokens").alias("two"))
-    out = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "one", "two").mapInArrow(_similar, "a long, b long"), name)
-    discard(pairs, sets)
+    bits = materialise(_of_pairs(pairs, texts).mapInArrow(_long_sketches, "r long, m long, bits binary"), "bits")
+    near = materialise(_joined(pairs, bits, "m", "bits").mapInArrow(_near_enough, "a long, b long"), "near")
+    discard(pairs, bits)
+    sets = materialise(_of_pairs(near, texts).mapInArrow(_sets, "r long, tokens binary"), "sets")
+    out = materialise(_joined(near, sets, "tokens").mapInArrow(_similar, "a long, b long"), name)
+    discard(near, sets)
     return out
 
 
@@ -220,7 +277,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal sets are one node, named by their smallest document
     equal = materialise(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep")), "equal")
     member = materialise(sets.filter("n > 0 AND doc_id IS NOT NULL").join(equal, ["n", "x", "y"]).select("doc_id", "rep").distinct(), "member")
-    copies = member.filter("doc_id <> rep").select(F.col("doc_id").alias("r")).distinct()
+    named = member.filter("doc_id = rep").select("doc_id")
+    copies = member.filter("doc_id <> rep").join(named, "doc_id", "left_anti").select(F.col("doc_id").alias("r")).distinct()
+    # an id with several texts joins their nodes
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).filter(F.size("reps") > 1).select(F.explode("reps").alias("a"), "b")
     texts = base.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("r"), "_text").join(small_keys(copies), "r", "left_anti")
 
     keys = materialise(texts.mapInArrow(_keys(often), KEYS), "keys")
@@ -232,17 +292,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(keys, led)
     del keys, led, followers
 
-    # first round: each document against the leader with which it shares most keys
-    best = shared.filter("r <> leader").groupBy("r", "leader").agg(F.count(F.lit(1)).alias("n")).groupBy("r").agg(F.max(F.struct("n", (-F.col("leader")).alias("l"))).alias("top"))
-    first = _verified(best.select(F.col("r").alias("a"), (-F.col("top.l")).alias("b")), texts, "first")
-    same = member.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = materialise(components(first.union(same)), "found")
+    # first round: each document against the few leaders with which it shares most keys
+    counted = shared.filter("r <> leader").groupBy("r", "leader").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.withColumn("_n", F.row_number().over(Window.partitionBy("r").orderBy(F.desc("n"), "leader"))).filter(F.col("_n") <= LEADERS)
+    first = _verified(best.select(F.col("r").alias("a"), F.col("leader").alias("b")), texts, "first")
+    found = materialise(components(first.union(several)), "found")
 
     # second round: what shares a key and is still apart
     placed = shared.select("key", "r").distinct().join(found, F.col("r") == F.col("node"), "left").select("key", "r", F.coalesce("component", "r").alias("c"))
     placed = materialise(placed, "placed")
-    apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    apart = materialise(placed.join(apart, "key"), "apart")
+    # keys with the same documents say the same: one of them stays, told by a 128-bit fingerprint of the documents
+    spread = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("r")).alias("x"), F.bit_xor(F.xxhash64("r", F.lit(1))).alias("y"))
+    apart = spread.filter("low <> high").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    # documents that share many keys would meet in each: a pair meets where no key shortly before, in both lists, is shared
+    in_list = Window.partitionBy("r").orderBy("key")
+    apart = placed.join(apart, "key").select("*", *(F.lag("key", i).over(in_list).alias(f"p{i}") for i in range(1, BEFORE + 1)))
+    apart = materialise(apart, "apart")
     discard(placed, shared)
     del placed, shared
     nodes = small_keys(apart.select("r").distinct())
@@ -250,10 +315,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialise(apart.join(info, "r"), "apart-sketched")
     x, y = rows.alias("x"), rows.alias("y")
     sizes = F.col("x.m") + F.col("y.m")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & (4 * F.least("x.m", "y.m") >= 3 * F.greatest("x.m", "y.m")) & (7 * _hamming() <= sizes)
+    met = F.lit(False)
+    for i in range(1, BEFORE + 1):
+        for j in range(1, BEFORE + 1):
+            met = met | F.coalesce(F.col(f"x.p{i}") == F.col(f"y.p{j}"), F.lit(False))
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & ~met & (4 * F.least("x.m", "y.m") >= 3 * F.greatest("x.m", "y.m")) & (7 * _hamming() <= sizes)
     second = _verified(x.join(y, near).select(F.col("x.r").alias("a"), F.col("y.r").alias("b")).distinct(), texts, "second")
     discard(apart, rows)
-    final = components(first.union(same).union(second)).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    # links between components, not between their documents: the second graph is small
+    c = lambda name: F.coalesce(f"{name}.component", F.col(name[0]))
+    one, two = found.alias("a_of"), found.alias("b_of")
+    between = second.join(one, F.col("a") == F.col("a_of.node"), "left").join(two, F.col("b") == F.col("b_of.node"), "left").select(c("a_of").alias("a"), c("b_of").alias("b")).distinct()
+    over = materialise(components(between), "over").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    place = found.join(over, "component", "left").select(F.col("node").alias("rep"), F.coalesce("top", "component").alias("c"))
+    alone = over.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("rep"), F.col("top").alias("c"))
+    final = member.join(place.union(alone), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("c", "rep")).alias("_component")).withColumnRenamed("doc_id", "_node")
     return sets.join(final, sets["doc_id"] == final["_node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id")
     )

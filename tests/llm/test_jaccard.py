@@ -86,6 +86,14 @@ def test_edges(spark):
     assert sorted(r.doc_id or 0 for r in jaccard.keep_one(df).collect()) == [0, 3, 6, 8]
 
 
+def test_ids_with_several_texts(spark):
+    a, b, c = ("a b c d e f g h", "k l m n o p q r", "s t u v w x y z")
+    rows = [(9, a), (4, a), (9, b), (7, b), (7, c), (8, c), (3, "lone text"), (9, "own text of nine is here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect())
+    assert got == sorted((i, len(shingles(t)), 3 if i == 3 else 4) for i, t in rows)
+
+
 def test_blocks_outnumber_differences():
     rng = np.random.default_rng(0)
     for m in list(range(1, 600)) + [1023, 1024, 1025, 5000, 70_000]:
