@@ -31,7 +31,7 @@ SHARD = 6144
 #: Distinct lengths, the most frequent ones, whose combinations of three are enumerated (of two: all lengths).
 TRIPLE_LENGTHS = 96
 #: Words as they stand in texts, and their letters alone, whose ids a worker remembers at most; later ones are encoded anew.
-WORDS_KEPT, CORES_KEPT = 320_000, 320_000
+WORDS_KEPT, CORES_KEPT = 180_000, 200_000
 #: What may follow a word's letters; with nothing else behind the letters it is one piece of its own for the tokenizer.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
