@@ -32,7 +32,7 @@ FLUSH = 2_500_000
 OFTEN, OFTEN_KEPT = 4, 500_000
 SKETCH = 8  # words of 64 bits
 #: Leaders that each document is compared with in the first round, and keys before a shared one that tell it is not a pair's first.
-LEADERS, BEFORE = 3, 6
+LEADERS, BEFORE = 3, 3
 U = np.uint64
 #: Largest set of the first band, and of each further band; within a band all sets have the same number of blocks.
 FIRST, SECOND = 64, 256
@@ -305,8 +305,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("r")).alias("x"), F.bit_xor(F.xxhash64("r", F.lit(1))).alias("y"))
     apart = spread.filter("low <> high").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
     # documents that share many keys would meet in each: a pair meets where no key shortly before, in both lists, is shared
+    # (where a list has none before, its document's id stands, which no other document has)
     in_list = Window.partitionBy("r").orderBy("key")
-    apart = placed.join(apart, "key").select("*", *(F.lag("key", i).over(in_list).alias(f"p{i}") for i in range(1, BEFORE + 1)))
+    apart = placed.join(apart, "key").select("*", *(F.coalesce(F.lag("key", i).over(in_list), F.col("r")).alias(f"p{i}") for i in range(1, BEFORE + 1)))
     apart = materialise(apart, "apart")
     discard(placed, shared)
     del placed, shared
@@ -318,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = F.lit(False)
     for i in range(1, BEFORE + 1):
         for j in range(1, BEFORE + 1):
-            met = met | F.coalesce(F.col(f"x.p{i}") == F.col(f"y.p{j}"), F.lit(False))
+            met = met | (F.col(f"x.p{i}") == F.col(f"y.p{j}"))
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & ~met & (4 * F.least("x.m", "y.m") >= 3 * F.greatest("x.m", "y.m")) & (7 * _hamming() <= sizes)
     second = _verified(x.join(y, near).select(F.col("x.r").alias("a"), F.col("y.r").alias("b")).distinct(), texts, "second")
     discard(apart, rows)
