@@ -28,30 +28,82 @@ def weighed(signals: DataFrame) -> DataFrame:
     return signals.withColumn("weight", p.signal_weight(kind, designation, status)).withColumn("label", p.signal_label(kind, designation, F.col("plan_name")))
 
 
-def score_signals(attached: DataFrame) -> DataFrame:
-    """Signal score, positive count, flags and dominant label of each parcel, in one aggregation over its signals."""
-    rows = weighed(attached)
+def _sides(parcels: DataFrame, signals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parcels (parcel_id, _g), the signals bound to them, and the signals of whole (aliased) communes."""
+    keyed = parcels.select("parcel_id", p.coverage_alias(F.col("teryt_gmina")).alias("_g"))
+    s = signals.withColumn("_g", p.coverage_alias(F.col("teryt_gmina"))).drop("teryt_gmina").dropDuplicates(["signal_id"])
+    return keyed, s.filter("parcel_id IS NOT NULL").join(keyed, ["parcel_id", "_g"]), s.filter("parcel_id IS NULL").drop("parcel_id")
+
+
+def _both(keyed: DataFrame, own: DataFrame, level: DataFrame) -> DataFrame:
+    """parcel_id with ``o``, its own aggregates, and ``l``, its commune's: one row a parcel, if it has either."""
+    struct = lambda df, key, name: df.select(key, F.struct(*(c for c in df.columns if c != key)).alias(name))
+    rows = keyed.join(F.broadcast(struct(level, "_g", "l")), "_g", "left").join(struct(own, "parcel_id", "o"), "parcel_id", "left")
+    return rows.filter(F.col("o").isNotNull() | F.col("l").isNotNull())
+
+
+def _plus(c: str) -> Column:
+    return F.coalesce(F.col(f"o.{c}"), F.lit(0)) + F.coalesce(F.col(f"l.{c}"), F.lit(0))
+
+
+def count_signals(parcels: DataFrame, signals: DataFrame) -> DataFrame:
+    """Number and summed ids of each parcel's signals, its own ones and its commune's; the latter are summed once a commune."""
+    keyed, bound, level = _sides(parcels, signals)
+    total = lambda df, key: df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("signal_id").alias("s"))
+    return _both(keyed, total(bound, "parcel_id"), total(level, "_g")).select("parcel_id", _plus("n").alias("n"), _plus("s").alias("s"))
+
+
+def score_signals(parcels: DataFrame, signals: DataFrame) -> DataFrame:
+    """Signal score, positive count, flags and dominant label of each parcel's own signals and its commune's.
+
+    Communes' signals are scored once a commune, so no parcel meets them one by one.
+    """
+    keyed, bound, level = _sides(parcels, signals)
     positive, negative = F.col("weight") > 0, (F.col("weight") < 0) & F.col("designation_normalized").isin(*p.HARD_NEGATIVE)
     flag = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
-    return rows.groupBy("parcel_id").agg(
-        F.sum("weight").alias("signal_score"),
-        F.count_if(positive).alias("positive_signals"),
-        flag(F.col("signal_kind").isin("pog_zone", "pog_ouz", "studium_zone") & positive).alias("has_formal_signal"),
-        flag(F.col("signal_kind").isin("planning_resolution", "mpzp_project") & positive).alias("has_supporting_formal_signal"),
-        flag(negative).alias("hard_negative"),
-        F.min_by("label", F.when(positive, F.struct((-F.col("weight")).alias("w"), "signal_id"))).alias("dominant_signal"),
+    total = lambda df, key: weighed(df).groupBy(key).agg(
+        F.sum("weight").alias("score"),
+        F.count_if(positive).alias("positive"),
+        flag(F.col("signal_kind").isin("pog_zone", "pog_ouz", "studium_zone") & positive).alias("formal"),
+        flag(F.col("signal_kind").isin("planning_resolution", "mpzp_project") & positive).alias("supporting"),
+        flag(negative).alias("negative"),
+        F.min(F.when(positive, F.struct((-F.col("weight")).alias("w"), "signal_id", "label"))).alias("top"),
+    )
+    either = lambda c: F.coalesce(F.col(f"o.{c}"), F.lit(False)) | F.coalesce(F.col(f"l.{c}"), F.lit(False))
+    return _both(keyed, total(bound, "parcel_id"), total(level, "_g")).select(
+        "parcel_id",
+        _plus("score").cast("decimal(16,2)").alias("signal_score"),
+        _plus("positive").alias("positive_signals"),
+        either("formal").alias("has_formal_signal"),
+        either("supporting").alias("has_supporting_formal_signal"),
+        either("negative").alias("hard_negative"),
+        F.least("o.top", "l.top")["label"].alias("dominant_signal"),
     )
 
 
-def corroborate(attached: DataFrame, least: int = 3) -> DataFrame:
-    """Parcels with at least ``least`` distinct supporting sources of one positive class, else of all: class and number."""
-    rows = weighed(attached).filter(F.col("signal_kind").isin("planning_resolution", "mpzp_project") & F.col("designation_normalized").isin(*p.POSITIVE) & (F.col("weight") > 0))
+def corroborate(parcels: DataFrame, signals: DataFrame, least: int = 3) -> DataFrame:
+    """Parcels with at least ``least`` distinct supporting sources of one positive class, else of all: class and number.
+
+    Communes' sources are counted once a commune; of a parcel's own ones only those count that its commune has not.
+    """
     key = F.coalesce(F.nullif("source_url", F.lit("")), F.nullif("plan_name", F.lit("")), F.col("signal_id").cast("string"))
-    sources = rows.select("parcel_id", "designation_normalized", key.alias("s")).distinct()
-    by_class = sources.groupBy("parcel_id", "designation_normalized").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    best = by_class.groupBy("parcel_id").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("designation_normalized").alias("c"))).alias("b"))
-    family = sources.groupBy("parcel_id").agg(F.countDistinct("s").alias("n")).filter(F.col("n") >= least)
-    return family.join(best, "parcel_id", "left").select("parcel_id", F.coalesce("b.c", F.lit("urbanizable")).alias("designation"), F.coalesce(-F.col("b.k"), F.col("n")).alias("n_sources"), F.lit(10).alias("bonus"))
+
+    def sources(df: DataFrame, *keys: str) -> DataFrame:
+        rows = weighed(df).filter(F.col("signal_kind").isin("planning_resolution", "mpzp_project") & F.col("designation_normalized").isin(*p.POSITIVE) & (F.col("weight") > 0))
+        return rows.select(*keys, F.col("designation_normalized").alias("d"), key.alias("s")).distinct()
+
+    def counts(df: DataFrame, by: str, classes: DataFrame) -> DataFrame:
+        """Sources of each class, and ``family``, those of all classes, by parcel or commune."""
+        some = df.groupBy(by).agg(*(F.count_if(F.col("d") == c).alias(c) for c in p.POSITIVE))
+        return some.join(classes.groupBy(by).agg(F.count(F.lit(1)).alias("family")), by, "full_outer")
+
+    keyed, bound, level = _sides(parcels, signals)
+    own, theirs = sources(bound, "parcel_id", "_g"), sources(level, "_g")
+    all_own, all_theirs = own.select("parcel_id", "_g", "s").distinct(), theirs.select("_g", "s").distinct()
+    more, all_more = own.join(theirs, ["_g", "d", "s"], "left_anti"), all_own.join(all_theirs, ["_g", "s"], "left_anti")
+    rows = _both(keyed, counts(more, "parcel_id", all_more), counts(theirs, "_g", all_theirs)).select("parcel_id", _plus("family").alias("n"), *(_plus(c).alias(c) for c in p.POSITIVE))
+    best = F.least(*(F.when(F.col(c) >= least, F.struct((-F.col(c)).alias("k"), F.lit(c).alias("c"))) for c in p.POSITIVE))
+    return rows.filter(F.col("n") >= least).withColumn("b", best).select("parcel_id", F.coalesce("b.c", F.lit("urbanizable")).alias("designation"), F.coalesce(-F.col("b.k"), F.col("n")).alias("n_sources"), F.lit(10).alias("bonus"))
 
 
 def market_benchmark(prices: DataFrame) -> DataFrame:

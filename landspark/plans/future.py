@@ -31,8 +31,8 @@ def heuristics(parcels: DataFrame, zones: DataFrame) -> DataFrame:
     return out.withColumn("has_road_access_signal", F.coalesce(F.col("distance_to_meaningful_road_m") <= 30, F.lit(False))).withColumn("has_urban_cluster_signal", F.coalesce(F.col("distance_to_nearest_buildable_m") <= REACH, F.lit(False)))
 
 
-def run_future(parcels: DataFrame, zones: DataFrame, attached: DataFrame, listings: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Assessments of all parcels; ``attached`` as of ``attach_signals``, ``statuses`` (parcel_id, current_buildable_status).
+def run_future(parcels: DataFrame, zones: DataFrame, signals: DataFrame, listings: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Assessments of all parcels; ``signals`` of parcels and of whole communes, ``statuses`` (parcel_id, current_buildable_status).
 
     Each per-parcel question is one join over the whole table.
     """
@@ -42,7 +42,7 @@ def run_future(parcels: DataFrame, zones: DataFrame, attached: DataFrame, listin
     benchmark = s.market_benchmark(listings.join(area, "parcel_id").select("teryt_gmina", (F.col("price_zl") / F.col("area_m2")).cast("double").alias("price_per_m2")))
     rows = s.with_benchmark(priced, benchmark)
     rows = rows.withColumn("cheapness_score", p.cheapness(F.col("price_per_m2"), F.coalesce("sample_size", F.lit(0)), F.col("p25"), F.col("p40")))
-    rows = rows.join(s.score_signals(attached), "parcel_id", "left").join(s.corroborate(attached).select("parcel_id", "bonus"), "parcel_id", "left")
+    rows = rows.join(s.score_signals(parcels, signals), "parcel_id", "left").join(s.corroborate(parcels, signals).select("parcel_id", "bonus"), "parcel_id", "left")
     rows = rows.join(heuristics(parcels, zones), "parcel_id").join(statuses, "parcel_id")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     points = F.coalesce("signal_score", F.lit(0)) + F.coalesce("bonus", F.lit(0)) + p.heuristic_bonus()

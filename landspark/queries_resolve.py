@@ -68,10 +68,9 @@ def c18_common_region(spark, sf_dir):
 def k2_run_future(spark, sf_dir):
     """Future-buildability assessments of all parcels (K2); its parts have SQL of their own."""
     from landspark.plans.future import run_future
-    from landspark.queries_signals import attached
     from landspark.queries_tables import i11_buildable_status
 
     zones = derived(spark, sf_dir, "fx_zones")
     beside = derived(spark, sf_dir, "fx_zones_adjacent").select(*zones.columns)
     statuses = i11_buildable_status(spark, sf_dir).withColumnRenamed("status", "current_buildable_status")
-    return run_future(derived(spark, sf_dir, "fx_parcels"), zones.unionByName(beside), attached(spark, sf_dir), derived(spark, sf_dir, "fx_listings"), statuses).select("parcel_id", "future_signal_score", "cheapness_score", "overall_score", "heuristic_hits", "confidence_band")
+    return run_future(derived(spark, sf_dir, "fx_parcels"), zones.unionByName(beside), derived(spark, sf_dir, "fx_signals"), derived(spark, sf_dir, "fx_listings"), statuses).select("parcel_id", "future_signal_score", "cheapness_score", "overall_score", "heuristic_hits", "confidence_band")

@@ -21,15 +21,8 @@ SIGNALS = f"WITH {duck('fx_signals')}"
 ATTACHED = f"WITH {duck('fx_signals', 'fx_parcels')}, att AS (SELECT p.parcel_id, s.* EXCLUDE (parcel_id, teryt_gmina), ({WEIGHT})::DECIMAL(6,2) AS weight, {LABEL} AS label FROM fx_parcels p JOIN fx_signals s ON s.teryt_gmina = p.teryt_gmina AND (s.parcel_id = p.parcel_id OR (s.parcel_id IS NULL AND p.parcel_id % 50 = 0 AND s.signal_id % 20 = 1)))"
 
 
-def attached(spark, sf_dir):
-    """Signals of all parcels: their own ones and, for a part of the communes' signals, those of every fiftieth parcel's commune.
-
-    Commune-level signals go to every parcel of the commune, so the fixture keeps their product small.
-    """
-    parcels, signals = derived(spark, sf_dir, "fx_parcels"), derived(spark, sf_dir, "fx_signals")
-    own = ops.attach_signals(parcels, signals.filter("parcel_id IS NOT NULL"))
-    level = ops.attach_signals(parcels.filter("parcel_id % 50 = 0"), signals.filter("parcel_id IS NULL AND signal_id % 20 = 1"))
-    return own.unionByName(level)
+def sides(spark, sf_dir):
+    return derived(spark, sf_dir, "fx_parcels"), derived(spark, sf_dir, "fx_signals")
 
 
 @query("i3_signal_weight", f"{SIGNALS} SELECT signal_id, ({WEIGHT})::DECIMAL(6,2) AS weight, {LABEL} AS label FROM fx_signals")
@@ -49,7 +42,7 @@ def i2_designation_class(spark, sf_dir):
 @query("c10_attach_signals", f"{ATTACHED} SELECT parcel_id, count(*) AS n, sum(signal_id) AS s FROM att GROUP BY parcel_id")
 def c10_attach_signals(spark, sf_dir):
     """Signals attached to parcels by parcel or commune."""
-    return attached(spark, sf_dir).groupBy("parcel_id").agg(F.count(F.lit(1)).alias("n"), F.sum("signal_id").alias("s"))
+    return ops.count_signals(*sides(spark, sf_dir))
 
 
 @query(
@@ -61,7 +54,7 @@ def c10_attach_signals(spark, sf_dir):
 )
 def d15_score_signals(spark, sf_dir):
     """Score, counts, flags and dominant label of each parcel's signals."""
-    return ops.score_signals(attached(spark, sf_dir))
+    return ops.score_signals(*sides(spark, sf_dir))
 
 
 @query(
@@ -73,7 +66,7 @@ SELECT parcel_id, coalesce(c.d, 'urbanizable') AS designation, coalesce(c.n, f.n
 )
 def d16_corroborate(spark, sf_dir):
     """Parcels whose supporting signals corroborate each other."""
-    return ops.corroborate(attached(spark, sf_dir))
+    return ops.corroborate(*sides(spark, sf_dir))
 
 
 PRICES = "SELECT teryt_gmina, price_per_m2_zl::DOUBLE AS price_per_m2 FROM fx_leads WHERE price_per_m2_zl IS NOT NULL"
