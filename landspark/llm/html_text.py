@@ -16,13 +16,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript iframe object svg math canvas audio video datalist select textarea".split())
+UNSEEN = frozenset("head title script style template noscript iframe object canvas audio video datalist".split())
+#: Parts of drawings and formulas that are not shown, or only where others refer to them.
+UNSEEN_FOREIGN = frozenset("desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml mphantom".split())
+#: In these elements of drawings and formulas, HTML's own rules hold again.
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: Start tags that end a drawing or formula.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Parts of a formula whose children stand over or beside each other.
+STACKED = frozenset("mfrac msub msup msubsup munder mover munderover mroot mmultiscripts mtable mtr".split())
+#: Start tags that may stand in a head; any other one ends it.
+HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
+BLANK = " \t\n\r\f"
 RAW = frozenset("script style title textarea xmp noembed noframes iframe".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption".split()
 )
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset menu dir".split())
 LISTS = frozenset("ul ol menu dir".split())
+#: Controls and choices within a line, with a space on both sides.
+APART = frozenset("select option optgroup textarea".split())
 #: A start tag closes these open elements, up to a boundary.
 CLOSES = {
     "li": ({"li"}, LISTS),
@@ -52,11 +67,15 @@ SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "hidden")
+    __slots__ = ("tag", "attrs", "children", "hidden", "foreign")
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, foreign: bool = False):
+        """``foreign``: it stands in a drawing or formula; afterwards, whether its children do."""
         self.tag, self.attrs, self.children = tag, attrs or {}, []
         self.hidden = tag in UNSEEN or bool(attrs) and ("hidden" in attrs or bool(HIDES.search(attrs.get("style", "")))) or tag == "dialog" and "open" not in self.attrs
+        if foreign and (tag in UNSEEN_FOREIGN or self.attrs.get("display", "").strip() == "none" or self.attrs.get("visibility", "").strip() in ("hidden", "collapse")):
+            self.hidden = True
+        self.foreign = tag in ("svg", "math") or foreign and tag not in INTEGRATION
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -66,6 +85,12 @@ def attributes(text: str) -> dict[str, str]:
     return found
 
 
+def ends_itself(body: str) -> bool:
+    """Whether what follows a start tag's name ends in a slash of its own, not in an unquoted value's."""
+    last = body.rsplit(None, 1)[-1] if body.endswith("/") else ""
+    return bool(last) and ("=" not in last or last[-2] in "\"'")
+
+
 def build(page: str) -> Node:
     """The tree of a page; implied end tags are put in, stray end tags are left out."""
     root = Node("html")
@@ -89,18 +114,31 @@ def build(page: str) -> Node:
         if cut is not None:
             pop_to(cut)
 
+    def put(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip(BLANK):
+            pop_to(len(stack) - 1)
+        stack[-1].children.append(text)
+
     while at < size:
         m = TOKEN.search(page, at)
         if m is None:
-            stack[-1].children.append(html.unescape(page[at:]))
+            put(html.unescape(page[at:]))
             break
         if m.start() > at:
             text = page[at : m.start()]
-            stack[-1].children.append(html.unescape(text) if "&" in text else text)
+            put(html.unescape(text) if "&" in text else text)
         at = m.end()
+        if stack[-1].foreign and page.startswith("<![CDATA[", m.start()):
+            end = page.find("]]>", m.start())
+            end = size if end < 0 else end
+            put(page[m.start() + 9 : end])
+            at = min(end + 3, size)
+            continue
         if m[1]:
             tag = m[1].lower()
             if tag == "br":
+                if stack[-1].tag == "head":
+                    pop_to(len(stack) - 1)
                 stack[-1].children.append(Node("br"))
             elif tag == "p" and not counts.get("p"):
                 stack[-1].children.append(Node("p"))
@@ -119,16 +157,22 @@ def build(page: str) -> Node:
             close(*CLOSES[tag])
         if tag in BLOCKS and counts.get("p"):
             close({"p"}, SCOPE)
-        if tag in BLOCKS and counts.get("head"):
-            close({"head"}, ())
-        body = m[3] or m[5] or ""
-        node = Node(tag, attributes(body) if "=" in body or body.strip(" /\t\n\r\f") else None)
+        if stack[-1].tag == "head" and tag not in HEAD:
+            pop_to(len(stack) - 1)
+        if tag in BREAKOUT:
+            while stack[-1].foreign:
+                pop_to(len(stack) - 1)
+        body, foreign = m[3] or m[5] or "", stack[-1].foreign
+        node = Node(tag, attributes(body) if "=" in body or body.strip(" /\t\n\r\f") else None, foreign)
+        if foreign and stack[-1].tag in STACKED:
+            stack[-1].children.append(" ")
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID and not foreign or (foreign or node.foreign) and ends_itself(body):
             continue
-        if tag in RAW:
+        if tag in RAW and (not foreign or tag in ("script", "style")):
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            node.children.append(page[at : end.start() if end else size])
+            text = page[at : end.start() if end else size]
+            node.children.append(html.unescape(text) if tag == "textarea" else text)
             at = end.end() if end else size
         else:
             stack.append(node)
@@ -249,8 +293,15 @@ def render(root: Node) -> str:
             if tag == "input" and node.attrs.get("type", "text").lower() in ("submit", "button", "reset"):
                 out.text(node.attrs.get("value", ""))
                 continue
-            if tag in VOID:
+            if tag in VOID and not node.foreign:
                 continue
+            if tag in APART or tag == "text" and node.foreign:
+                out.text(" ")
+            if tag in ("option", "optgroup") and node.attrs.get("label", "").strip():
+                out.text(node.attrs["label"] + (" " if tag == "optgroup" else ""))
+                if tag == "option":  # its label is shown in place of its text
+                    out.text(" ")
+                    continue
             if tag in BLOCKS:
                 out.end_line(1 if tag in MARGIN and not (tag in LISTS and lists) else 0)
             if tag in LISTS:
@@ -266,8 +317,11 @@ def render(root: Node) -> str:
                 node.attrs["_"] = marker
             elif tag == "dd" or tag == "blockquote":
                 out.indent += "  "
-            elif tag == "pre":
+            elif tag in ("pre", "textarea"):
                 pre += 1
+                if tag == "textarea" and out.gap:
+                    out.parts.append(" ")
+                    out.gap = False
                 if node.children and isinstance(node.children[0], str):
                     node.children[0] = re.sub(r"^\r?\n", "", node.children[0])
             elif tag == "table":
@@ -291,6 +345,9 @@ def render(root: Node) -> str:
             for line in lay_table(tables.pop()):
                 out.put(line)
             out.end_line(1)
+        elif tag in APART or tag == "text" and node.foreign:
+            pre -= tag == "textarea"
+            out.text(" ")
         elif tag in BLOCKS:
             if tag == "pre":
                 pre -= 1
