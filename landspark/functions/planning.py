@@ -30,6 +30,15 @@ def is_buildable(symbol: Column) -> Column:
     return normalise_symbol(symbol).isin(*BUILDABLE)
 
 
+def is_mixed(symbol: Column) -> Column:
+    """A zone of mixed or service use, by its symbol as written."""
+    return F.upper(symbol).isin(*MIXED_SYMBOLS) | F.upper(symbol).rlike("/MN|/U|MN|MW")
+
+
+def is_road(symbol: Column) -> Column:
+    return F.upper(symbol).startswith("KD")
+
+
 def _holds(text: Column, *symbols: str) -> Column:
     """Whether one of the symbols stands in upper-case prose with no letter on either side."""
     return text.rlike(f"(?<![{UPPER}])(?:{'|'.join(symbols)})(?![{UPPER}])")

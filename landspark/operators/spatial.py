@@ -141,7 +141,7 @@ def nearest_distance(left: DataFrame, right: DataFrame, left_key: str, right_key
         found = part if found is None else found.unionByName(part)
         if max_radius is not None and radius >= max_radius:
             return found
-        rest = rest.join(part, rest[left_key] == part["left_id"], "left_anti")
+        rest = rest.join(part, rest[left_key] == part["left_id"], "left_anti").cache()  # the next search reads it several times
         if rest.isEmpty():
             return found
         radius = radius * 2 if max_radius is None else min(radius * 2, max_radius)

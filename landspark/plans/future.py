@@ -19,10 +19,8 @@ def heuristics(parcels: DataFrame, zones: DataFrame) -> DataFrame:
 
     Distances beyond the reach are null, which no rule tells from a larger number.
     """
-    symbol = F.upper(F.col("symbol"))
-    road = symbol.startswith("KD")
-    mixed = symbol.isin(*p.MIXED_SYMBOLS) | symbol.rlike("/MN|/U|MN|MW")
-    kinds = zones.select("zone_id", p.is_buildable(F.col("symbol")).alias("b"), mixed.alias("m"), road.alias("r"))
+    symbol = F.col("symbol")
+    kinds = zones.select("zone_id", p.is_buildable(symbol).alias("b"), p.is_mixed(symbol).alias("m"), p.is_road(symbol).alias("r"))
     near = dwithin_join(parcels, zones, "parcel_id", "zone_id", REACH).join(kinds, F.col("right_id") == F.col("zone_id"))
     least = lambda flag: F.min(F.when(F.col(flag), F.col("distance_m")))
     found = near.groupBy(F.col("left_id").alias("parcel_id")).agg(least("b").alias("distance_to_nearest_buildable_m"), least("m").alias("distance_to_mixed_service_zone_m"), least("r").alias("distance_to_meaningful_road_m"))

@@ -145,9 +145,16 @@ def c2_dwithin_join(spark, sf_dir):
 
 @query("c3_nearest_distance")
 def c3_nearest_distance(spark, sf_dir):
-    """Distance of each parcel to the nearest buildable zone within 200 m (C3); held against brute force in the tests."""
-    zones = derived(spark, sf_dir, "fx_zones").filter(p.is_buildable(F.col("symbol")))
-    return spatial.nearest_distance(derived(spark, sf_dir, "fx_parcels"), zones, "parcel_id", "zone_id", 200.0, 200.0).withColumn("distance_m", F.round("distance_m", 4))
+    """Distance of each parcel to the nearest buildable zone, mixed zone and road, however far (C3); held against brute force in the tests.
+
+    ``distance_m`` is that to the nearest buildable zone.
+    """
+    parcels, zones = derived(spark, sf_dir, "fx_parcels"), derived(spark, sf_dir, "fx_zones")
+    out = parcels.select(F.col("parcel_id").alias("left_id"))
+    for name, test in (("distance_m", p.is_buildable), ("distance_to_mixed_service_zone_m", p.is_mixed), ("distance_to_meaningful_road_m", p.is_road)):
+        near = spatial.nearest_distance(parcels, zones.filter(test(F.col("symbol"))), "parcel_id", "zone_id", 200.0)
+        out = out.join(near.select("left_id", F.round("distance_m", 4).alias(name)), "left_id", "left")
+    return out
 
 
 @query(
