@@ -65,9 +65,9 @@ def h17_extract_links(spark, sf_dir):
 
 @query("h18_ascii_key", "SELECT doc_id, md5(trim(regexp_replace(translate(lower(substr(text, 1, 200)), 'ąćęłńóśźż', 'acelnoszz'), '[\\s\\-]+', ' ', 'g'))) AS k FROM documents WHERE lang <> 'de'")
 def h18_ascii_key(spark, sf_dir):
-    """Folded keys of the beginnings of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang <> 'de'")
-    return docs.select("doc_id", F.md5(t.ascii_key(F.substring("text", 1, 200))).alias("k"))
+    """Folded keys of whole documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.md5(t.ascii_key(F.col("text"))).alias("k"))
 
 
 @query("h9_parse_decimal", """
