@@ -162,7 +162,12 @@ def shared_boundary(left: DataFrame, right: DataFrame, left_key: str, right_key:
     one, two = along(q["x1"], q["y1"]), along(q["x2"], q["y2"])
     common = F.greatest(F.lit(0.0), F.least(length, F.greatest(one, two)) - F.greatest(F.lit(0.0), F.least(one, two)))
     metres = F.when(off(q["x1"], q["y1"]) & off(q["x2"], q["y2"]), common).otherwise(0.0)
-    each = rows.groupBy("left_id", "right_id").agg(F.sum(metres).alias("m"), F.min(_segment_distance(p, q)).alias("d")).filter((F.col("d") <= within) | (F.col("m") > 0))
+    each = rows.groupBy("left_id", "right_id").agg(F.sum(metres).alias("m"), F.min(_segment_distance(p, q)).alias("d"))
+    # a polygon that holds the other is within any distance, however far its edges are
+    geoms = (left.select(F.col(left_key).alias("left_id"), F.col("geom").alias("_l")), right.select(F.col(right_key).alias("right_id"), F.col("geom").alias("_r")))
+    start = lambda c: F.col(c)[0][0][0]
+    inside = g.contains_point(F.col("_r"), start("_l")["x"], start("_l")["y"]) | g.contains_point(F.col("_l"), start("_r")["x"], start("_r")["y"])
+    each = each.join(geoms[0], "left_id").join(geoms[1], "right_id").filter((F.col("d") <= within) | (F.col("m") > 0) | inside).drop("_l", "_r")
     around = left.select(F.col(left_key).alias("left_id"), g.perimeter(F.col("geom")).alias("_around"))
     return each.groupBy("left_id").agg(F.sum("m").alias("s"), F.max("m").alias("top")).join(around, "left_id").select("left_id", F.round("s", 2).alias("shared_boundary_m"), F.round(100 * F.col("top") / F.col("_around"), 2).alias("adjacent_pct"))
 
