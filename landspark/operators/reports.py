@@ -46,9 +46,19 @@ def next_action(strategy: Column, band: Column, breakdown: Column, dominant: Col
     )
 
 
-def collect_polygons(df: DataFrame, by: list[str]) -> DataFrame:
-    """One multipolygon for each group of polygons with disjoint interiors; their areas stay additive."""
-    return df.groupBy(*by).agg(F.flatten(F.collect_list("geom")).alias("geom"), F.count(F.lit(1)).alias("n_parts"))
+def sum_polygons(df: DataFrame, by: list[str]) -> DataFrame:
+    """Number and summed area of each group's polygons with disjoint interiors; no row holds the group's geometry."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_parts"), F.round(F.sum(g.area(F.col("geom"))), 2).alias("area"))
+
+
+def collect_polygons(df: DataFrame, by: list[str], key: str, most: int = 1000) -> DataFrame:
+    """Multipolygons of each group of polygons with disjoint interiors, ``part`` by ``part``; about ``most`` polygons each at most.
+
+    A group gets as many parts as its number of polygons asks for, dealt by the hash of ``key``.
+    """
+    parts = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / most).alias("_k"))
+    rows = df.join(F.broadcast(parts), by).withColumn("part", F.pmod(F.xxhash64(key), F.col("_k")))
+    return rows.groupBy(*by, "part").agg(F.flatten(F.collect_list("geom")).alias("geom"), F.count(F.lit(1)).alias("n_parts"))
 
 
 def dedup_tiled(zones: DataFrame, order: list[Column]) -> DataFrame:

@@ -17,8 +17,8 @@ LEADS, SIGNALS, ZONES = (f"WITH {duck(n)}" for n in ("fx_leads", "fx_signals", "
 
 @query("b16_collect_polygons", f"WITH {duck('fx_parcels')}, {duck_edges('e', 'fx_parcels', 'parcel_id')} SELECT teryt_gmina, count(DISTINCT parcel_id) AS n_parts, round({AREA}, 2) AS area FROM e JOIN fx_parcels USING (parcel_id) GROUP BY teryt_gmina")
 def b16_collect_polygons(spark, sf_dir):
-    """One multipolygon for each commune's parcels."""
-    return ops.collect_polygons(derived(spark, sf_dir, "fx_parcels"), ["teryt_gmina"]).select("teryt_gmina", "n_parts", F.round(g.area(F.col("geom")), 2).alias("area"))
+    """Number and area of each commune's polygons, summed before any of them are put together."""
+    return ops.sum_polygons(derived(spark, sf_dir, "fx_parcels"), ["teryt_gmina"])
 
 
 @query("b18_dedup_tiled", f"{ZONES} SELECT count(*) AS n, sum(zone_id) AS s FROM fx_zones")

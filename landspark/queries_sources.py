@@ -41,7 +41,7 @@ def b15_esri_rings(spark, sf_dir):
 def a7_ingest_cadastre(spark, sf_dir):
     """Parcels from pipe-delimited responses; a fifth of the lines is malformed."""
     line = F.when(F.col("parcel_id") % 10 < 8, F.concat_ws("|", F.concat("teryt_gmina", F.lit("."), F.col("parcel_id").cast("string")), F.substring("teryt_gmina", 1, 2), F.substring("teryt_gmina", 1, 4), "teryt_gmina", F.lit("0001"), F.col("parcel_id").cast("string"), F.lit("00"))).otherwise("broken|line")
-    bodies = derived(spark, sf_dir, "fx_parcels").groupBy((F.col("parcel_id") % 97).alias("source_id")).agg(F.concat(F.lit("0\n"), F.array_join(F.collect_list(line), "\n")).alias("body"))
+    bodies = derived(spark, sf_dir, "fx_parcels").groupBy(F.expr("parcel_id div 100").alias("source_id")).agg(F.concat(F.lit("0\n"), F.array_join(F.collect_list(line), "\n")).alias("body"))
     return geojson.ingest_cadastre(bodies).groupBy("commune").agg(F.count(F.lit(1)).alias("n"), F.min("parcel").alias("first_parcel"))
 
 
