@@ -53,14 +53,18 @@ class Network:
         }
         self.shift = 0.0
 
-    def pooled(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(chunks, FILTERS) largest responses, and where in the chunk each is."""
+    def pooled(self, rows: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(chunks, FILTERS) largest responses, and where in the chunk each is.
+
+        ``last``: the chunks that end a text; responses that would reach into the next text take no part.
+        """
         n = len(rows) - (PARTS - 1)
         x = self.w["embed"][rows.ravel()].reshape(len(rows), STEP * DIM)
         y = x[:n] @ self.w["filters"][0]
         for k in range(1, PARTS):
             y += x[k : k + n] @ self.w["filters"][k]
         y = y.reshape(-1, CHUNK, FILTERS)
+        y[last, CHUNK - (PARTS - 1) :] = -np.inf
         at = y.argmax(1)
         return np.take_along_axis(y, at[:, None, :], 1)[:, 0, :] + self.w["bias"], at
 
@@ -68,7 +72,8 @@ class Network:
         if len(offsets) < 2:
             return np.zeros(0)
         rows, first = packed(data, offsets)
-        top = np.concatenate([np.tanh(self.pooled(rows[a * CHUNK : b * CHUNK + PARTS - 1])[0]) for a, b in blocks(first[-1])])
+        ends = first[1:] - 1
+        top = np.concatenate([np.tanh(self.pooled(rows[a * CHUNK : b * CHUNK + PARTS - 1], ends[(ends >= a) & (ends < b)] - a)[0]) for a, b in blocks(first[-1])])
         mean = np.add.reduceat(top, first[:-1], 0) / np.diff(first)[:, None]
         most = np.maximum.reduceat(top, first[:-1], 0)
         z = np.hstack([mean, most]).astype(np.float64) @ self.w["out"].astype(np.float64) + float(self.w["intercept"][0]) + self.shift
@@ -83,7 +88,7 @@ class Network:
                 part = order[a : a + batch]
                 offsets = np.concatenate(([0], np.cumsum([len(texts[i]) for i in part])))
                 rows, first = packed(np.frombuffer(b"".join(texts[i] for i in part), np.uint8), offsets)
-                raw, at = self.pooled(rows)
+                raw, at = self.pooled(rows, first[1:] - 1)
                 top = np.tanh(raw)
                 sizes = np.diff(first)
                 mean = np.add.reduceat(top, first[:-1], 0) / sizes[:, None]
