@@ -135,6 +135,8 @@ def _best(k: int, centre: dict[int, np.ndarray], width: float):
                 unit = (turned / np.where(qfar > 0, qfar, 1)[:, None]).astype(np.float32)
                 if key not in states:
                     states[key] = [(np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)), qids]
+                by_id = np.argsort(ids, kind="stable")
+                starts = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id][:1] - 1)) if n else by_id
                 error = width * np.sqrt(np.maximum(0, 1 - own * own) / (own * own * max(1, dim - 1))) + 1e-5
                 for a in range(0, len(q), 256):
                     rows = slice(a, a + 256)
@@ -145,8 +147,11 @@ def _best(k: int, centre: dict[int, np.ndarray], width: float):
                     slack = scale * error[None, :]
                     state = tuple(s[rows] for s in states[key][0])
                     limit = state[0][:, -1] ** 2
-                    if n >= k:
-                        limit = np.minimum(limit, np.partition(middle + slack, k - 1, axis=1)[:, k - 1])
+                    if len(starts) >= k:
+                        upper = middle + slack
+                        if len(starts) < n:  # of rows that repeat an id the nearest counts, once
+                            upper = np.minimum.reduceat(upper[:, by_id], starts, axis=1)
+                        limit = np.minimum(limit, np.partition(upper, k - 1, axis=1)[:, k - 1])
                     qi, ci = np.nonzero((middle - slack <= limit[:, None] * (1 + 1e-9)) & (middle < np.inf))
                     exact = np.empty(len(qi))
                     for c in range(0, len(qi), 1 << 15):
