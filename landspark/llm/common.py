@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import gc
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +30,62 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none (tests, local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: While a table is written: shuffle files go when the job ends, and Python gets batches of bounded bytes, however long the texts.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage with files that outlive any executor.  Plans that are no longer referenced let Spark remove
-    their shuffle files, so the disk holds one step's shuffle at a time.
+    This cuts the lineage with files that outlive any executor, and the disk holds one step's shuffle at a time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: What operators keep in a Python worker from task to task; each has ``clear``.
+HELD: list = []
+
+
+def give_back() -> None:
+    """Empty all that operators keep in this worker, and return freed memory to the system: workers outlive tasks."""
+    for x in HELD:
+        x.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own account
+        pass
+
+
+def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``task`` for ``mapInArrow``, with ``give_back`` at its end."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def discard(*tables: DataFrame) -> None:
@@ -85,6 +125,10 @@ class Powers:
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.clear()
+        HELD.append(self)
+
+    def clear(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     def grow(self, n: int) -> None:
@@ -93,7 +137,7 @@ class Powers:
             self.up, self.down = (np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64)))) for b in (self.base, self.inverse))
 
 
-BYTE_POWERS, WORD_POWERS = Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95)
+WORD_POWERS = Powers(0xD1342543DE82EF95)
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +163,13 @@ def groups_of(offsets: np.ndarray, size: int = 1 << 19):
         i = min(j, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of back-to-back texts: each word's 64-bit hash, first byte, end, and the number of its document."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of back-to-back texts: each word's 64-bit hash, first byte, end, and the number of its document.
+
+    A word is taken eight bytes at a time; each piece goes through a bijective finaliser together with what came before, so
+    words of one length up to eight bytes never share a hash and longer ones share one by chance alone, whatever pattern
+    they repeat.  Hashes of different seeds are independent of each other.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -134,8 +183,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = offsets[1:][offsets[1:] > 0] - 1
     last[ends] = inside[ends]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    BYTE_POWERS.grow(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(data * BYTE_POWERS.up[:n], out=total[1:])
-    h = (total[e] - total[s]) * BYTE_POWERS.down[s] + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    return mix(h), s, e, np.searchsorted(offsets, s, side="right") - 1
+    return hashes_between(data, s, e, seed), s, e, np.searchsorted(offsets, s, side="right") - 1
+
+
+def hashes_between(data: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes from each of ``s`` up to each of ``e``."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    size = (e - s).astype(np.uint64)
+    h = mix(size * np.uint64(0xA24BAED4963EE407) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x1F83D9ABFB41BD6B) & MASK))
+    who, at = np.arange(len(s)), s
+    while len(who):
+        left = e[who] - at
+        piece = np.ascontiguousarray(eights[at]).view("<u8")[:, 0]
+        short = left < 8
+        piece = np.where(short, piece & ~(np.uint64(MASK) << (np.minimum(left, 7).astype(np.uint64) * np.uint64(8))), piece)
+        h[who] = mix((h[who] ^ piece) * np.uint64(0x9FB21C651E98DF25) + np.uint64(0xD6E8FEB86659FD93))
+        more = left > 8
+        who, at = who[more], at[more] + 8
+    return h

@@ -8,9 +8,10 @@ D + 1 blocks in any order that all documents share.  These blocks' parities, wit
 Blocks of shingles that are frequent everywhere come last in the order.
 
 Before pairs are compared in full, a 512-bit parity sketch of the whole set rejects those whose Hamming distance, which
-never exceeds the symmetric difference, is above D.  No key's group is ever expanded into pairs: a first round compares
-each document with the leader it shares most keys with, and joins what links into components; a second round compares,
-within each key, only documents of different components.  No link that could join two components is left out.
+never exceeds the symmetric difference, is above D.  A group of copies is not expanded into pairs: a first round compares
+each document with the leader it shares most keys with and joins what links into components; further rounds try one pair
+for every two components that meet in a key, and relabel; the last one compares, within each key, whatever documents are
+still in different components.  No link that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from landspark.llm.common import WORD_POWERS, discard, groups_of, materialise, mix, small_keys, text_buffer, word_hashes
+from landspark.llm.common import WORD_POWERS, discard, groups_of, materialise, mix, released, small_keys, text_buffer, word_hashes
 from landspark.llm.graph import components
 
 SHINGLE = 5
@@ -31,8 +32,10 @@ FLUSH = 2_500_000
 #: A shingle is frequent if this many documents of one such batch, or more, hold it; the most frequent ones are kept.
 OFTEN, OFTEN_KEPT = 4, 500_000
 SKETCH = 8  # words of 64 bits
-#: Leaders that each document is compared with in the first round, and keys before a shared one that tell it is not a pair's first.
-LEADERS, BEFORE = 3, 3
+#: Keys before a shared one that tell it is not a pair's first.
+BEFORE = 3
+#: Rounds at most in which neighbours are tried before all pairs that are left, and documents of a key in one order.
+ROUNDS, SPLIT = 8, 256
 U = np.uint64
 #: Largest set of the first band, and of each further band; within a band all sets have the same number of blocks.
 FIRST, SECOND = 64, 256
@@ -72,12 +75,20 @@ def band(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SETS = "doc_id long, n long, x long, y long, token long, often long"
 
 
+@released
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document: size and 128-bit fingerprint of its set; and rows of tokens that are frequent in a batch."""
     names = [c.split()[0] for c in SETS.split(", ")]
+    tokens, held = [], 0
+
+    def frequent() -> pa.RecordBatch:
+        found, count = np.unique(np.concatenate(tokens), return_counts=True)
+        found, count = found[count >= OFTEN], count[count >= OFTEN]
+        none = pa.nulls(len(found), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(found.view(np.int64)), pa.array(count)], names=names)
+
     for b in batches:
         data, offsets = text_buffer(b.column(1))
-        tokens, held = [], 0
         for i, j in groups_of(offsets):
             of, s = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             n = np.bincount(of, minlength=j - i)
@@ -90,13 +101,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = pa.nulls(j - i, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.array(n), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), none, none], names=names)
             held += len(s)
-            if held >= FLUSH or j == b.num_rows:
-                found, count = np.unique(np.concatenate(tokens), return_counts=True)
-                found, count = found[count >= OFTEN], count[count >= OFTEN]
+            if held >= FLUSH:
+                yield frequent()
                 tokens, held = [], 0
-                if len(found):
-                    none = pa.nulls(len(found), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(found.view(np.int64)), pa.array(count)], names=names)
+    if held:
+        yield frequent()
 
 
 def prefix_keys(of: np.ndarray, s: np.ndarray, m: np.ndarray, bits: np.ndarray, most: np.ndarray, often: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,11 +135,12 @@ KEYS = "key long, r long, leader long, led boolean"
 
 
 def _keys(often: np.ndarray):
+    @released
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, keys, held = [], [], 0
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data, offsets = text_buffer(b.column(1))
-            docs, keys, held = [], [], 0
             for i, j in groups_of(offsets):
                 of, s = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 m = np.bincount(of, minlength=j - i)
@@ -139,26 +149,28 @@ def _keys(often: np.ndarray):
                 own = (3 * m + np.minimum(4 * m, 3 * top)) // 21
                 for most, shift, ask in ((own, bits, m > 0), (m // 3, band(top + 1)[0], (m > 0) & (4 * m > 3 * top))):
                     d, k = prefix_keys(of, s, m, shift, most, often, ask)
-                    docs.append(d + i)
+                    docs.append(ids[d + i])
                     keys.append(k)
                     held += len(k)
-                if held >= FLUSH // 4 or j == b.num_rows:
-                    if held:
-                        yield _led(ids, np.concatenate(docs), np.concatenate(keys))
+                if held >= FLUSH // 4:
+                    yield _led(np.concatenate(docs), np.concatenate(keys))
                     docs, keys, held = [], [], 0
+        if held:
+            yield _led(np.concatenate(docs), np.concatenate(keys))
 
     return find
 
 
-def _led(ids: np.ndarray, d: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-    """Keys of one batch: a key's documents follow its first one, so that a key leaves a batch once."""
+def _led(r: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+    """Documents and keys that were gathered: a key's documents follow its first one, so that a key leaves them once."""
     _, first, back, count = np.unique(k, return_index=True, return_inverse=True, return_counts=True)
     back = back.ravel()
-    lead, r = first[back], ids[d]
-    own = lead == np.arange(len(d))
+    lead = first[back]
+    own = lead == np.arange(len(k))
     return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(r), pa.array(r[lead], mask=own), pa.array(own & (count[back] > 1))], names=["key", "r", "leader", "led"])
 
 
+@released
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's shingle hashes, in order, as bytes."""
     for b in batches:
@@ -172,6 +184,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 INFO = "r long, m int, " + ", ".join(f"k{i} long" for i in range(SKETCH))
 
 
+@released
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's set size and 512-bit parity sketch."""
     width = 64 * SKETCH
@@ -186,6 +199,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), pa.array(m), *(pa.array(np.ascontiguousarray(words[:, c])) for c in range(SKETCH))], names=[x.split()[0] for x in INFO.split(", ")])
 
 
+@released
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose sets are similar: 100 * intersection >= 75 * union."""
     for batch in batches:
@@ -197,13 +211,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _hamming():
-    out = F.lit(0)
-    for i in range(SKETCH):
-        out = out + F.bit_count(F.col(f"x.k{i}").bitwiseXOR(F.col(f"y.k{i}")))
-    return out
-
-
+@released
 def _long_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's set size and a parity sketch of about as many bits as the set has members, 512 at least."""
     for b in batches:
@@ -221,6 +229,7 @@ def _long_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(m.astype(np.int64)), pa.array(bits, pa.binary())], names=["r", "m", "bits"])
 
 
+@released
 def _near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose sizes and sketches allow similarity; the longer sketch is folded onto the shorter, which keeps parities."""
     for batch in batches:
@@ -262,6 +271,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _may_link(x, y):
+    """Whether two rows' sizes and sketches allow similarity; ``x`` and ``y`` give a column of either row by name."""
+    apart = F.lit(0)
+    for i in range(SKETCH):
+        apart = apart + F.bit_count(x(f"k{i}").bitwiseXOR(y(f"k{i}")))
+    return (4 * F.least(x("m"), y("m")) >= 3 * F.greatest(x("m"), y("m"))) & (7 * apart <= x("m") + y("m"))
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """``rows`` with the component c of the document r; a document without a link is its own."""
+    of = small_keys(label.select(F.col("node").alias("r"), F.col("component").alias("_c")))
+    return rows.join(of, "r", "left").withColumn("c", F.coalesce("_c", "r")).drop("_c")
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, component) after the links (a, b) between documents; the graph that is solved is that of components."""
+    ends = _labelled(_labelled(links.select(F.col("a").alias("r"), "b"), label).select(F.col("b").alias("r"), F.col("c").alias("a")), label)
+    over = materialise(components(ends.select("a", F.col("c").alias("b")).distinct()), "over")
+    up = small_keys(over.select(F.col("node").alias("component"), F.col("component").alias("_top")))
+    moved = label.join(up, "component", "left").select("node", F.coalesce("_top", "component").alias("component"))
+    alone = over.join(label.select("node"), "node", "left_anti").select("node", "component")
+    out = materialise(moved.unionByName(alone), "label")
+    discard(label, over)
+    return out
+
+
+def _neighbour_rounds(rows: DataFrame, label: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels, and the rows of keys that still hold several components, after rounds that join most of what can be joined.
+
+    In each round the documents of a key stand in a random order of their own and each looks at the next one; of all such
+    pairs between the same two components the one with the nearest sketches is verified.  A round is linear in the rows and
+    loses nothing: what it doesn't link is left for the next round, and in the end for the comparison of all pairs.
+    Keys of many documents are split for the order.  Rounds end when less than a tenth of the pairs tried are links.
+    """
+    for turn in range(ROUNDS):
+        held = _labelled(rows, label)
+        split = Window.partitionBy("key", F.pmod(F.xxhash64("r", F.lit(turn)), 1 + (F.col("n") / SPLIT).cast("long"))).orderBy(F.xxhash64("key", "r", F.lit(turn)), "r")
+        follower = F.lead(F.struct("r", "c", "m", *(f"k{i}" for i in range(SKETCH)))).over(split)
+        pair = held.select("*", follower.alias("o")).filter(F.col("o.c") != F.col("c")).filter(_may_link(F.col, lambda c: F.col(f"o.{c}")))
+        ratio = sum((F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"o.k{i}"))) for i in range(SKETCH)), F.lit(0)) / (F.col("m") + F.col("o.m"))
+        one = pair.groupBy(F.least("c", "o.c").alias("u"), F.greatest("c", "o.c").alias("v")).agg(F.min(F.struct(ratio.alias("d"), F.col("r").alias("a"), F.col("o.r").alias("b"))).alias("p"))
+        tried = materialise(one.select("p.a", "p.b"), "tried")
+        n = tried.count()
+        links = _verified(tried, texts, "links") if n else tried
+        found = links.count() if n else 0
+        if found:
+            label = _merged(label, links)
+            several = _labelled(rows, label).groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).filter("_low <> _high").select("key")
+            left = materialise(rows.join(several, "key", "left_semi"), "rows")
+            discard(rows)
+            rows = left
+        if found * 10 < n or not n:
+            break
+    return label, rows
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles and component_id.
 
@@ -292,45 +357,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(keys, led)
     del keys, led, followers
 
-    # first round: each document against the few leaders with which it shares most keys
+    # first round: each document against the leader it shares most keys with
     counted = shared.filter("r <> leader").groupBy("r", "leader").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.withColumn("_n", F.row_number().over(Window.partitionBy("r").orderBy(F.desc("n"), "leader"))).filter(F.col("_n") <= LEADERS)
+    best = counted.groupBy("r").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
     first = _verified(best.select(F.col("r").alias("a"), F.col("leader").alias("b")), texts, "first")
-    found = materialise(components(first.union(several)), "found")
+    label = materialise(components(first.union(several)), "label")
+    discard(first)
 
-    # second round: what shares a key and is still apart
-    placed = shared.select("key", "r").distinct().join(found, F.col("r") == F.col("node"), "left").select("key", "r", F.coalesce("component", "r").alias("c"))
-    placed = materialise(placed, "placed")
+    placed = materialise(_labelled(shared.select("key", "r").distinct(), label), "placed")
     # keys with the same documents say the same: one of them stays, told by a 128-bit fingerprint of the documents
     spread = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("r")).alias("x"), F.bit_xor(F.xxhash64("r", F.lit(1))).alias("y"))
-    apart = spread.filter("low <> high").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    # documents that share many keys would meet in each: a pair meets where no key shortly before, in both lists, is shared
-    # (where a list has none before, its document's id stands, which no other document has)
-    in_list = Window.partitionBy("r").orderBy("key")
-    apart = placed.join(apart, "key").select("*", *(F.coalesce(F.lag("key", i).over(in_list), F.col("r")).alias(f"p{i}") for i in range(1, BEFORE + 1)))
-    apart = materialise(apart, "apart")
+    apart = spread.filter("low <> high").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    apart = materialise(placed.select("key", "r").join(apart, "key"), "apart")
     discard(placed, shared)
     del placed, shared
-    nodes = small_keys(apart.select("r").distinct())
-    info = texts.join(nodes, "r", "left_semi").mapInArrow(_sketches, INFO)
+    info = materialise(texts.join(small_keys(apart.select("r").distinct()), "r", "left_semi").mapInArrow(_sketches, INFO), "sketches")
     rows = materialise(apart.join(info, "r"), "apart-sketched")
+    discard(apart, info)
+    label, rows = _neighbour_rounds(rows, label, texts)
+
+    # last: every pair that shares a key and is still in two components
+    rows = _labelled(rows, label)
+    # documents that share many keys would meet in each: a pair meets where no key shortly before, in both lists, is shared
+    # (where a list has none before, its document's id stands, which no other document has)
+    in_list = Window.partitionBy("r").orderBy("key")
+    rows = materialise(rows.select("*", *(F.coalesce(F.lag("key", i).over(in_list), F.col("r")).alias(f"p{i}") for i in range(1, BEFORE + 1))), "last-rows")
     x, y = rows.alias("x"), rows.alias("y")
-    sizes = F.col("x.m") + F.col("y.m")
     met = F.lit(False)
     for i in range(1, BEFORE + 1):
         for j in range(1, BEFORE + 1):
             met = met | (F.col(f"x.p{i}") == F.col(f"y.p{j}"))
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & ~met & (4 * F.least("x.m", "y.m") >= 3 * F.greatest("x.m", "y.m")) & (7 * _hamming() <= sizes)
-    second = _verified(x.join(y, near).select(F.col("x.r").alias("a"), F.col("y.r").alias("b")).distinct(), texts, "second")
-    discard(apart, rows)
-    # links between components, not between their documents: the second graph is small
-    c = lambda name: F.coalesce(f"{name}.component", F.col(name[0]))
-    one, two = found.alias("a_of"), found.alias("b_of")
-    between = second.join(one, F.col("a") == F.col("a_of.node"), "left").join(two, F.col("b") == F.col("b_of.node"), "left").select(c("a_of").alias("a"), c("b_of").alias("b")).distinct()
-    over = materialise(components(between), "over").select(F.col("node").alias("component"), F.col("component").alias("top"))
-    place = found.join(over, "component", "left").select(F.col("node").alias("rep"), F.coalesce("top", "component").alias("c"))
-    alone = over.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("rep"), F.col("top").alias("c"))
-    final = member.join(place.union(alone), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("c", "rep")).alias("_component")).withColumnRenamed("doc_id", "_node")
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & ~met & _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
+    last = _verified(x.join(y, near).select(F.col("x.r").alias("a"), F.col("y.r").alias("b")).distinct(), texts, "last")
+    label = _merged(label, last)
+    discard(rows, last)
+    place = label.select(F.col("node").alias("rep"), F.col("component").alias("c"))
+    final = member.join(place, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("c", "rep")).alias("_component")).withColumnRenamed("doc_id", "_node")
     return sets.join(final, sets["doc_id"] == final["_node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id")
     )

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landspark.llm.common import materialise
+from landspark.llm.common import HELD, materialise
 
 WINDOW = 2048
 END_ID = 1
@@ -124,6 +124,7 @@ class Remembered(dict):
 
 
 _ENCODERS: dict[str, Encoder] = {}
+HELD.append(_ENCODERS)  # another operator's task in the worker empties it
 
 
 def encoder(path: str) -> Encoder:
