@@ -4,10 +4,15 @@ A tree builder closes elements that HTML lets authors leave open, visibility rul
 and a renderer walks the tree: blocks stand on lines of their own with blank lines where browsers put margins, lists keep
 their bullets, numbers and nesting, preformatted text keeps its spaces, and the cells of a table stand in aligned columns.
 Nothing visible is dropped: navigation and footers stay.
+
+Depth is shown within bounds, so that the text grows with the page: a line is indented by ``INDENT`` columns at most, a
+column of a table counts ``WIDEST`` characters at most for alignment (longer cells push what follows on their line), no cell
+begins right of ``RIGHTMOST``, and in tables inside ``TABLES`` others cells stand below each other, each on its own lines.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -15,6 +20,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Bounds on how depth is shown.
+INDENT, WIDEST, RIGHTMOST, TABLES = 40, 120, 1200, 6
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head title script style template noscript iframe object canvas audio video datalist".split())
 #: Parts of drawings and formulas that are not shown, or only where others refer to them.
@@ -186,7 +194,7 @@ class Block:
     def __init__(self):
         self.lines: list[str] = []
         self.parts: list[str] = []
-        self.gap, self.margin, self.marker, self.indent = False, 0, "", ""
+        self.gap, self.margin, self.marker, self.indent = False, 0, "", 0
 
     def text(self, s: str) -> None:
         words = SPACES.sub(" ", s)
@@ -205,7 +213,8 @@ class Block:
         if self.lines:
             self.lines.extend([""] * self.margin)
         self.margin = 0
-        self.lines.append(((self.indent[: len(self.indent) - len(self.marker)] + self.marker if self.marker else self.indent) + line).rstrip(" "))
+        left = max(0, min(self.indent, INDENT) - len(self.marker))
+        self.lines.append((" " * left + self.marker + line).rstrip(" "))
         self.marker = ""
 
     def end_line(self, margin: int = 0, forced: bool = False) -> None:
@@ -235,15 +244,19 @@ def lay_table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
             c += wide
     width: dict[int, int] = {}
     for r, c, wide, lines in sorted(placed, key=lambda x: x[2]):
-        need = max(map(len, lines), default=0) - sum(width.get(k, 0) + 2 for k in range(c, c + wide - 1))
+        need = min(max(map(len, lines), default=0), WIDEST) - sum(width.get(k, 0) + 2 for k in range(c, c + wide - 1))
         width[c + wide - 1] = max(width.get(c + wide - 1, 0), need)
     used = sorted(width)
     left, place = {}, 0
     for k in used:
-        left[k] = place
+        left[k] = min(place, RIGHTMOST)
         place += width[k] + 2 if width[k] else 0
-    # a spanning cell begins where its first column that has a width does
-    start = lambda c: next((left[k] for k in used if k >= c), place)
+
+    def start(c: int) -> int:
+        """A spanning cell begins where its first column that has a width does."""
+        k = bisect.bisect_left(used, c)
+        return left[used[k]] if k < len(used) else min(place, RIGHTMOST)
+
     out: list[str] = []
     by_row: dict[int, list] = {}
     for r, c, _, lines in placed:
@@ -254,14 +267,14 @@ def lay_table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
             line = ""
             for at, lines in cells:
                 if k < len(lines) and lines[k]:
-                    line = line.ljust(at) + lines[k]
+                    line = (line.ljust(at) if len(line) + 2 <= at or not line else line + "  ") + lines[k]
             out.append(line.rstrip(" "))
     return out
 
 
 def render(root: Node) -> str:
     """The visible text of a tree; walks with a stack of its own, so that depth is no limit."""
-    blocks, tables, lists, pre = [Block()], [], [], 0
+    blocks, tables, lists, pre, plain = [Block()], [], [], 0, 0  # plain: open tables whose cells stand below each other
     todo: list[tuple] = [(root, False)]
     while todo:
         node, leaving = todo.pop()
@@ -302,7 +315,7 @@ def render(root: Node) -> str:
                 if tag == "option":  # its label is shown in place of its text
                     out.text(" ")
                     continue
-            if tag in BLOCKS:
+            if tag in BLOCKS or plain and tag in ("tr", "td", "th"):
                 out.end_line(1 if tag in MARGIN and not (tag in LISTS and lists) else 0)
             if tag in LISTS:
                 first = node.attrs.get("start", "1").strip()
@@ -312,11 +325,11 @@ def render(root: Node) -> str:
                 if lists and lists[-1][0]:
                     marker = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
-                out.indent += " " * len(marker)
+                out.indent += len(marker)
                 out.marker = (out.marker + marker) if out.marker else marker
                 node.attrs["_"] = marker
             elif tag == "dd" or tag == "blockquote":
-                out.indent += "  "
+                out.indent += 2
             elif tag in ("pre", "textarea"):
                 pre += 1
                 if tag == "textarea" and out.gap:
@@ -324,18 +337,23 @@ def render(root: Node) -> str:
                     out.gap = False
                 if node.children and isinstance(node.children[0], str):
                     node.children[0] = re.sub(r"^\r?\n", "", node.children[0])
+            elif tag == "table" and (plain or len(tables) >= TABLES):
+                plain += 1
             elif tag == "table":
                 tables.append([])
-            elif tag == "tr" and tables:
+            elif tag == "tr" and tables and not plain:
                 tables[-1].append([])
-            elif tag in ("td", "th") and tables:
+            elif tag in ("td", "th") and tables and not plain:
                 if not tables[-1]:
                     tables[-1].append([])
                 blocks.append(Block())
             todo.append((node, True))
             todo.extend((x, False) for x in reversed(node.children))
             continue
-        if tag in ("td", "th") and tables:
+        if plain and tag in ("table", "tr", "td", "th"):
+            plain -= tag == "table"
+            out.end_line(tag == "table")
+        elif tag in ("td", "th") and tables:
             cell = blocks.pop()
             cell.end_line()
             lines = cell.lines
@@ -355,10 +373,10 @@ def render(root: Node) -> str:
             if tag in LISTS and lists:
                 lists.pop()
             elif tag == "li":
-                out.indent = out.indent[: len(out.indent) - len(node.attrs["_"])]
+                out.indent -= len(node.attrs["_"])
                 out.marker = ""
             elif tag in ("dd", "blockquote"):
-                out.indent = out.indent[:-2]
+                out.indent -= 2
     blocks[0].end_line()
     return "\n".join(blocks[0].lines).strip("\n")
 
@@ -371,7 +389,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """One row for each row of ``pages``: page_id, text, n_chars, n_lines.
 
     Null and empty html give an empty text.  Rows that repeat an id are rendered each on its own; an empty table gives no
-    rows; other columns are not read.  No size of page and no depth of nesting is too large.
+    rows; other columns are not read.  No size of page and no depth of nesting is too large: see the bounds above.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
