@@ -49,7 +49,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(spark, table(spark, sf_dir, "pages")).drop("payload")
+    return warc.archive_pages(spark, table(spark, sf_dir, "pages")).drop("payload", "url")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

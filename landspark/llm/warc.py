@@ -16,42 +16,59 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landspark.llm.common import materialise, shared_dir
+from landspark.llm.common import materialise, shared_dir, small_keys
 
 #: Payloads of fewer bytes are never replaced by a reference to an equal one.
 LEAST = 100
+#: Repeated digests, of about a hundred bytes a row, that may be broadcast.
+REPEATED = 200_000
 #: Bytes of records after which a task begins the next archive file.
 ROLL = 16 << 20
 CRLF = b"\r\n"
 
 
 def record_types(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Of each page: page_id, _payload, _digest, record_type and refers_to.
+    """Of each page: page_id, _url, _payload, _digest, record_type and refers_to.
 
     Of equal payloads of at least ``least`` bytes the smallest page_id is a response and the others revisit it; null html
-    is empty.  Rows that repeat the smallest page_id are responses all.
+    is empty.  Rows that repeat the smallest page_id are responses all.  Payloads are not shuffled: the repeated digests are
+    counted and, as long as they are few, broadcast.  A table may do without the column url.
     """
-    base = pages.select("page_id", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("_payload")).withColumn("_digest", F.sha2("_payload", 256))
+    base = pages.select("page_id", (F.col("url") if "url" in pages.columns else F.lit(None)).cast("string").alias("_url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("_payload")).withColumn("_digest", F.sha2("_payload", 256))
     first = base.filter(F.octet_length("_payload") >= least).groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    first = materialise(first, "repeated-payloads")
     other = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("page_id")) & (F.octet_length("_payload") >= least)
-    return base.join(first, "_digest", "left").select(
-        "page_id", "_payload", "_digest", F.when(other, "revisit").otherwise("response").alias("record_type"), F.when(other, F.col("_first")).alias("refers_to")
+    return base.join(small_keys(first, REPEATED), "_digest", "left").select(
+        "page_id", "_url", "_payload", "_digest", F.when(other, "revisit").otherwise("response").alias("record_type"), F.when(other, F.col("_first")).alias("refers_to")
     )
 
 
-def _record(page, payload: bytes, digest: str, kind: str, refers) -> bytes:
-    """One WARC/1.1 record; a revisit has no payload, but says the length and digest of what it stands for."""
-    head = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <urn:page:%s>" % str(page).encode(), b"Content-Type: text/html; charset=utf-8"]
-    head += [b"WARC-Payload-Digest: sha256:" + digest.encode(), b"WARC-Payload-Length: %d" % len(payload)]
+def _uri(page, url: str | None) -> bytes:
+    """The target URI of a page: its url, with what may not stand in a header or a URI escaped; its id where it has none."""
+    return quote(url.strip(), safe="!#$%&'()*+,/:;=?@[]~-._").encode() if url and url.strip() else b"urn:page:%s" % _name(page)
+
+
+def _name(page) -> bytes:
+    return b"" if page is None else str(page).encode()
+
+
+def _record(page, url: str | None, payload: bytes, digest: str, kind: str, refers, date: str) -> bytes:
+    """One WARC/1.1 record.  Its block is an HTTP response; of a revisit, the response's head alone, as the profile says."""
+    head = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <urn:page:%s>" % _name(page), b"WARC-Date: " + date.encode(), b"WARC-Target-URI: " + _uri(page, url)]
+    head += [b"Content-Type: application/http;msgtype=response", b"WARC-Payload-Digest: sha256:" + digest.encode()]
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if kind == "revisit":
-        head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: <urn:page:%s>" % str(refers).encode()]
-        payload = b""
-    return CRLF.join([*head, b"Content-Length: %d" % len(payload), b"", b""]) + payload + CRLF + CRLF
+        head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: <urn:page:%s>" % _name(refers)]
+    else:
+        block += payload
+    return CRLF.join([*head, b"Content-Length: %d" % len(block), b"", b""]) + block + CRLF + CRLF
 
 
 def _store(uri: str):
@@ -69,8 +86,12 @@ def _put(uri: str, name: str, data: bytes) -> str:
     return name
 
 
-def write_archives(records: DataFrame, uri: str, roll: int = ROLL, level: int = 3) -> DataFrame:
-    """Write the rows of ``record_types`` as monolithic ``.warc.gz`` files under ``uri``; a table of their names (file, n_records)."""
+def write_archives(records: DataFrame, uri: str, roll: int = ROLL, level: int = 3, date: str | None = None) -> DataFrame:
+    """Write the rows of ``record_types`` as monolithic ``.warc.gz`` files under ``uri``; a table of their names (file, n_records).
+
+    ``date``: the records' WARC-Date, in UTC (the time of the call, if none is given).
+    """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(parts, n, press):
@@ -80,8 +101,8 @@ def write_archives(records: DataFrame, uri: str, roll: int = ROLL, level: int =
         parts, n, size, press = [], 0, 0, zlib.compressobj(level, zlib.DEFLATED, 31)
         for b in batches:
             for i in range(b.num_rows):
-                row = [b.column(k)[i].as_py() for k in range(5)]
-                record = _record(*row)
+                row = [b.column(k)[i].as_py() for k in range(6)]
+                record = _record(*row, date)
                 parts.append(press.compress(record))
                 n, size = n + 1, size + len(record)
                 if size >= roll:
@@ -92,7 +113,7 @@ def write_archives(records: DataFrame, uri: str, roll: int = ROLL, level: int =
 
     store, at = _store(uri)
     store.create_dir(at, recursive=True)
-    return materialise(records.select("page_id", "_payload", "_digest", "record_type", "refers_to").mapInArrow(write, "file string, n_records long"), "warc-files")
+    return materialise(records.select("page_id", "_url", "_payload", "_digest", "record_type", "refers_to").mapInArrow(write, "file string, n_records long"), "warc-files")
 
 
 class Inflated:
@@ -165,18 +186,18 @@ def _spread(files: DataFrame) -> DataFrame:
     return files.select("file").repartition(max(1, min(files.count(), 20_000)), "file")
 
 
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
 def read_records(files: DataFrame, uri: str, with_payload: bool = True) -> DataFrame:
     """The records of normalised archives, each from its own member by the index: ``RECORDS``.
 
-    Length and digest of a response are measured on what was read; a revisit's are those that its header says.
+    Length and digest of a response are measured on what was read; a revisit's are those that its headers say.
     """
 
     def page(mark: str) -> int | None:
         text = mark.removeprefix("<urn:page:").removesuffix(">")
-        return None if text == "None" else int(text)
+        return int(text) if text else None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = _store(uri)
@@ -190,11 +211,14 @@ def read_records(files: DataFrame, uri: str, with_payload: bool = True) -> DataF
                         flow.seek(x["offset"])
                         record = zlib.decompress(flow.read(x["length"]), 31)
                         cut = record.index(CRLF + CRLF)
-                        fields, payload = headers(record[:cut]), record[cut + 4 : -4]
+                        fields, block = headers(record[:cut]), record[cut + 4 : -4]
+                        cut = block.index(CRLF + CRLF)
+                        response, payload = headers(block[:cut]), block[cut + 4 :]
+                        of = page(fields["warc-record-id"]), fields["warc-target-uri"]
                         if fields["warc-type"] == "revisit":
-                            rows.append((page(fields["warc-record-id"]), int(fields["warc-payload-length"]), fields["warc-payload-digest"].removeprefix("sha256:"), "revisit", page(fields["warc-refers-to"]), None))
+                            rows.append((*of, int(response["content-length"]), fields["warc-payload-digest"].removeprefix("sha256:"), "revisit", page(fields["warc-refers-to"]), None))
                         else:
-                            rows.append((page(fields["warc-record-id"]), len(payload), hashlib.sha256(payload).hexdigest(), "response", None, payload if with_payload else None))
+                            rows.append((*of, len(payload), hashlib.sha256(payload).hexdigest(), "response", None, payload if with_payload else None))
                         if len(rows) >= 512:
                             yield _batch(rows)
                             rows = []
@@ -205,12 +229,15 @@ def read_records(files: DataFrame, uri: str, with_payload: bool = True) -> DataF
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Pages to archives, normalised and read back, in folders of their own in the shared folder; a row for each page."""
+    """Pages to archives, normalised and read back, in folders of their own in the shared folder; a row for each page.
+
+    Null html is an empty payload, a null url gives way to the page's id; null and repeated ids are records of their own.
+    """
     top = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     top = top if "://" in top else f"file://{top}"
     written = write_archives(record_types(pages), f"{top}/monolithic")
