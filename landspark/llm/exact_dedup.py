@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landspark.llm.common import small_keys
+from landspark.llm.common import materialise, small_keys
 
 #: Fingerprints that share a slot, on average over a whole filter of this many documents.
 SLOT = 2048
+#: Groups of copies, of about a hundred bytes a row, that may be broadcast.
+GROUPS = 200_000
 
 
 def quotient_bits(n_documents: int) -> int:
@@ -95,12 +97,13 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     bits = quotient_bits(docs.count()) if bits is None else bits
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_fp", F.xxhash64("_text"))
-    many = small_keys(repeated_fingerprints(base, bits).select("_fp"))
+    many = small_keys(materialise(repeated_fingerprints(base, bits).select("_fp"), "repeated-prints"))
     # bytes decide: grouping by the text itself; equal texts are combined before the shuffle
     equal = base.join(many, "_fp", "left_semi").groupBy("_text").agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
-    equal = equal.filter("_size > 1").select(F.sha2("_text", 256).alias("text_sha256"), "_keep", "_size")
+    equal = materialise(equal.filter("_size > 1").select(F.sha2("_text", 256).alias("text_sha256"), "_keep", "_size"), "equal-texts")
     light = base.select("doc_id", F.sha2("_text", 256).alias("text_sha256"))
-    return light.join(equal, "text_sha256", "left").select(
+    # a row for each group of copies: broadcast as long as they are few, so that no group's rows meet in one task
+    return light.join(small_keys(equal, GROUPS), "text_sha256", "left").select(
         "doc_id",
         F.coalesce("_keep", "doc_id").alias("keep_id"),
         F.coalesce("_size", F.lit(1)).alias("group_size"),
