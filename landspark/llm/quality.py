@@ -11,12 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landspark.llm.common import groups_of, text_buffer
+from landspark.llm.common import groups_of, released, text_buffer
 
 DIM, FILTERS, STEP, PARTS = 8, 16, 4, 3
 #: Steps (of four bytes) that a chunk advances; with the filter's reach, chunks overlap by eight bytes.
@@ -52,6 +51,16 @@ class Network:
             "intercept": np.zeros(1, f32),
         }
         self.shift = 0.0
+        self.settle()
+
+    def settle(self) -> None:
+        """Put embeddings and filters on grids whose products add up exactly in single precision (below 2**10).
+
+        A response is then the same number in whatever order a library adds its terms, and so is a text's score wherever
+        and beside whatever other texts it is computed.
+        """
+        for name, grid in (("embed", 64), ("filters", 256)):
+            self.w[name] = (np.round(self.w[name] * grid) / grid).astype(np.float32)
 
     def pooled(self, rows: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(chunks, FILTERS) largest responses, and where in the chunk each is.
@@ -76,7 +85,8 @@ class Network:
         top = np.concatenate([np.tanh(self.pooled(rows[a * CHUNK : b * CHUNK + PARTS - 1], ends[(ends >= a) & (ends < b)] - a)[0]) for a, b in blocks(first[-1])])
         mean = np.add.reduceat(top, first[:-1], 0) / np.diff(first)[:, None]
         most = np.maximum.reduceat(top, first[:-1], 0)
-        z = np.hstack([mean, most]).astype(np.float64) @ self.w["out"].astype(np.float64) + float(self.w["intercept"][0]) + self.shift
+        # summed row by row, so that rounding doesn't depend on the rows beside a text's own
+        z = (np.hstack([mean, most]).astype(np.float64) * self.w["out"].astype(np.float64)).sum(1) + float(self.w["intercept"][0]) + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 48, rate: float = 0.01, seed: int = 3) -> Network:
@@ -116,6 +126,7 @@ class Network:
                     m[k] = 0.9 * m.get(k, 0) + 0.1 * g
                     v[k] = 0.99 * v.get(k, 0) + 0.01 * g * g
                     self.w[k] -= step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)
+        self.settle()
         return self
 
 
@@ -167,6 +178,7 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     its own; an empty table gives no rows; no other column is read.
     """
 
+    @released
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_buffer(b.column(1))
@@ -177,9 +189,14 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``threshold``; columns as they were, in one pass without a shuffle."""
+    """The rows of ``docs`` whose text scores at least ``threshold``; columns as they were, in one pass without a shuffle.
+
+    Null and empty texts are scored as empty; rows that repeat an id are judged each by its own text; an empty table gives
+    no rows; without labels of both classes every text gets the labels' share, so all rows stay or all go.
+    """
     net, names = fit(docs, labels), docs.columns
 
+    @released
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_buffer(b.column(names.index("text")))
