@@ -1,11 +1,19 @@
 """Personal data in whole texts: fixed patterns, and a skip-chain conditional random field that adds what they miss.
 
 The patterns find emails, IP addresses, card and phone numbers.  Tokens that hold a digit or an at sign are the nodes of a
-conditional random field: neighbours in the text share a chain potential, and equal or similar tokens, however far apart
-in the document, share a skip potential (each occurrence with the one before, so that the edges grow with the tokens).
-Loopy message passing makes the labels of a document agree.  The field is learned here by pseudo-likelihood from what the
-patterns find in a bounded sample; tokens inside a candidate that a pattern dropped teach nothing.  Runs of tokens that it
-labels, that are well-formed and that no pattern covers, become further spans.
+conditional random field: neighbours in the text share a chain potential, and mentions of one thing, however far apart in
+the document, share a skip potential.  A mention is a token or a few neighbouring ones; two are the same if their digits
+(or their lower-cased letters) are, and similar if their last eight digits are or one digit differs.  Every mention is
+joined to the first one, so edges grow with the tokens and a label reaches all repeats in two steps.
+
+What the patterns find teaches the field, and so do echoes: some documents of the sample get, at their end, mentions of
+their own numbers in forms that no pattern knows (bare digits, spaces, slashes), and as many strange numbers in the same
+forms.  An echo has the label of what it repeats, a strange number none, and nothing but the skip edge tells them apart, so
+it is the skip weights that have to carry the label.
+Numbers of the sample that repeat a pattern's find without being one teach nothing: what they are is what is asked.
+
+What the patterns find is given; loopy message passing runs until the messages stand still.  Runs of tokens that the field labels, that are well-formed and
+that no pattern covers become further spans.
 """
 
 from __future__ import annotations
@@ -24,7 +32,12 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE, LONGEST = 1500, 32_768
 #: Probability from which a label counts.
 SURE = 0.6
-ROUNDS = 8
+#: What a pattern's find adds to a label's score.
+CERTAIN = 1e6
+#: Message passing ends when no message changes by more than ``STILL``, or after ``ROUNDS`` rounds.
+ROUNDS, STILL = 200, 1e-3
+#: Tokens of a mention at most, its digits, and digits by which longer ones are similar.
+TOKENS, LEAST_DIGITS, MOST_DIGITS, ENDING = 6, 7, 19, 8
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -34,6 +47,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ANY = re.compile(r"[0-9@]")
 NODE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 DIGITS = re.compile(r"[0-9]+")
+NUMBER = re.compile(r"\+?[0-9()./-]*[0-9][0-9()./-]*")
 TRIM = "\"'.,;:!?<>[]{}|"
 
 
@@ -105,15 +119,30 @@ def features(core: str, gap: bool) -> list[int]:
     return out + [11 + k for k, x in enumerate(tests) if x]
 
 
+def covered(places: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[int]:
+    """Of each place the kind of a span that it shares a character with, or -1."""
+    if not spans or not places:
+        return [-1] * len(places)
+    kind, start, end = np.array(sorted(spans, key=lambda s: s[1]), int).T
+    at = np.array(places, int)
+    reach = np.maximum.accumulate(end)  # of the spans up to one, the end that goes furthest, and whose it is
+    whose = np.maximum.accumulate(np.where(end == reach, np.arange(len(end)), 0))
+    last = np.searchsorted(start, at[:, 1]) - 1
+    return np.where((last >= 0) & (reach[last] > at[:, 0]), kind[whose[last]], -1).tolist()
+
+
 class Graph:
-    """Nodes and edges of several documents together."""
+    """Nodes and edges of several documents together; ``skip`` has mentions of the same, ``like`` similar ones.
+
+    ``given``: of each node the kind of the pattern's span that covers it, or -1.
+    """
 
     def __init__(self):
-        self.x, self.cores, self.places, self.doc = [], [], [], []
-        self.chain, self.skip = [], []
+        self.x, self.cores, self.places, self.doc, self.given = [], [], [], [], []
+        self.chain, self.skip, self.like = [], [], []
 
-    def add(self, doc: int, text: str) -> None:
-        last_end, last, seen = -2, -1, {}
+    def add(self, doc: int, text: str, spans: list[tuple[int, int, int]] = ()) -> None:
+        last_end, last, begin = -2, -1, len(self.x)
         for m in NODE.finditer(text):
             left = len(m[0]) - len(m[0].lstrip(TRIM))
             core = m[0].strip(TRIM)
@@ -128,12 +157,53 @@ class Graph:
             self.doc.append(doc)
             if near:
                 self.chain.append((last, k))
-            digits = "".join(DIGITS.findall(core))
-            key = digits if len(digits) >= 5 and "@" not in core else core.lower()
-            if key in seen and len(key) >= 4:
-                self.skip.append((seen[key], k))
-            seen[key] = k
             last, last_end = k, m.end()
+        self.given += covered(self.places[begin:], spans)
+        self._mentions(begin)
+
+    def _mentions(self, begin: int) -> None:
+        """Skip edges of the nodes from ``begin`` on: each mention's tokens with the first token of the first one like it.
+
+        Mentions that a pattern has found come first, so that what is known of a thing stands between all its mentions.
+        """
+        first: dict[tuple, tuple[int, int, str]] = {}
+        seen: set[tuple[int, int]] = set()
+        joined = {b for _, b in self.chain[-(len(self.x) - begin) :]} if len(self.x) > begin else set()
+
+        def meet(key: tuple, a: int, z: int, digits: str, edges: list, same=None) -> None:
+            u, v, other = first.setdefault(key, (a, z, digits))
+            if (v <= a or z <= u) and (same is None or same(digits, other)):
+                for k in range(a, z):
+                    if (u, k) not in seen:
+                        seen.add((u, k))
+                        edges.append((u, k))
+
+        one_differs = lambda x, y: x != y and sum(map(str.__ne__, x, y)) == 1
+        for a in sorted(range(begin, len(self.x)), key=lambda k: self.given[k] < 0):
+            core = self.cores[a]
+            if "@" in core or not NUMBER.fullmatch(core):
+                if len(core) >= 4:
+                    meet(("word", core.lower()), a, a + 1, "", self.skip)
+                continue
+            digits = ""
+            for z in range(a, min(a + TOKENS, len(self.x))):
+                if z > a and (z not in joined or self.cores[z][:1] == "+" or not NUMBER.fullmatch(self.cores[z])):
+                    break
+                digits += "".join(DIGITS.findall(self.cores[z]))
+                if len(digits) > MOST_DIGITS:
+                    break
+                if len(digits) >= LEAST_DIGITS:
+                    meet(("digits", digits), a, z + 1, digits, self.skip)
+                    if len(digits) > ENDING:
+                        meet(("ending", digits[-ENDING:]), a, z + 1, digits, self.like)
+            whole = "".join(DIGITS.findall(core))
+            if ENDING <= len(whole) <= MOST_DIGITS:  # one wrong digit leaves one half as it is
+                half = len(whole) // 2
+                meet(("left", len(whole), whole[:half]), a, a + 1, whole, self.like, one_differs)
+                meet(("right", len(whole), whole[half:]), a, a + 1, whole, self.like, one_differs)
+
+    def edges(self) -> tuple[np.ndarray, ...]:
+        return tuple(np.array(e, int).reshape(-1, 2) for e in (self.chain, self.skip, self.like))
 
     def matrix(self) -> np.ndarray:
         out = np.zeros((len(self.x), FEATURES))
@@ -146,55 +216,65 @@ LABELS = len(KINDS) + 1
 
 
 class Field:
+    """Weights of features, and of the labels at the two ends of a chain, skip or similarity edge (the latter two alike both ways)."""
+
     def __init__(self):
-        self.unary, self.chain, self.skip = np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))
+        self.unary = np.zeros((FEATURES, LABELS))
+        self.chain, self.skip, self.like = (np.zeros((LABELS, LABELS)) for _ in range(3))
 
-    def fit(self, graph: Graph, y: np.ndarray, known: np.ndarray, rounds: int = 250, rate: float = 0.08, decay: float = 2e-3) -> Field:
-        """Pseudo-likelihood: each known node given its neighbours' labels, all weights by Adam on the whole sample."""
+    def fit(self, graph: Graph, y: np.ndarray, known: np.ndarray, rounds: int = 600, rate: float = 0.08, decay: float = 2e-4) -> Field:
+        """Pseudo-likelihood: each known node given its known neighbours' labels, all weights by Adam on the whole sample."""
         x, hot = graph.matrix(), np.eye(LABELS)[y]
-        chain, skip = (np.array(e, int).reshape(-1, 2) for e in (graph.chain, graph.skip))
-        m = [0.0] * 3
-        v = [0.0] * 3
+        parts = [(e[known[e].all(1)], w) for e, w in zip(graph.edges(), (self.chain, self.skip, self.like), strict=True)]
+        # how often a node's neighbours, at either end of its edges, have each label
+        near = [tuple(np.stack([np.bincount(e[y[e[:, a]] == k, b], minlength=len(y)) for k in range(LABELS)], 1).astype(float) for a, b in ((0, 1), (1, 0))) for e, _ in parts]
+        weights = [self.unary, self.chain, self.skip, self.like]
+        m, v = [0.0] * 4, [0.0] * 4
         n = max(1, known.sum())
         for t in range(1, rounds + 1):
             z = x @ self.unary
-            for edges, w in ((chain, self.chain), (skip, self.skip)):
-                np.add.at(z, edges[:, 1], w[y[edges[:, 0]]])
-                np.add.at(z, edges[:, 0], w.T[y[edges[:, 1]]])
+            for (ahead, behind), (_, w) in zip(near, parts, strict=True):
+                z += ahead @ w + behind @ w.T
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             d = (p - hot) * known[:, None] / n
-            gs = (hot[skip[:, 0]].T @ d[skip[:, 1]]) + (d[skip[:, 0]].T @ hot[skip[:, 1]])
-            grads = [x.T @ d, (hot[chain[:, 0]].T @ d[chain[:, 1]]) + (d[chain[:, 0]].T @ hot[chain[:, 1]]), gs + gs.T]
-            for k, (w, g) in enumerate(zip((self.unary, self.chain, self.skip), grads, strict=True)):
+            grads = [x.T @ d] + [(hot[e[:, 0]].T @ d[e[:, 1]]) + (d[e[:, 0]].T @ hot[e[:, 1]]) for e, _ in parts]
+            for k in (2, 3):
+                grads[k] = grads[k] + grads[k].T
+            for k, (w, g) in enumerate(zip(weights, grads, strict=True)):
                 g = g + decay * w / 10
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
                 w -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
-        # agreement of equal tokens is what a skip edge stands for: it never repels an equal label
-        self.skip[np.diag_indices(LABELS)] = np.maximum(self.skip.diagonal(), 0.5)
         return self
 
     def marginals(self, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Loopy sum-product with damped messages, all edges at once."""
-        unary = graph.matrix() @ self.unary
-        edges = np.array(graph.chain + graph.skip, int).reshape(-1, 2)
+        """Loopy sum-product with damped messages, all edges at once, until they stand still.
+
+        What a pattern has found is not asked again.
+        """
+        unary, given = graph.matrix() @ self.unary, np.array(graph.given, int)
+        at = np.flatnonzero(given >= 0)
+        unary[at, given[at]] += CERTAIN
+        parts = [(e, w) for e, w in zip(graph.edges(), (self.chain, self.skip, self.like), strict=True)]
+        edges = np.concatenate([e for e, _ in parts])
         n = len(edges)
+        belief = unary
         if n:
-            kind = np.array([0] * len(graph.chain) + [1] * len(graph.skip))
-            w = np.stack([self.chain, self.skip])[kind]
+            w = np.concatenate([np.broadcast_to(w, (len(e), LABELS, LABELS)) for e, w in parts])
             source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
             w = np.concatenate([w, w.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
             message = np.zeros((2 * n, LABELS))
-        belief = unary
-        for _ in range(rounds if n else 0):
-            out = (belief[source] - message[back])[:, :, None] + w
-            top = out.max(1)
-            new = np.log(np.exp(out - top[:, None, :]).sum(1)) + top
-            new -= new.max(1, keepdims=True)
-            message = 0.5 * message + 0.5 * new
-            belief = unary.copy()
-            np.add.at(belief, target, message)
+            for _ in range(rounds):
+                out = (belief[source] - message[back])[:, :, None] + w
+                top = out.max(1)
+                new = np.log(np.exp(out - top[:, None, :]).sum(1)) + top
+                new -= new.max(1, keepdims=True)
+                moved = np.abs(new - message).max()
+                message = 0.5 * message + 0.5 * new
+                belief = unary + np.stack([np.bincount(target, message[:, k], len(unary)) for k in range(LABELS)], 1)
+                if moved < STILL:
+                    break
         p = np.exp(belief - belief.max(1, keepdims=True)) if len(belief) else belief
         return p / p.sum(1, keepdims=True) if len(p) else p
 
@@ -209,15 +289,15 @@ def sane(kind: int, text: str) -> bool:
         return bool(IP.fullmatch(text)) and small_parts(text)
     if kind == 2:
         d = "".join(DIGITS.findall(text))
-        return 16 <= len(d) <= 19 and luhn(d) and CARD.fullmatch(text) is not None
-    return 8 <= n <= 15 and bool(re.fullmatch(r"\+?[0-9(][\x20().0-9-]+[0-9]", text))
+        return 16 <= len(d) <= 19 and luhn(d) and re.fullmatch(r"[0-9](?:[\x20./-]?[0-9])+", text) is not None
+    return 8 <= n <= 15 and bool(re.fullmatch(r"\+?[0-9(][\x20()./0-9-]+[0-9]", text))
 
 
 def further_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:
     """Of each text, the field's spans that overlap none of the patterns' spans."""
     graph = Graph()
     for i, t in enumerate(texts):
-        graph.add(i, t)
+        graph.add(i, t, bases[i])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not graph.x:
         return out
@@ -233,7 +313,7 @@ def further_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], fie
             j += 1
         if kind < LABELS - 1:
             i, start, end = graph.doc[k], graph.places[k][0], graph.places[j - 1][1]
-            if sane(kind, texts[i][start:end]) and not any(a < end and start < b for _, a, b in bases[i]):
+            if max(graph.given[k:j]) < 0 and sane(kind, texts[i][start:end]):
                 out[i].append((kind, start, end))
         k = j
     return out
@@ -251,14 +331,50 @@ def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Field:
     y, known = [], []
     for i, t in enumerate(texts):
         base, dropped = base_spans(t)
-        graph.add(i, t)
-        for a, b in graph.places[len(y) :]:
-            hit = [k for k, s, e in base if s < b and a < e]
+        text, spans = with_echoes(t, base) if i % 2 == 0 else (t, [])
+        graph.add(i, text, base)
+        begin = len(y)
+        found = {"".join(DIGITS.findall(t[s:e])) for k, s, e in base if k in (2, 3)}
+        for k in range(begin, len(graph.x)):
+            a, b = graph.places[k]
+            hit = [kind for kind, s, e in (base if a < len(t) else spans) if s < b and a < e]
+            digits = "".join(DIGITS.findall(graph.cores[k]))
+            asked = not hit and a < len(t) and len(digits) >= LEAST_DIGITS and any(digits in f or f in digits for f in found)
             y.append(hit[0] if hit else LABELS - 1)
-            known.append(bool(hit) or not any(s < b and a < e for s, e in dropped))
+            known.append(bool(hit) or not asked and not (a < len(t) and any(s < b and a < e for s, e in dropped)))
     return field.fit(graph, np.array(y, int), np.array(known, bool)) if y else field
 
 
+def with_echoes(text: str, base: list[tuple[int, int, int]]) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with mentions of its own numbers and of strange ones behind it, in forms that no pattern knows, and their labels."""
+    numbers = [(kind, "".join(DIGITS.findall(text[s:e]))) for kind, s, e in base if kind in (2, 3)]
+    other = [m[0] for m in re.finditer(r"(?<![0-9+(.@/-])[0-9]{7,19}(?![0-9.@/-])", text) if not any(s < m.end() and m.start() < e for _, s, e in base)]
+    out, labels, size = [text], [], len(text)
+
+    def say(form: str, kind: int) -> None:
+        nonlocal size
+        out.append(f" see {form}")
+        labels.append((kind, size + 5, size + 5 + len(form)))
+        size += 5 + len(form)
+
+    for n, (kind, digits) in enumerate(numbers + [(LABELS - 1, d) for d in other]):
+        gap = (2, 3, 4)[n % 3]
+        split = lambda d: ("/" if kind == 2 else " ").join(d[i : i + gap] for i in range(0, len(d), gap))  # noqa: B023, E731
+        shapes = [split] if kind == 2 else [str, split]  # bare digits of a card are one for the pattern too
+        strange = "".join(str(x % 10) for x in hashlib.md5(digits.encode()).digest())  # a number that repeats nothing
+        for k, shape in enumerate(shapes):
+            say(shape(digits), kind)
+            decoy = strange[k : k + len(digits)]
+            say(shape(decoy), LABELS - 1)
+            if n % 2:
+                say(shape(decoy), LABELS - 1)
+        if kind == 3 and len(digits) > ENDING + 2:
+            say(digits[-ENDING - 1 :], kind)
+            say(digits[:-1] + str((int(digits[-1]) + 1) % 10), kind)
+            say(strange[-ENDING - 1 :], LABELS - 1)
+    return "".join(out), labels
+
+
 SPANS = "doc_id long, base array<struct<kind:int,start:int,end:int>>, further array<struct<kind:int,start:int,end:int>>"
 
 
