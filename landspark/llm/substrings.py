@@ -13,7 +13,7 @@ equal windows have equal anchors: anchors that occur once in the corpus reveal a
    equal runs verify all their windows at once, in groups combined before the shuffle;
 3. windows of runs that occur once are compared one by one with the other windows of their anchor.
 
-Windows are taken as equal when anchor and window fingerprint, 128 bits together, are.
+Windows are taken as equal when anchor and window fingerprint are: 64 bits each, from two independent hashes of every word.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landspark.llm.common import WORD_POWERS, discard, groups_of, materialise, mix, small_keys, text_buffer, word_hashes
+from landspark.llm.common import WORD_POWERS, discard, groups_of, hashes_between, materialise, mix, released, small_keys, text_buffer, word_hashes
 
 WINDOW = 35
 U = np.uint64
@@ -91,6 +91,7 @@ def lasts(doc: np.ndarray) -> np.ndarray:
 
 
 def _anchors(window: int):
+    @released
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
@@ -116,6 +117,7 @@ RUNS = "_k long, s int, c int, name long, u long, windows array<long>"
 
 
 def _runs(window: int):
+    @released
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
@@ -123,7 +125,8 @@ def _runs(window: int):
             named = b.column(2)
             cuts, wanted = named.offsets.to_numpy(), named.values.to_numpy(zero_copy_only=False).view(np.uint64)
             for i, j in groups_of(offsets):
-                h, _, _, doc = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                part = data[offsets[i] : offsets[j]]
+                h, at, end, doc = word_hashes(part, offsets[i : j + 1] - offsets[i])
                 begins = window_starts(doc, window)
                 if not len(begins):
                     continue
@@ -137,7 +140,7 @@ def _runs(window: int):
                     continue
                 WORD_POWERS.grow(len(h) + 1)
                 total = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(h * WORD_POWERS.up[: len(h)], out=total[1:])
+                np.cumsum(hashes_between(part, at, end, 1) * WORD_POWERS.up[: len(h)], out=total[1:])
                 print_of = lambda a, z: mix((total[z] - total[a]) * WORD_POWERS.down[a])
                 new = np.ones(len(begins), bool)
                 new[1:] = (begins[1:] != begins[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1]) | (of[1:] != of[:-1])
@@ -163,6 +166,7 @@ def _runs(window: int):
 KEPT = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>"
 
 
+@released
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 256):
@@ -209,7 +213,7 @@ def repeated_intervals(base: DataFrame, window: int = WINDOW) -> DataFrame:
     del runs
     # anchors with a run that occurs once: each distinct run gives its windows, with its number of occurrences
     open_names = groups.filter("n = 1").select("name").distinct()
-    windows = groups.join(open_names, "name", "left_semi").select("name", "n", "_k", "s", F.posexplode("windows").alias("at", "w"))
+    windows = groups.join(small_keys(open_names), "name", "left_semi").select("name", "n", "_k", "s", F.posexplode("windows").alias("at", "w"))
     windows = materialise(windows.select("name", "w", "n", "_k", (F.col("s") + F.col("at")).alias("s")), "windows")
     discard(groups)
     del groups, open_names
