@@ -13,6 +13,7 @@ task keeps the k best of each query over all blocks it reads.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ WIDTH = 4.0
 CODES = "dim int, ids binary, bits binary, far binary, own binary, vectors binary"
 
 
+@functools.lru_cache(maxsize=4)  # of the last few dimensions, in each worker
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng([seed, dim]).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))

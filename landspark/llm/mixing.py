@@ -66,7 +66,9 @@ def mix_documents(docs: DataFrame, seed: str = "mix:") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as its source's rate and its own draw say, columns as they were.
 
     A document is joined to its source's rate (one row for each source) and repeated in place; its text is not shuffled
-    unless there are too many sources to broadcast.
+    unless there are too many sources to broadcast.  Null texts have no words and are taken like others of their source; a
+    null source is one of its own; rows that repeat an id draw the same number; an empty table gives no rows.  Helper
+    columns begin with ``_mix_``; other columns, whatever their names, come out as they were.
     """
     base = docs.withColumn("_mix_size", words_of(F.col("text")))
     targets = source_targets(base.groupBy(F.col("source").alias("_source")).agg(F.sum("_mix_size").alias("source_size"))).select(F.col("_source").alias("_mix_source"), F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0).alias("_mix_rate"))
