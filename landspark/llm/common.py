@@ -39,7 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: While a table is written: shuffle files go when the job ends, and Python gets batches of bounded bytes, however long the texts.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Bytes of a row group of such a table: its writers and readers hold one in memory.
+ROW_GROUP = 16 << 20
+#: Rows of a batch that a task hands back at once.
+HANDED = 1 << 16
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -53,7 +57,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     for k, v in WRITING.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -76,12 +80,16 @@ def give_back() -> None:
 
 
 def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``task`` for ``mapInArrow``, with ``give_back`` at its end."""
+    """``task`` for ``mapInArrow``, with results in batches of bounded rows and ``give_back`` at its end."""
 
     @functools.wraps(task)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from task(batches)
+            for b in task(batches):
+                if b.num_rows <= HANDED:
+                    yield b
+                else:
+                    yield from (b.slice(at, HANDED) for at in range(0, b.num_rows, HANDED))
         finally:
             give_back()
 

@@ -399,6 +399,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose id is not their component's smallest; columns as they were."""
+    """``docs`` without the rows whose id is not their component's smallest; columns as they were.
+
+    Rows without words (or with a null text) are alone in their component and stay, as do rows without an id; rows that
+    repeat the smallest id all stay; an empty table gives no rows.
+    """
     kept = near_duplicates(docs, id_col, text_col).filter("component_id < doc_id").select(F.col("doc_id").alias("_drop")).distinct()
     return docs.join(small_keys(kept), docs[id_col] == F.col("_drop"), "left_anti")

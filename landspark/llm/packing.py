@@ -13,8 +13,8 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landspark.llm.common import HELD, materialise
+from landspark.llm.common import HELD, give_back, groups_of, materialise, text_buffer
 
 WINDOW = 2048
 END_ID = 1
@@ -30,8 +30,10 @@ END_ID = 1
 SHARD = 6144
 #: Distinct lengths, the most frequent ones, whose combinations of three are enumerated (of two: all lengths).
 TRIPLE_LENGTHS = 96
-#: Words as they stand in texts, and their letters alone, whose ids a worker remembers at most; later ones are encoded anew.
-WORDS_KEPT, CORES_KEPT = 180_000, 200_000
+#: Words whose ids each of a worker's two tables remembers at most, and endings of punctuation.
+WORDS_KEPT, TAILS_KEPT = 200_000, 10_000
+#: Bytes of texts, about, that are encoded together.
+TEXT = 2 << 20
 #: What may follow a word's letters; with nothing else behind the letters it is one piece of its own for the tokenizer.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -40,15 +42,19 @@ class Encoder:
     """Token ids of whole texts as little-endian 32-bit words, with the ids of white-space separated words remembered.
 
     The tokenizer drops white space and never merges across it, so the ids of a text are those of its words in order; and
-    letters followed by punctuation are two pieces.  Words of letters are encoded many at a time: each is one piece, so
-    the tokens that end a piece tell the words apart.
+    letters followed by punctuation are pieces of their own.  Words that are not remembered are encoded many at a time: how
+    many pieces each has is known, and the tokens that end a piece tell the words apart.  Words that occur twice in texts
+    encoded together are remembered, in two tables, of which the older one goes when the other is full.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; a pool of threads would hold memory of its own
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), Remembered()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.pieces = {"": 1}  # of a word of letters that ends in this punctuation
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -56,73 +62,60 @@ class Encoder:
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
 
-    def _letters(self, words: list[str]) -> list[bytes]:
+    def _together(self, words: list[str], counts: list[int]) -> list[bytes]:
+        """Ids of words that have ``counts`` pieces each."""
         out: list[bytes] = []
         for at in range(0, len(words), 512):
-            part = words[at : at + 512]
+            part, last = words[at : at + 512], np.cumsum(counts[at : at + 512])
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
-            # a letter that lower case takes apart would make one word two pieces
-            out += [x.tobytes() for x in np.split(ids, cut[:-1])] if len(cut) == len(part) and cut[-1] == len(ids) else self._each(part)
+            if len(cut) == last[-1] and cut[-1] == len(ids):
+                cut, ids = (4 * cut[last - 1]).tolist(), ids.tobytes()
+                out += [ids[a:z] for a, z in zip([0, *cut], cut)]  # noqa: B905  one longer
+            else:  # a letter that lower case takes apart makes one word several pieces
+                out += self._each(part)
         return out
 
+    def _fresh(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        known, letters, counts, raw_letters, other, raw_other = self.pieces, [], [], [], [], []
+        for raw, word in zip(missing, b" ".join(missing).decode("utf-8", "replace").split(" "), strict=True):
+            core = word.rstrip(TAIL)
+            if core.isalpha():
+                tail = word[len(core) :]
+                n = known.get(tail)
+                if n is None:
+                    n = 1 + int(self.ends[self.tokenizer.encode(tail, add_special_tokens=False).ids].sum())
+                    if len(known) < TAILS_KEPT:
+                        known[tail] = n
+                letters.append(word)
+                counts.append(n)
+                raw_letters.append(raw)
+            else:
+                other.append(word)
+                raw_other.append(raw)
+        return dict(zip(raw_letters, self._together(letters, counts), strict=True)) | dict(zip(raw_other, self._each(other), strict=True))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        known, cores = self.known, self.known.cores
         split = [t.split() for t in texts]
-        found = [list(map(known.__getitem__, words)) for words in split]
-        if known.pending:
-            other, late, missing = [], [], {}
-            for raw, (core, tail) in known.pending.items():
-                if core is None:
-                    other.append(raw)
-                else:
-                    late.append((raw, core, tail))
-                    missing[core] = missing[tail] = None
-            missing = [c for c in missing if c and c not in cores]
-            letters, rest = [c for c in missing if c.isalpha()], [c for c in missing if not c.isalpha()]
-            fresh = dict(zip(letters + rest, self._letters(letters) + self._each(rest), strict=True)) | {"": b""}
-            get = lambda c: fresh[c] if c in fresh else cores[c]
-            done = {raw: get(core) + get(tail) for raw, core, tail in late}
-            done.update(zip(other, self._each([w.decode("utf-8", "replace") for w in other]), strict=True))
+        found = [list(map(self.recent.get, words)) for words in split]
+        times: Counter[bytes] = Counter()
+        for words, ids in zip(split, found, strict=True):
+            if None in ids:
+                times.update([w for w, x in zip(words, ids, strict=True) if x is None])
+        if times:
+            fresh = {w: self.older[w] for w in times.keys() & self.older.keys()}
+            fresh |= self._fresh([w for w in times if w not in fresh])
             for words, ids in zip(split, found, strict=True):
                 at = -1
                 for _ in range(ids.count(None)):
                     at = ids.index(None, at + 1)
-                    ids[at] = done[words[at]]
-            if len(cores) < CORES_KEPT:
-                cores.update(fresh)
-            if len(known) < WORDS_KEPT:
-                known.update(done)
-            known.pending = {}
+                    ids[at] = fresh[words[at]]
+            if len(self.recent) > WORDS_KEPT:
+                self.older, self.recent = self.recent, {}
+            self.recent.update((w, fresh[w]) for w, n in times.items() if n > 1 or w in self.older)
         return list(map(b"".join, found))
 
 
-class Remembered(dict):
-    """Ids by word.  A word that isn't there is put together from its letters and what follows them, or noted as pending."""
-
-    def __init__(self):
-        super().__init__()
-        self.cores: dict[str, bytes] = {}
-        self.pending: dict[bytes, tuple] = {}
-
-    def __missing__(self, raw: bytes) -> bytes | None:
-        word = raw.decode("utf-8", "replace")
-        core = word.rstrip(TAIL)
-        if not core.isalpha():
-            self.pending[raw] = None, None
-            return None
-        tail = word[len(core) :]
-        core = core.lower() if core.isascii() else core
-        ids, more = self.cores.get(core), self.cores.get(tail) if tail else b""
-        if ids is None or more is None:
-            self.pending[raw] = core, tail
-            return None
-        ids = ids + more if more else ids
-        if len(self) < WORDS_KEPT:
-            self[raw] = ids
-        return ids
-
-
 _ENCODERS: dict[str, Encoder] = {}
 HELD.append(_ENCODERS)  # another operator's task in the worker empties it
 
@@ -144,10 +137,10 @@ def _pieces(path: str, window: int):
         words = encoder(path)
         for b in batches:
             ids, texts = b.column(0), b.column(1)
-            for at in range(0, b.num_rows, 512):
-                part = [t or b"" for t in texts.slice(at, 512).to_pylist()]
+            for at, to in groups_of(text_buffer(texts)[1], TEXT):
+                part = [t or b"" for t in texts.slice(at, to - at).to_pylist()]
                 doc, start, length, crc, total = [], [], [], [], []
-                for i, found in zip(ids.slice(at, 512).to_pylist(), words.encode(part), strict=True):
+                for i, found in zip(ids.slice(at, to - at).to_pylist(), words.encode(part), strict=True):
                     found += end
                     n = len(found) // 4
                     for k in range(0, n, window):
@@ -231,6 +224,7 @@ def plan(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndar
 
 def _pack(window: int):
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()  # all texts have been encoded by now
         rows = rows.sort_values(["doc_id", "start"], kind="stable", na_position="last").reset_index(drop=True)
         sequence, offset, _ = plan(rows["length"].to_numpy(np.int64), window)
         # the shard's number is the high part: sequences of all shards are distinct without any global count
