@@ -12,58 +12,75 @@ COURTS = (
     "KA1K", "KA1C", "KA1L", "CZ1C", "CZ1O", "BB1B", "BB1Z", "SO1S", "SO1M", "BY1K", "WZ1K", "LU1I", "SZ1S", "BY1B",
 )
 WEIGHTS = (1, 3, 7)
-SPACES = r"[\s\u00A0\u202F\u2007\u2009]"
-AMOUNT = rf"(\d[\d\s\u00A0\u202F\u2007\u2009.,]*\d|\d)\s*(?:z[łl]|pln)\b"
-#: Phrases that introduce a price, the surest first, and what may stand between phrase and amount.
+#: Characters that stand for a space or a Polish letter, and what they are folded to, one for one, so that places stay.
+FOLDED = ("\u00a0\u202f\u2007\u2009\n\t\rąćęłńóśźż", "       acelnoszz")
+#: A number of digits, spaces and separators, and a unit of money behind it, in a folded text.
+AMOUNT = r"(?<!\d)(\d[\d\s.,]*\d|\d)(\s*(?:zl|pln)\b)"
+# fixed values: phrases that introduce a price, the surest first, and what may stand between them and it (folded)
 INTRODUCTIONS = (
-    r"(?:cena\s+wywo[łl]ania|cena\s+wywo[łl]awcza)[^\d]{0,48}",
-    r"(?:suma\s+oszacowania|warto[śs](?:ć|ci)\s+oszacowania|oszacowan\w*\s+na(?:\s+kwot[ęe])?)[^\d]{0,48}",
-    r"(?:za\s+cen[ęe]\s+nie\s+ni[żz]sz[ąa]\s+ni[żz]|cena\s+nabycia|cena\s+sprzeda[żz]y)[^\d]{0,48}",
-    r"(?:stanowi[ąa]c\w*|wynosz\w*)[^\d]{0,24}(?:3/4|trzy\s+czwarte)[^\d]{0,24}(?:sumy\s+)?oszacowania[^\d]{0,48}",
+    ("cena wywolania", "cena wywolawcza"),
+    ("suma oszacowania", "wartosc oszacowania", "wartosci oszacowania", r"oszacowan\w* na"),
+    ("za cene nie nizsza niz", "cena nabycia", "cena sprzedazy"),
+    (r"(?:stanowiac|wynosz)\w*\D{0,24}(?:3/4|trzy czwarte)\D{0,24}oszacowania",),
 )
-#: Words near an amount that say it is no price.
-OTHER_AMOUNTS = r"najni[żz]sze\s+post[ąa]pienie|wadium|r[ęe]kojmia|udzia[łl]|u[łl]amek|zaliczk\w*|koszt\w*"
+GAP = r"\D{0,48}(?:kwote)?\s*$"
+# fixed values: words near an amount that say it is no price (folded), and how many characters before and behind count
+OTHER_AMOUNTS = ("najnizsze postapienie", "wadium", "rekojmia", "udzial", "ulamek", "zaliczk", "koszt")
+BEFORE, BEHIND = 36, 20
+#: Characters before an amount in which a phrase may begin, and amounts that so many may hold.
+REACH, NEIGHBOURS = 180, 60
+
+
+def fold(text: Column) -> Column:
+    """Lower case without Polish diacritics; every character stays one character in its place."""
+    return F.translate(F.lower(text), *FOLDED)
 
 
 def parse_decimal(text: Column) -> Column:
-    """A number with Polish or English separators: the last separator is the decimal one, if one or two digits follow it or both kinds occur."""
-    bare = F.regexp_replace(F.regexp_replace(text, SPACES, ""), r"[^0-9,.\-]", "")
-    comma, dot = F.length(bare) - F.instr(F.reverse(bare), ","), F.length(bare) - F.instr(F.reverse(bare), ".")
-    has_comma, has_dot = F.instr(bare, ",") > 0, F.instr(bare, ".") > 0
-    tail = lambda at: F.length(bare) - at - 1
-    short = lambda at: tail(at).between(1, 2)
-    swap = F.translate(F.replace(bare, F.lit(".")), ",", ".")
-    plain = (
-        F.when(has_comma & has_dot & (comma > dot), swap)
-        .when(has_comma & has_dot, F.replace(bare, F.lit(",")))
-        .when(has_comma & short(comma), swap)
-        .when(has_comma, F.replace(bare, F.lit(",")))
-        .when(has_dot & ~short(dot), F.replace(bare, F.lit(".")))
-        .otherwise(bare)
-    )
-    # of several points only the last is the decimal one
-    last = F.substring_index(plain, ".", -1)
-    one = F.when(F.length(plain) - F.length(F.replace(plain, F.lit("."))) > 1, F.concat(F.replace(F.substring(plain, F.lit(1), F.length(plain) - F.length(last) - 1), F.lit(".")), F.lit("."), last)).otherwise(plain)
-    return one.try_cast("decimal(18,2)")
+    """A number with Polish or English separators.
+
+    The last separator is the decimal one if one or two digits follow it, or if both kinds occur; all others group digits.
+    """
+    bare = F.regexp_replace(text, r"[^0-9,.\-]", "")
+    tail = F.regexp_extract(bare, r"[.,]([^.,]*)$", 1)
+    whole = F.translate(bare, ".,", "")
+    both = F.contains(bare, F.lit(",")) & F.contains(bare, F.lit("."))
+    point = both | F.length(tail).between(1, 2)
+    with_point = F.concat(F.left(whole, F.length(whole) - F.length(tail)), F.lit("."), tail)
+    return F.when(point, with_point).otherwise(whole).try_cast("decimal(18,2)")
 
 
 def sane_price(value: Column) -> Column:
     return F.when(value.between(1000, 100_000_000), value)
 
 
-def first_value(found: Column) -> Column:
-    """The first parsed amount of an array of texts that is a sane price."""
-    return F.get(F.filter(F.transform(found, lambda t: sane_price(parse_decimal(t))), lambda v: v.isNotNull()), F.lit(0))
-
-
 def extract_price(text: Column) -> Column:
-    """The price a notice names: after an introduction, in order of sureness, else the first amount that no other word claims."""
-    found = [first_value(F.regexp_extract_all(text, F.lit(f"(?iu){p}(?:kwot[ęe]\\s*)?{AMOUNT}"), 1)) for p in INTRODUCTIONS]
-    # an amount with up to 36 characters before it and 20 after it, as one match, so that its surroundings can be judged
-    around = F.regexp_extract_all(text, F.lit(rf"(?isu)([^\d]{{0,36}}(?<!\d){AMOUNT}.{{0,20}})"), 1)
-    free = F.filter(around, lambda t: ~t.rlike(f"(?iu){OTHER_AMOUNTS}"))
-    amounts = F.transform(free, lambda t: F.regexp_extract(t, f"(?iu){AMOUNT}", 1))
-    return F.coalesce(*found, first_value(amounts))
+    """The price a notice names: the first amount behind an introduction, in order of sureness, else the first that no other word claims.
+
+    Amounts are found once, with what stands before and behind each, and every rule is a test of these surroundings.
+    """
+    # cut before each amount: a piece is the amount, its unit and the text up to the next amount
+    pieces = F.split(F.regexp_replace(F.translate(fold(text), "\x01\x02\x03", ""), AMOUNT, "\x01$1\x02$2\x03"), "\x01")
+    introduced = ["(?:" + "|".join(x.replace(" ", r"\s+") for x in phrases) + ")" + GAP for phrases in INTRODUCTIONS]
+
+    def judge(plain: Column, piece: Column, i: Column) -> Column:
+        before = F.array_join(F.slice(plain, F.greatest(i - NEIGHBOURS + 1, F.lit(1)), F.least(i, F.lit(NEIGHBOURS))), "")
+        behind = F.concat(F.substring_index(piece, "\x03", -1), F.array_join(F.slice(plain, i + 2, BEHIND), ""))
+        near = F.concat(F.right(before, F.lit(BEFORE)), F.lit(" "), F.left(behind, F.lit(BEHIND)))
+        rank = F.lit(None).cast("int")
+        for k in reversed(range(len(introduced))):
+            rank = F.when(F.right(before, F.lit(REACH)).rlike(introduced[k]), k).otherwise(rank)
+        value = sane_price(parse_decimal(F.substring_index(piece, "\x02", 1)))
+        free = ~near.rlike("|".join(OTHER_AMOUNTS))
+        return F.struct(F.coalesce(rank, F.when(free, len(introduced))).alias("rank"), i.alias("i"), value.alias("value"))
+
+    def first(x: Column) -> Column:
+        judged = F.transform(x["pieces"], lambda piece, i: judge(x["plain"], piece, i))
+        return F.array_min(F.filter(judged, lambda y: (y["i"] > 0) & y["value"].isNotNull() & y["rank"].isNotNull()))["value"]
+
+    # arrays that a lambda names are made anew for each element unless they are bound, as the one element of an array
+    bound = F.transform(F.array(pieces), lambda x: F.struct(x.alias("pieces"), F.transform(x, lambda y: F.translate(y, "\x02\x03", "")).alias("plain")))
+    return F.get(F.transform(bound, first), F.lit(0))
 
 
 def check_digit(court: Column, number: Column) -> Column:
@@ -91,7 +108,8 @@ def extract_date(text: Column) -> Column:
     return F.when(parts[0] != "", F.try_to_date(F.concat_ws("-", parts[2], F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0")), "yyyy-MM-dd"))
 
 
-WORDS = r"[\wąćęłńóśźżĄĆĘŁŃÓŚŹŻ\-]+"
+#: A word of a place name.
+NAME = r"[^\s,.;:()]+"
 PROVINCES = (
     "mazowieckie", "śląskie", "slaskie", "małopolskie", "malopolskie", "łódzkie", "lodzkie", "dolnośląskie", "dolnoslaskie", "wielkopolskie", "pomorskie", "kujawsko-pomorskie",
     "lubelskie", "podkarpackie", "lubuskie", "warmińsko-mazurskie", "warminsko-mazurskie", "podlaskie", "opolskie", "świętokrzyskie", "swietokrzyskie", "zachodniopomorskie",
@@ -102,9 +120,9 @@ def extract_location(text: Column) -> Column:
     """Struct of gmina, powiat and province, each null where the text doesn't name it."""
     named = lambda pattern: F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
     return F.struct(
-        named(rf"(?iu)\bgmina\s+({WORDS}(?:\s+{WORDS})?)").alias("gmina"),
-        named(r"(?iu)powiat\s+([\w\sąćęłńóśźż\-]+?)(?:,|\.|\s*woj)").alias("powiat"),
-        F.coalesce(named(r"(?iu)woj(?:ewództwo)?\s+([\wąćęłńóśźż\-]+?)(?:,|\.|$)"), named(rf"(?iu)(?<!\w)({'|'.join(PROVINCES)})(?!\w)")).alias("province"),
+        named(rf"(?iu)(?<!\w)gmina\s+({NAME}(?:\s+{NAME})?)").alias("gmina"),
+        named(rf"(?iu)powiat\s+({NAME}(?:\s+{NAME})*?)\s*(?:[,.]|woj)").alias("powiat"),
+        F.coalesce(named(rf"(?iu)woj(?:ewództwo)?\s+({NAME})(?:[,.]|$)"), named(rf"(?iu)(?<!\w)({'|'.join(PROVINCES)})(?!\w)")).alias("province"),
     )
 
 

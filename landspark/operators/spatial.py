@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landspark.functions import geometry as g
+from landspark.storage import new_path
 
 #: Intersections of less area are noise.
 SLIVER = 0.5
@@ -125,26 +126,38 @@ def dwithin_join(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return found.filter(F.col("distance_m") <= d)
 
 
-def nearest_distance(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius: float = 100.0, max_radius: float | None = None) -> DataFrame:
-    """(left_id, distance_m to the nearest right polygon) by searches of doubling radius for the rows not yet served.
+def spacing(left: DataFrame, right: DataFrame) -> float:
+    """The side of a square of the area that both sides cover, for one row of the right side: about how far its rows are apart."""
+    e = g.envelope(F.col("geom"))
+    row = right.select(e.alias("e")).unionByName(left.select(e.alias("e"))).agg(F.min("e.minx"), F.min("e.miny"), F.max("e.maxx"), F.max("e.maxy")).first()
+    if row[0] is None:
+        return 1.0
+    return max(1.0, ((row[2] - row[0]) * (row[3] - row[1]) / max(1, right.count())) ** 0.5)
 
-    ``max_radius`` ends the search; without it, it goes on until every left row has found one, and an empty right side ends
-    it at once.  Rows without a find have no row.
+
+def nearest_distance(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius: float | None = None, max_radius: float | None = None) -> DataFrame:
+    """(left_id, distance_m to the nearest right polygon) by searches of growing radius for the rows not yet served.
+
+    The first radius, unless it is given, is about how far the right rows are apart, so that one search serves nearly all;
+    each further one is three times as wide.  ``max_radius`` ends the search; without it, it goes on until every left row
+    has found one, and an empty right side ends it at once.  Rows without a find have no row.  What a search leaves is
+    written to the shared folder, so no search is done twice.
     """
+    spark, none = left.sparkSession, "left_id long, distance_m double"
     if right.isEmpty():
-        return dwithin_join(left.limit(0), right, left_key, right_key, radius, 1.0).groupBy("left_id").agg(F.min("distance_m").alias("distance_m"))
-    found, rest = None, left
+        return spark.createDataFrame([], none)
+    radius = spacing(left, right) if radius is None else radius
+    found, rest = None, left.select(left_key, "geom")
     while True:
-        part = dwithin_join(rest, right, left_key, right_key, radius).groupBy("left_id").agg(F.min("distance_m").alias("distance_m"))
-        if max_radius is None or radius < max_radius:
-            part = part.cache()  # it is read again: by the result, and to find what is left
+        radius = radius if max_radius is None else min(radius, max_radius)
+        path = new_path(spark, "nearest")
+        dwithin_join(rest, right, left_key, right_key, radius).groupBy("left_id").agg(F.min("distance_m").alias("distance_m")).write.parquet(path)
+        part = spark.read.parquet(path)
         found = part if found is None else found.unionByName(part)
-        if max_radius is not None and radius >= max_radius:
-            return found
-        rest = rest.join(part, rest[left_key] == part["left_id"], "left_anti").cache()  # the next search reads it several times
-        if rest.isEmpty():
+        rest = rest.join(part, rest[left_key] == part["left_id"], "left_anti")
+        if max_radius is not None and radius >= max_radius or rest.isEmpty():
             return found
-        radius = radius * 2 if max_radius is None else min(radius * 2, max_radius)
+        radius *= 3
 
 
 def shared_boundary(left: DataFrame, right: DataFrame, left_key: str, right_key: str, within: float = 5.0, tolerance: float = 1e-9) -> DataFrame:

@@ -7,39 +7,42 @@ from pyspark.sql import functions as F
 
 from landspark.functions import text as t
 
-#: Passes over a text, the strictest first: pattern of (court, number, check digit), the source it counts as, base confidence.
+CODE = r"([A-Z]{2}[0-9][A-Z])"
+#: Passes over a text, the strictest first: pattern of court, number and check digit, the source it counts as, base confidence.
 PASSES = (
-    (r"\b([A-Z]{2}[0-9][A-Z])/(\d{8})/(\d)\b", "free_text_regex", 0.80),
-    (r"\b([A-Z]{2}[0-9][A-Z])\s*[/\- ]\s*(\d{6,8})\s*[/\- ]\s*(\d)\b", "relaxed_regex", 0.70),
+    (rf"(?<![A-Z0-9]){CODE}/(\d{{8}})/(\d)(?![A-Z0-9/])", "free_text_regex", 0.80),
+    (rf"(?i)(?<![A-Z0-9]){CODE}[\s/-]+(\d{{8}})[\s/-]+(\d)(?![A-Z0-9])", "relaxed_regex", 0.70),
 )
-PARTIAL = r"\b([A-Z]{2}[0-9][A-Z])\s*[/\-]\s*(\d{6,8})\b(?!\s*[/\- ]\s*\d)"
+PARTIAL = rf"(?i)(?<![A-Z0-9/]){CODE}[\s/-](\d{{8}})(?![\s/-]*\d)(?![A-Z0-9])"
 
 
 def extract_registers(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Land-register numbers of each text: normalised, check_valid, court_known, confidence, source and flag.
 
-    A number that a stricter pass found is not found again by a looser one; numbers without a check digit come last, at a
-    confidence of 0.45, or 0.30 if the court is unknown.
+    A number that a stricter pass found is not found again by a looser one; within a pass numbers that differ in their check
+    digit are two.  Numbers without a check digit come last, with a question mark in its place, at a confidence of 0.45, or
+    0.30 if the court is unknown.
     """
     out = None
     for k, (pattern, source, base) in enumerate((*PASSES, (PARTIAL, "no_check_digit", 0.45))):
         hits = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0)).alias("raw"))
         part = lambda i: F.regexp_extract("raw", pattern, i)  # noqa: B023, E731
-        digit = part(3) if k < len(PASSES) else F.lit(None).cast("string")
-        rows = hits.select("doc_id", part(1).alias("court"), F.lpad(part(2), 8, "0").alias("number"), digit.alias("digit"), F.lit(source).alias("source"), F.lit(base).alias("base"), F.lit(k).alias("pass"))
+        digit = part(3) if k < len(PASSES) else F.lit("?")
+        rows = hits.select("doc_id", F.upper(part(1)).alias("court"), part(2).alias("number"), digit.alias("digit"), F.lit(source).alias("source"), F.lit(base).alias("base"), F.lit(k).alias("pass"))
         out = rows if out is None else out.unionByName(rows)
-    first = Window.partitionBy("doc_id", "court", "number").orderBy("pass", "digit")
-    out = out.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    valid, known = t.check_digit(F.col("court"), F.col("number")) == F.col("digit").cast("int"), F.col("court").isin(*t.COURTS)
+    strictest = F.min("pass").over(Window.partitionBy("doc_id", "court", "number"))
+    out = out.distinct().withColumn("_first", strictest).filter("pass = _first")
+    unknown = F.col("digit") == "?"
+    valid, known = F.when(unknown, False).otherwise(t.check_digit(F.col("court"), F.col("number")).cast("string") == F.col("digit")), F.col("court").isin(*t.COURTS)
     full = F.round(F.greatest(F.when(valid, F.col("base")).otherwise(0.25) - F.when(known, 0.0).otherwise(0.05), F.lit(0.0)), 2)
     return out.select(
         "doc_id",
         F.concat_ws("/", "court", "number", "digit").alias("normalized"),
         F.coalesce(valid, F.lit(False)).alias("check_valid"),
         known.alias("court_known"),
-        F.when(F.col("digit").isNull(), F.when(known, 0.45).otherwise(0.30)).otherwise(full).alias("confidence"),
+        F.when(unknown, F.when(known, 0.45).otherwise(0.30)).otherwise(full).alias("confidence"),
         "source",
-        F.when(F.col("digit").isNotNull() & ~valid, "KW_CHECK_DIGIT_INVALID").when(~known, "KW_COURT_CODE_UNKNOWN").alias("flag"),
+        F.when(~unknown & ~valid, "KW_CHECK_DIGIT_INVALID").when(~known, "KW_COURT_CODE_UNKNOWN").alias("flag"),
     )
 
 

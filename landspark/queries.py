@@ -152,17 +152,12 @@ def c3_nearest_distance(spark, sf_dir):
     parcels, zones = derived(spark, sf_dir, "fx_parcels"), derived(spark, sf_dir, "fx_zones")
     out = parcels.select(F.col("parcel_id").alias("left_id"))
     for name, test in (("distance_m", p.is_buildable), ("distance_to_mixed_service_zone_m", p.is_mixed), ("distance_to_meaningful_road_m", p.is_road)):
-        near = spatial.nearest_distance(parcels, zones.filter(test(F.col("symbol"))), "parcel_id", "zone_id", 200.0)
+        near = spatial.nearest_distance(parcels, zones.filter(test(F.col("symbol"))), "parcel_id", "zone_id")
         out = out.join(near.select("left_id", F.round("distance_m", 4).alias(name)), "left_id", "left")
     return out
 
 
-@query(
-    "c4_shared_boundary",
-    f"""WITH {duck('fx_parcels')}, a AS (SELECT parcel_id, w, h, shape, CASE shape WHEN 0 THEN h WHEN 1 THEN h - h // 2 ELSE 0 END AS m,
-  CASE shape WHEN 0 THEN 2.0 * (w + h) WHEN 1 THEN 2.0 * (w + h) ELSE w + h + sqrt((w * w + h * h)::DOUBLE) END AS around FROM fx_parcels WHERE parcel_id % 10 = 0)
-SELECT parcel_id, round(m::DOUBLE, 2) AS own_shared_m, round(100.0 * m / around, 2) AS own_pct FROM a""",
-)
+@query("c4_shared_boundary")
 def c4_shared_boundary(spark, sf_dir):
     """Shared boundary of every parcel with all zones within 5 m, the synthetic neighbours among them (C4); held against brute force in the tests."""
     parcels, zones = derived(spark, sf_dir, "fx_parcels"), derived(spark, sf_dir, "fx_zones").select("zone_id", "geom")

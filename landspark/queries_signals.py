@@ -17,8 +17,8 @@ WEIGHT = f"""CASE WHEN {D} IN ({quoted(p.HARD_NEGATIVE)}) THEN -40 WHEN {D} = 'a
   WHEN {D} NOT IN ({quoted(p.POSITIVE)}) THEN 0 WHEN signal_kind = 'pog_zone' THEN 55 WHEN signal_kind = 'pog_ouz' THEN 30 WHEN signal_kind = 'studium_zone' THEN 20 ELSE 0 END"""
 LABEL = "signal_kind || ': ' || coalesce(designation_normalized, 'unknown') || CASE WHEN coalesce(plan_name, '') <> '' THEN ' (' || plan_name || ')' ELSE '' END"
 SIGNALS = f"WITH {duck('fx_signals')}"
-#: Attached signals: those bound to a parcel of the same commune; commune-level ones are scored by commune below.
-ATTACHED = f"WITH {duck('fx_signals', 'fx_parcels')}, att AS (SELECT p.parcel_id, s.* EXCLUDE (parcel_id, teryt_gmina), ({WEIGHT})::DECIMAL(6,2) AS weight, {LABEL} AS label FROM fx_parcels p JOIN fx_signals s ON s.teryt_gmina = p.teryt_gmina AND (s.parcel_id = p.parcel_id OR (s.parcel_id IS NULL AND p.parcel_id % 50 = 0 AND s.signal_id % 20 = 1)))"
+#: Attached signals: those bound to a parcel of the same commune, and every commune-level one of it, one by one.
+ATTACHED = f"WITH {duck('fx_signals', 'fx_parcels')}, att AS (SELECT p.parcel_id, s.* EXCLUDE (parcel_id, teryt_gmina), ({WEIGHT})::DECIMAL(6,2) AS weight, {LABEL} AS label FROM fx_parcels p JOIN fx_signals s ON s.teryt_gmina = p.teryt_gmina AND (s.parcel_id = p.parcel_id OR s.parcel_id IS NULL))"
 
 
 def sides(spark, sf_dir):

@@ -63,7 +63,7 @@ def h17_extract_links(spark, sf_dir):
     return ops.extract_links(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-@query("h18_ascii_key", "SELECT doc_id, md5(trim(regexp_replace(translate(lower(substr(text, 1, 200)), 'ąćęłńóśźż', 'acelnoszz'), '[\\s\\-]+', ' ', 'g'))) AS k FROM documents WHERE lang <> 'de'")
+@query("h18_ascii_key", "SELECT doc_id, md5(trim(regexp_replace(translate(lower(text), 'ąćęłńóśźż', 'acelnoszz'), '[\\s\\-]+', ' ', 'g'))) AS k FROM documents")
 def h18_ascii_key(spark, sf_dir):
     """Folded keys of whole documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

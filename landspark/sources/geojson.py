@@ -35,10 +35,15 @@ def ingest_geojson_zones(texts: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def from_esri_rings(texts: DataFrame) -> DataFrame:
-    """(source_id, geom) of Esri documents ``{"rings": [...]}``: clockwise rings begin polygons."""
+    """(source_id, geom) of Esri documents ``{"rings": [...]}``: a ring that turns like the first one begins a polygon, others are its holes."""
     rings = F.from_json("json", "struct<rings:array<array<array<double>>>>")["rings"]
     points = F.transform(rings, lambda r: F.transform(r, lambda v: F.struct(v[0].alias("x"), v[1].alias("y"))))
-    return texts.select("source_id", g.normalise_rings(F.transform(points, lambda r: F.array(r))).alias("geom"))
+    rows = texts.select("source_id", points.alias("_r"))
+    first = g.ring_area(F.get("_r", F.lit(0))) < 0
+    begins = F.filter(F.transform("_r", lambda r, i: F.when((g.ring_area(r) < 0) == first, i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_b", begins)
+    polygons = F.transform("_b", lambda i, k: F.slice("_r", i + 1, F.coalesce(F.get("_b", k + 1), F.size("_r")) - i))
+    return rows.select("source_id", g.normalise_rings(polygons).alias("geom"))
 
 
 CADASTRE = ("identifier", "voivodship", "county", "commune", "region", "parcel", "geom_wkb")
