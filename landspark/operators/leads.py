@@ -167,12 +167,12 @@ def balanced_pick(df: DataFrame, group: str, groups: list[str], order: list[Colu
     """``n`` rows taken in turns from the groups, in their order; what one group lacks the others fill."""
     rank = F.array_position(F.array(*map(F.lit, groups)), F.col(group))
     turn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.filter(F.col(group).isin(*groups)).withColumn("turn", turn).withColumn("group_rank", rank).orderBy("turn", "group_rank").limit(n)
+    return df.filter(F.col(group).isin(*groups)).withColumn("turn", turn).filter(F.col("turn") <= n).withColumn("group_rank", rank).orderBy("turn", "group_rank").limit(n)
 
 
 def extend_pick(picked: DataFrame, pool: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """``picked`` and, where it has fewer than ``n`` rows, the first of ``pool`` that are not among them."""
-    rest = pool.join(picked.select(key), key, "left_anti").withColumn("_r", F.row_number().over(Window.orderBy(*order))).filter(F.col("_r") <= n)
+    rest = pool.join(picked.select(key), key, "left_anti").orderBy(*order).limit(n).withColumn("_r", F.row_number().over(Window.orderBy(*order)))
     return picked.withColumn("_p", F.lit(0)).withColumn("_r", F.lit(0)).unionByName(rest.withColumn("_p", F.lit(1)), allowMissingColumns=True).orderBy("_p", "_r", key).limit(n).drop("_p", "_r")
 
 

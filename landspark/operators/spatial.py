@@ -188,14 +188,26 @@ def shared_boundary(left: DataFrame, right: DataFrame, left_key: str, right_key:
 def match_plan_extents(parcels: DataFrame, plans: DataFrame) -> DataFrame:
     """Parcels whose interior point lies in a plan's box of the same commune, and in the box with its axes swapped.
 
-    Per plan: teryt_gmina, zone_id, n_hits, n_swapped_hits and bbox_axes_suspect (hits only when swapped).
+    Per plan: teryt_gmina, zone_id, n_hits, n_swapped_hits and bbox_axes_suspect (hits only when swapped).  Points meet boxes in
+    the cells of a grid, at the level of the box's size; plans of communes without parcels have no row.
     """
-    points = g.with_display_point(parcels.select("teryt_gmina", "geom"), name="_p").drop("geom")
-    extents = plans.select("teryt_gmina", "zone_id", g.envelope(F.col("geom")).alias("_b"))
-    x, y, b = F.col("_p.x"), F.col("_p.y"), F.col("_b")
-    hit = x.between(b["minx"], b["maxx"]) & y.between(b["miny"], b["maxy"])
-    swapped = y.between(b["minx"], b["maxx"]) & x.between(b["miny"], b["maxy"])
-    out = extents.join(points, "teryt_gmina").groupBy("teryt_gmina", "zone_id").agg(F.count_if(hit).alias("n_hits"), F.count_if(swapped).alias("n_swapped_hits"))
+    points = g.with_display_point(parcels.select("teryt_gmina", "geom"), name="_p")
+    either = F.array(F.struct(F.col("_p.x").alias("x"), F.col("_p.y").alias("y"), F.lit(False).alias("swapped")), F.struct(F.col("_p.y").alias("x"), F.col("_p.x").alias("y"), F.lit(True).alias("swapped")))
+    points = points.select("teryt_gmina", F.explode(either).alias("_p")).select("teryt_gmina", "_p.*").filter("x IS NOT NULL AND y IS NOT NULL")
+    extents = plans.select("teryt_gmina", "zone_id", g.envelope(F.col("geom")).alias("_b")).select("teryt_gmina", "zone_id", "_b.*")
+    size = cell_size(extents)
+    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(size))
+    level = F.ceil(F.log2(side / size)).cast("int")
+    top = extents.agg(F.max(level)).first()[0] or 0
+    step = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step)))
+    # a box lies in four cells of its own level at most, a point in one cell of each level
+    celled = extents.withColumn("level", level).withColumn("cx", cells("minx", "maxx")).withColumn("cy", cells("miny", "maxy"))
+    spots = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("cx", F.floor(F.col("x") / step)).withColumn("cy", F.floor(F.col("y") / step))
+    inside = F.col("x").between(F.col("minx"), F.col("maxx")) & F.col("y").between(F.col("miny"), F.col("maxy"))
+    hits = celled.join(spots, ["teryt_gmina", "level", "cx", "cy"]).filter(inside).groupBy("teryt_gmina", "zone_id").agg(F.count_if(~F.col("swapped")).alias("n_hits"), F.count_if("swapped").alias("n_swapped_hits"))
+    known = extents.select("teryt_gmina", "zone_id").join(parcels.select("teryt_gmina").distinct(), "teryt_gmina", "left_semi")
+    out = known.join(hits, ["teryt_gmina", "zone_id"], "left").fillna(0, ["n_hits", "n_swapped_hits"])
     return out.withColumn("bbox_axes_suspect", (F.col("n_hits") == 0) & (F.col("n_swapped_hits") > 0))
 
 
