@@ -83,3 +83,41 @@ def l3_stream_error_counts(spark, sf_dir):
     counts = jobs.stream_error_counts(stream, "at", "30 days", "3650 days")
     counts.writeStream.outputMode("complete").foreachBatch(last).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/table").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+def _gml(spark, sf_dir):
+    """Zones as GML texts in three dialects, about a hundred features each: (source_id, teryt_gmina, body)."""
+    zones = derived(spark, sf_dir, "fx_zones").withColumn("source_id", F.expr("zone_id div 100"))
+    number = lambda c: F.format_string("%.1f", c)
+    ring = lambda tail: F.array_join(F.transform(F.concat(F.col("geom")[0][0], F.slice(F.col("geom")[0][0], 1, 1)), lambda v: F.concat(number(v["x"]), F.lit(" "), number(v["y"]), F.lit(tail))), " ")
+    dialect = F.col("source_id") % 3
+    surface = (
+        F.when(dialect == 0, F.concat(F.lit("<gml:MultiSurface><gml:surfaceMember><gml:Polygon><gml:exterior><gml:LinearRing><gml:posList>"), ring(""), F.lit("</gml:posList></gml:LinearRing></gml:exterior></gml:Polygon></gml:surfaceMember></gml:MultiSurface>")))
+        .when(dialect == 1, F.concat(F.lit('<gml:Polygon srsDimension="3"><gml:exterior><gml:LinearRing><gml:posList>'), ring(" 7"), F.lit("</gml:posList></gml:LinearRing></gml:exterior></gml:Polygon>")))
+        .otherwise(F.concat(F.lit("<gml:Polygon><gml:outerBoundaryIs><gml:LinearRing><gml:coordinates>"), ring(""), F.lit("</gml:coordinates></gml:LinearRing></gml:outerBoundaryIs></gml:Polygon>")))
+    )
+    act = F.concat(F.lit("<app:plan><app:SYMBOL> "), "symbol", F.lit(" </app:SYMBOL><app:tytul>Plan &amp; "), F.col("zone_id").cast("string"), F.lit("</app:tytul><app:obowiazujeOd>2026-05-04</app:obowiazujeOd><app:geom>"), surface, F.lit("</app:geom></app:plan>"))
+    member = F.when(dialect == 0, F.concat(F.lit("<wfs:member>"), act, F.lit("</wfs:member>"))).when(dialect == 1, F.concat(F.lit("<gml:featureMember>"), act, F.lit("</gml:featureMember>"))).otherwise(act)
+    whole = lambda body: F.when(F.first(dialect) == 2, F.concat(F.lit("<wfs:FeatureCollection><gml:featureMembers>"), body, F.lit("</gml:featureMembers></wfs:FeatureCollection>"))).otherwise(F.concat(F.lit('<?xml version="1.0"?><wfs:FeatureCollection>'), body, F.lit("</wfs:FeatureCollection>")))
+    return zones.groupBy("source_id").agg(whole(F.array_join(F.collect_list(member), "\n")).alias("body")).withColumn("teryt_gmina", F.lit("126101199"))
+
+
+GML = f"WITH {duck('fx_zones')}, {duck_edges('e', 'fx_zones', 'zone_id')}, a AS (SELECT zone_id, {AREA} AS area FROM e GROUP BY zone_id)"
+
+
+@query("a4_ingest_gml", f"{GML} SELECT 'Plan & ' || zone_id AS plan_name, upper(symbol) AS symbol, '1261011' AS teryt_gmina, round(area, 2) AS area FROM fx_zones JOIN a USING (zone_id)")
+def a4_ingest_gml(spark, sf_dir):
+    """Zones read from GML in three dialects (A4)."""
+    from landspark.sources import gml
+
+    texts = _gml(spark, sf_dir)
+    sources = texts.select("source_id", "teryt_gmina", F.lit("mpzp").alias("plan_type"), F.lit("symbol").alias("symbol_field"), F.lit("tytul").alias("name_field"))
+    return gml.ingest_gml_zones(texts.drop("teryt_gmina"), sources).select("plan_name", "symbol", "teryt_gmina", F.round(g.area(F.col("geom")), 2).alias("area"))
+
+
+@query("a5_plan_extents", f"{GML} SELECT 'Plan & ' || zone_id AS plan_name, 'MPZP_PROJ' AS symbol, 'APP project extent: Plan & ' || zone_id AS description, DATE '2026-05-04' AS effective_date, round(area, 2) AS area FROM fx_zones JOIN a USING (zone_id)")
+def a5_plan_extents(spark, sf_dir):
+    """Extents of planned acts from GML (A5)."""
+    from landspark.sources import gml
+
+    return gml.ingest_plan_extents(_gml(spark, sf_dir)).select("plan_name", "symbol", "description", "effective_date", F.round(g.area(F.col("geom")), 2).alias("area"))
