@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landspark.llm import ann, decontaminate, exact_dedup, html_text, infill, jaccard, mixing, packing, pii, quality, substrings, warc
+from landspark.llm import ann, decontaminate, exact_dedup, html_text, infill, jaccard, mixing, packing, pii, prefix_trie, quality, substrings, warc
 from landspark.llm.common import table
 
 
@@ -69,6 +69,10 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_packing": op2_packing,
@@ -82,6 +86,7 @@ QUERIES = {
     "op10_html": op10_html,
     "op11_infill": op11_infill,
     "op12_decontaminate": op12_decontaminate,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE = {
@@ -162,5 +167,33 @@ its AS (SELECT r, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY i
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+""",
+    "op13_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, p, length(x)::BIGINT AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, p) - 1 AS i
+  FROM (SELECT conv_id, turn, coalesce(text, '') AS x, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS p
+        FROM conversations WHERE conv_id IS NOT NULL)),
+-- crc32 of the decimal id, bit by bit
+cs AS (
+  SELECT c, c - c % 100 AS base, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda y, k: xor(y >> 1, 3988292384 * (y & 1))))) % 6 AS h
+  FROM (SELECT c, count(*) AS n FROM t GROUP BY c)),
+hs AS (SELECT cs.*, least(cs.h, coalesce(b.n, 0)) AS g FROM cs LEFT JOIN cs b ON b.c = cs.base),
+r AS (
+  SELECT hs.c, t.i + 1 AS d, p, chars FROM hs JOIN t ON t.c = hs.base AND t.i < hs.g
+  UNION ALL
+  SELECT hs.c, hs.g + t.i - hs.h + 1, p, chars FROM hs JOIN t ON t.c = hs.c AND t.i >= hs.h),
+k AS (SELECT c, d, chars, md5(string_agg(p, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS k FROM r UNION ALL SELECT c, 0, 0, '' FROM cs),
+e AS (SELECT c, max_by(k, d) AS k FROM k GROUP BY c),
+n AS (SELECT k, d, min(c) AS conv, count(*) AS members, any_value(chars) AS chars FROM k GROUP BY k, d),
+up AS (SELECT n.k, u.k AS up, v.conv AS parent FROM n JOIN k u ON u.c = n.conv AND u.d = n.d - 1 JOIN n v ON v.k = u.k),
+ch AS (SELECT up AS k, count(*) AS n_children FROM up GROUP BY up),
+below AS (
+  SELECT a.k, count(*) FILTER (WHERE ch.k IS NULL) AS n_leaves, sum((n.members - 1) * n.chars) AS saved
+  FROM n JOIN k a ON a.c = n.conv AND a.d <= n.d LEFT JOIN ch ON ch.k = n.k GROUP BY a.k),
+es AS (SELECT k, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS s FROM e GROUP BY k)
+SELECT n.conv AS conv_id, n.d::BIGINT AS depth, up.parent AS parent_conv_id, n.members AS n_convs, coalesce(ch.n_children, 0) AS n_children, below.n_leaves,
+       below.saved::BIGINT AS saved_tokens, coalesce(es.s, sha256('')) AS ends_sha256
+FROM n JOIN below USING (k) LEFT JOIN up USING (k) LEFT JOIN ch USING (k) LEFT JOIN es USING (k)
 """,
 }
