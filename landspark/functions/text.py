@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from landspark.functions import places
+
+# fixed values: code of each province by its plain name
+PROVINCE_CODES = {
+    "dolnoslaskie": "02", "kujawsko-pomorskie": "04", "lubelskie": "06", "lubuskie": "08", "lodzkie": "10", "malopolskie": "12", "mazowieckie": "14", "opolskie": "16", "podkarpackie": "18",
+    "podlaskie": "20", "pomorskie": "22", "slaskie": "24", "swietokrzyskie": "26", "warminsko-mazurskie": "28", "wielkopolskie": "30", "zachodniopomorskie": "32",
+}
 # fixed values: court codes of land registers
 COURTS = (
     "WA1M", "WA2M", "WA3M", "WA4M", "WA5M", "WA1W", "WA2W", "KR1K", "KR2K", "KR1P", "KR1S", "KR1W", "KR1Y", "KR1E", "NS1S", "NS1N", "TR1T", "TR1N", "BB1O",
@@ -14,8 +21,11 @@ COURTS = (
 WEIGHTS = (1, 3, 7)
 #: Characters that stand for a space or a Polish letter, and what they are folded to, one for one, so that places stay.
 FOLDED = ("\u00a0\u202f\u2007\u2009\n\t\rąćęłńóśźż", "       acelnoszz")
-#: A number of digits, spaces and separators, and a unit of money behind it, in a folded text.
-AMOUNT = r"(?<!\d)(\d[\d\s.,]*\d|\d)(\s*(?:zl|pln)\b)"
+def amount(units: str) -> str:
+    """An expression for a number and a unit behind it, in a folded text."""
+    return rf"(?<!\d)(\d[\d\s.,]*\d|\d)(\s*(?:{units})(?!\w))"
+
+
 # fixed values: phrases that introduce a price, the surest first, and what may stand between them and it (folded)
 INTRODUCTIONS = (
     ("cena wywolania", "cena wywolawcza"),
@@ -60,7 +70,7 @@ def extract_price(text: Column) -> Column:
     Amounts are found once, with what stands before and behind each, and every rule is a test of these surroundings.
     """
     # cut before each amount: a piece is the amount, its unit and the text up to the next amount
-    pieces = F.split(F.regexp_replace(F.translate(fold(text), "\x01\x02\x03", ""), AMOUNT, "\x01$1\x02$2\x03"), "\x01")
+    pieces = F.split(F.regexp_replace(F.translate(fold(text), "\x01\x02\x03", ""), amount("zl|pln"), "\x01$1\x02$2\x03"), "\x01")
     introduced = ["(?:" + "|".join(x.replace(" ", r"\s+") for x in phrases) + ")" + GAP for phrases in INTRODUCTIONS]
 
     def judge(plain: Column, piece: Column, i: Column) -> Column:
@@ -98,31 +108,30 @@ def extract_case(text: Column) -> Column:
 
 
 def extract_area(text: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(\d[\d\s\u00A0\u202F\u2007\u2009.,]*\d|\d)\s*m(?:²|2)\b"), 1), parse_decimal)
+    """The first number of square metres that can be an area."""
+    found = F.transform(F.regexp_extract_all(fold(text), F.lit(amount("m2|m²")), 1), parse_decimal)
     return F.get(F.filter(found, lambda v: v.between(0.5, 10_000_000)), F.lit(0))
 
 
 def extract_date(text: Column) -> Column:
-    """The first day.month.year of a text; null if it is no date."""
-    parts = [F.regexp_extract(text, r"\b(\d{1,2})[.\-/](\d{1,2})[.\-/](\d{4})\b", i) for i in (1, 2, 3)]
-    return F.when(parts[0] != "", F.try_to_date(F.concat_ws("-", parts[2], F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0")), "yyyy-MM-dd"))
-
-
-#: A word of a place name.
-NAME = r"[^\s,.;:()]+"
-PROVINCES = (
-    "mazowieckie", "śląskie", "slaskie", "małopolskie", "malopolskie", "łódzkie", "lodzkie", "dolnośląskie", "dolnoslaskie", "wielkopolskie", "pomorskie", "kujawsko-pomorskie",
-    "lubelskie", "podkarpackie", "lubuskie", "warmińsko-mazurskie", "warminsko-mazurskie", "podlaskie", "opolskie", "świętokrzyskie", "swietokrzyskie", "zachodniopomorskie",
-)
+    """The first day.month.year of a text, with dots, dashes or strokes; null if it is no date."""
+    found = F.regexp_extract(text, r"(?<!\d)\d{1,2}([./-])\d{1,2}[./-]\d{4}(?!\d)", 0)
+    return F.when(found != "", F.try_to_date(F.translate(found, "/-", ".."), "d.M.yyyy"))
 
 
 def extract_location(text: Column) -> Column:
-    """Struct of gmina, powiat and province, each null where the text doesn't name it."""
-    named = lambda pattern: F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
+    """Struct of gmina, powiat and province, each null where the text doesn't name it.
+
+    A gmina is the run of capitals behind its word, a powiat the one or two words behind its own, and a province the word behind
+    its own, or else the first word that is a province's.
+    """
+    named = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    word = r"[\p{L}-]+"
+    county = rf"{places.any_of('powiat')}\s+((?:{word} )?{word})(?=\s*(?:[,.;]|{places.any_of('woj*')}|$))"
     return F.struct(
-        named(rf"(?iu)(?<!\w)gmina\s+({NAME}(?:\s+{NAME})?)").alias("gmina"),
-        named(rf"(?iu)powiat\s+({NAME}(?:\s+{NAME})*?)\s*(?:[,.]|woj)").alias("powiat"),
-        F.coalesce(named(rf"(?iu)woj(?:ewództwo)?\s+({NAME})(?:[,.]|$)"), named(rf"(?iu)(?<!\w)({'|'.join(PROVINCES)})(?!\w)")).alias("province"),
+        named(rf"{places.any_of('gmina', 'gm.')}\s+({places.NAME})").alias("gmina"),
+        named(county).alias("powiat"),
+        F.coalesce(named(rf"{places.any_of('woj.', 'wojewodztwo')}\s+({word})"), named(f"({places.any_of(*PROVINCE_CODES)})")).alias("province"),
     )
 
 

@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landspark.functions.text import ascii_key
+from landspark.functions.text import PROVINCE_CODES, ascii_key, fold
 
-# fixed values: confidence of each method, and the code of each province by its label
+# fixed values: confidence of each method
 CONFIDENCE = {"kw_lookup": 0.92, "teryt_exact": 0.98, "address_fuzzy": 0.55, "uldk_partial": 0.70}
-PROVINCE_CODES = {
-    "śląskie": "24", "slaskie": "24", "małopolskie": "12", "malopolskie": "12", "mazowieckie": "14", "łódzkie": "10", "lodzkie": "10", "dolnośląskie": "02", "dolnoslaskie": "02",
-    "wielkopolskie": "30", "pomorskie": "22", "lubelskie": "06", "podkarpackie": "18", "kujawsko-pomorskie": "04", "lubuskie": "08", "warmińsko-mazurskie": "28",
-    "warminsko-mazurskie": "28", "podlaskie": "20", "opolskie": "16", "świętokrzyskie": "26", "swietokrzyskie": "26", "zachodniopomorskie": "32",
-}
 #: An area hint may be off by this share.
 TOLERANCE = 0.05
 
@@ -25,7 +20,7 @@ def canonical_id(precinct: Column, number: Column) -> Column:
 
 def province_code(label: Column) -> Column:
     pairs = F.create_map(*[F.lit(x) for kv in PROVINCE_CODES.items() for x in kv])
-    return F.element_at(pairs, F.lower(F.trim(label)))
+    return F.try_element_at(pairs, fold(F.trim(label)))
 
 
 def resolve_by_id(listings: DataFrame, cadastre: DataFrame) -> DataFrame:

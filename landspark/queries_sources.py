@@ -8,8 +8,6 @@ from landspark.fixtures import derived, duck, duck_edges
 from landspark.functions import geometry as g
 from landspark.queries import AREA, query
 from landspark.sources import geojson
-from landspark.storage import new_path
-from landspark.streaming import jobs
 
 
 def _collections(spark, sf_dir):
@@ -59,32 +57,6 @@ def a12_geojson_features(spark, sf_dir):
     return geojson.to_geojson_features(derived(spark, sf_dir, "fx_zones"), ["zone_id", "symbol"])
 
 
-def _events(spark, sf_dir):
-    """The events table as a file stream: the folder's files of that name, so that a stream can keep its place in them."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
-
-
-@query("l1_stream_register", "SELECT count(*) AS n, count(DISTINCT user_id) AS n_users FROM (SELECT user_id, event_type FROM events GROUP BY ALL)")
-def l1_stream_register(spark, sf_dir):
-    """Events registered once for each user and type by a stream over the table's files (L1)."""
-    stream = _events(spark, sf_dir).select("user_id", F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type"), 256).alias("hash"))
-    out = new_path(spark, "registered")
-    jobs.register_exactly(stream, "hash", f"{out}/table", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/table").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"))
-
-
-@query("l3_stream_error_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
-def l3_stream_error_counts(spark, sf_dir):
-    """Windowed counts of events by a stream over the table's files; summed, they are the batch's counts (L3)."""
-    stream = _events(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
-    out = new_path(spark, "counts")
-    last = lambda df, number: df.write.mode("overwrite").parquet(f"{out}/table")
-    counts = jobs.stream_error_counts(stream, "at", "30 days", "3650 days")
-    counts.writeStream.outputMode("complete").foreachBatch(last).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/table").groupBy("event_type").agg(F.sum("n").alias("n"))
-
-
 def _gml(spark, sf_dir):
     """Zones as GML texts in three dialects, about a hundred features each: (source_id, teryt_gmina, body)."""
     zones = derived(spark, sf_dir, "fx_zones").withColumn("source_id", F.expr("zone_id div 100"))

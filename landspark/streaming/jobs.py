@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from landspark.operators.leads import watchlist_match
+from landspark.operators.leads import new_matches, watchlist_match
 
 
 def stream_register(stream: DataFrame, hash_col: str, time_col: str, delay: str = "1 hour") -> DataFrame:
@@ -16,28 +13,21 @@ def stream_register(stream: DataFrame, hash_col: str, time_col: str, delay: str
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([hash_col])
 
 
-def register_exactly(stream: DataFrame, hash_col: str, path: str, checkpoint: str) -> StreamingQuery:
-    """The first row of each hash for ever: each micro-batch is written without the hashes that the table at ``path`` has.
+def register_exactly(stream: DataFrame, hash_col: str) -> DataFrame:
+    """The first row of each hash for ever.
 
-    A batch that runs again after a failure finds its own rows there and writes nothing twice.
+    Hashes that were seen are state by key, in the RocksDB store on disk, so a micro-batch reads only the hashes that it
+    brings.  Write the rows with ``stateful.write_log``, which sets that store.
     """
+    return stream.dropDuplicates([hash_col])
 
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([hash_col])
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(hash_col), hash_col, "left_anti")
-        except Exception as error:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        fresh.write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def stream_watchlist(stream: DataFrame, acknowledged: Column | None = None, **criteria) -> DataFrame:
+    """Alerts: leads of a stream that meet a watchlist's criteria and are newer than its acknowledgement (null: all).
 
-def stream_watchlist(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, **criteria) -> StreamingQuery:
-    """Matches of a watchlist, batch by batch, to ``sink``."""
-    return watchlist_match(stream, **criteria).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    Stateless, so a lead is reported with each row that it comes with; write alerts with ``stateful.write_log``.
+    """
+    return new_matches(watchlist_match(stream, **criteria), acknowledged)
 
 
 def stream_error_counts(stream: DataFrame, time_col: str, window: str = "1 day", delay: str = "1 day") -> DataFrame:
