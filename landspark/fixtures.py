@@ -118,8 +118,46 @@ SELECT o_orderkey AS listing_id, CASE WHEN o_orderkey % 4 = 0 THEN concat({gmina
 FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0
 """
 
-SQL = {"fx_cadastre": CADASTRE, "fx_unresolved": UNRESOLVED, "fx_leads": LEADS, "fx_parcels": PARCELS, "fx_zones": ZONES, "fx_zones_adjacent": ADJACENT, "fx_listings": LISTINGS, "fx_signals": SIGNALS, "fx_retry": RETRY, "fx_notices": NOTICES}
-BASE = {"fx_cadastre": "orders", "fx_unresolved": "orders", "fx_leads": "orders", "fx_parcels": "orders", "fx_zones": "customer", "fx_zones_adjacent": "orders", "fx_listings": "lineitem", "fx_signals": "events", "fx_retry": "events", "fx_notices": "lineitem"}
+# plots of a second cadastre, whose precincts have names without digits, and listings of nine kinds that are resolved to them
+PRECINCT = f"""CASE WHEN o_custkey % 180 = 0 THEN concat({pick('o_orderkey % 30 % 4', 'NH', 'K', 'S', 'P')}, '-', cast(o_orderkey % 30 + 1 AS varchar(20)))
+  ELSE concat({pick('o_orderkey % 30 % 7', 'Łąki', 'Górne', 'Dolne', 'Śródmieście', 'Zachodnie', 'Wschodnie', 'Nowe')}, ' Wol', chr(cast(97 + (o_custkey % 20 + o_custkey % 9 + o_orderkey % 30) % 25 AS int))) END"""
+CITY = f"concat({pick('o_custkey % 9 % 5', 'Nowy ', 'Stary ', 'Wielki ', '', 'Górny ')}, {pick('o_custkey % 20 % 10', 'Sącz', 'Targ', 'Dwór', 'Staw', 'Gród', 'Młyn', 'Most', 'Bór', 'Brzeg', 'Port')})"
+FIRST, SECOND, THIRD, REGION = "cast(o_orderkey % 211 + 1 AS varchar(20))", "cast(o_orderkey * 7 % 211 + 1 AS varchar(20))", "cast(o_orderkey * 3 % 211 + 1 AS varchar(20))", "cast(o_orderkey % 30 + 1 AS varchar(20))"
+
+PLOTS = f"""
+SELECT concat({gmina('o_custkey', 'o_custkey')}, '.', lpad({REGION}, 4, '0'), '.', {FIRST}) AS cad_id, {gmina('o_custkey', 'o_custkey')} AS commune, lpad({REGION}, 4, '0') AS region_code, {PRECINCT} AS region_name,
+  {FIRST} AS number, {pick('o_custkey % 3', '12', '18', '24')} AS woj, cast(200 + o_orderkey % 1500 AS decimal(12,2)) AS area_m2, {CITY} AS commune_name, o_orderkey AS k
+FROM orders
+"""
+
+CITIES = f"""
+SELECT name, min(commune) AS commune FROM (SELECT {CITY} AS name, {gmina('o_custkey', 'o_custkey')} AS commune FROM orders) c GROUP BY name, substr(commune, 1, 2)
+"""
+
+CASES = f"""
+SELECT o_orderkey AS listing_id, {pick('o_orderkey % 9', 'ID', 'NAME', 'Urząd', 'PLAIN', None, None, None, None, 'PLAIN')} AS kind, o_orderkey % 9 AS form,
+  CASE o_orderkey % 9 WHEN 0 THEN concat({gmina('o_custkey', 'o_custkey')}, lpad({REGION}, 2, '0')) WHEN 1 THEN concat(lpad({REGION}, 4, '0'), ' ', upper({PRECINCT})) WHEN 2 THEN 'Urząd' WHEN 3 THEN {PRECINCT} WHEN 8 THEN {PRECINCT} END AS raw_obreb,
+  CASE WHEN o_orderkey % 9 IN (0, 1, 2, 6, 7) THEN {FIRST} WHEN o_orderkey % 9 = 8 THEN '' END AS raw_numer,
+  CASE WHEN o_orderkey % 5 > 0 THEN {pick('o_custkey % 3', 'małopolskie', 'podkarpackie', 'śląskie')} END AS raw_woj, CASE WHEN o_orderkey % 9 = 5 THEN {CITY} END AS raw_gmina,
+  CASE WHEN o_orderkey % 4 = 0 THEN concat('KW ', cast(o_orderkey AS varchar(20))) END AS raw_kw, CASE WHEN o_orderkey % 6 > 0 THEN cast(210 + o_orderkey % 1500 AS decimal(12,2)) END AS area_m2, 'Licytacja' AS title,
+  CASE o_orderkey % 9 WHEN 1 THEN 'grunt i działki' WHEN 2 THEN concat('Nieruchomość. Adres nieruchomości 33-250 ', {PRECINCT}, ', poczta Lisia. Komornik Sądowy')
+    WHEN 6 THEN concat('działka nr ', {FIRST}, ' położona w ', {CITY}, 'u, obręb ', {REGION})
+    WHEN 7 THEN concat('działka nr ', {FIRST}, ' w miejscowości ', {CITY}, 'u, ', CASE WHEN o_orderkey % 2 = 0 THEN {PRECINCT} ELSE 'teren' END, ' Komornik Sądowy w mieście Port') ELSE 'działka' END AS raw_text
+FROM orders
+"""
+
+ENRICHED = f"""
+SELECT o_orderkey AS listing_id, {FIRST} AS number_1, {SECOND} AS number_2,
+  CASE WHEN o_orderkey % 9 = 4 THEN concat('działki nr ', {FIRST}, ', ', {SECOND}, ', jedn. ewid. ', {pick('o_orderkey % 30 % 4', 'Nowa Huta', 'Krowodrza', 'Śródmieście', 'Podgórze')}, ', obręb ', {REGION}) END AS text
+FROM orders WHERE o_orderkey % 9 IN (1, 3, 4, 5)
+"""
+
+OVERRIDES = f"""
+SELECT concat('KW', cast(o_orderkey AS varchar(20))) AS kw, {THIRD} AS number, {PRECINCT} AS obreb FROM orders WHERE o_orderkey % 36 = 12
+"""
+
+SQL = {"fx_cadastre": CADASTRE, "fx_unresolved": UNRESOLVED, "fx_leads": LEADS, "fx_parcels": PARCELS, "fx_zones": ZONES, "fx_zones_adjacent": ADJACENT, "fx_listings": LISTINGS, "fx_signals": SIGNALS, "fx_retry": RETRY, "fx_notices": NOTICES, "fx_plots": PLOTS, "fx_cities": CITIES, "fx_cases": CASES, "fx_enriched": ENRICHED, "fx_overrides": OVERRIDES}
+BASE = {"fx_cadastre": "orders", "fx_unresolved": "orders", "fx_leads": "orders", "fx_parcels": "orders", "fx_zones": "customer", "fx_zones_adjacent": "orders", "fx_listings": "lineitem", "fx_signals": "events", "fx_retry": "events", "fx_notices": "lineitem", "fx_plots": "orders", "fx_cities": "orders", "fx_cases": "orders", "fx_enriched": "orders", "fx_overrides": "orders"}
 
 #: Vertices of a ring, clockwise and not closed, for the three shapes.
 RECTANGLE = ("x0, y0", "x0, y0 + h", "x0 + w, y0 + h", "x0 + w, y0")

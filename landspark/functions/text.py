@@ -140,6 +140,28 @@ def ascii_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(text), "ąćęłńóśźż", "acelnoszz"), r"[\s\-]+", " "))
 
 
+# fixed values: inflected names (as keys) that no rule brings to the nominative
+FORMS = {
+    "bielsku bialej": "Bielsko-Biała", "brzeszczach": "Brzeszcze", "czestochowie": "Częstochowa", "dabrowie gorniczej": "Dąbrowa Górnicza", "grzegorzowicach wielkich": "Grzegorzowice Wielkie",
+    "imielinie": "Imielin", "jelesni": "Jeleśnia", "nowym saczu": "Nowy Sącz", "rudzie slaskiej": "Ruda Śląska",
+}
+# fixed values: endings of one word, and of any name, that are a street's and no place's
+GENITIVES, DATES = ("ego", "ej", "lecia"), ("stycznia", "maja", "wrzesnia", "listopada")
+
+
+def nominative(name: Column, forms: dict[str, str] = FORMS) -> Column:
+    """A place's name in the nominative; null if it is rather a street's, as it is if no rule knows it.
+
+    A stray w behind a final vowel goes; then the table of ``forms`` (by key) decides, then -anem becomes -ane and -owie -ów.
+    """
+    bare = F.regexp_replace(F.trim(name), "(?i)(?<=[aeiyąę])w$", "")
+    table = F.create_map(*[F.lit(x) for kv in forms.items() for x in kv]) if forms else F.lit(None).cast("map<string,string>")
+    key = ascii_key(bare)
+    street = (~F.contains(key, F.lit(" ")) & key.rlike(f"(?:{'|'.join(GENITIVES)})$")) | key.rlike(f"(?:{'|'.join(DATES)})$")
+    ruled = F.when(key.rlike("anem$"), F.left(bare, F.length(bare) - 1)).when(key.rlike("owie$"), F.concat(F.left(bare, F.length(bare) - 4), F.lit("ów"))).otherwise(bare)
+    return F.coalesce(F.try_element_at(table, key), F.when(~street, ruled))
+
+
 #: Named entities that pages use, in the order in which they are replaced; the ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 

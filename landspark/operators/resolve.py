@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from landspark.functions.text import PROVINCE_CODES, ascii_key, fold
 
 # fixed values: confidence of each method
-CONFIDENCE = {"kw_lookup": 0.92, "teryt_exact": 0.98, "address_fuzzy": 0.55, "uldk_partial": 0.70}
+CONFIDENCE = {"kw_lookup": 0.92, "teryt_exact": 0.98, "address_fuzzy": 0.55, "uldk_partial": 0.70, "manual": 0.70}
 #: An area hint may be off by this share.
 TOLERANCE = 0.05
 
@@ -29,21 +29,32 @@ def resolve_by_id(listings: DataFrame, cadastre: DataFrame) -> DataFrame:
     return keyed.join(cadastre.select("cad_id"), "cad_id").select("listing_id", "cad_id", F.lit("teryt_exact").alias("method"))
 
 
-def resolve_by_name(listings: DataFrame, cadastre: DataFrame) -> DataFrame:
-    """(listing_id, cad_id, method) by precinct name and number, if one candidate is left: alone, by province, then by area.
+def choose(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the candidates of each key the one that is left, with ``by``: alone (by itself, or in its province) or area.
 
-    Without candidates of the province all stay; the stages are counts over one window, so candidates are joined once.
+    ``found``: keys, cad_id, _woj and area_m2 of what is sought, _cad_woj and _cad_area of the candidate.  Without candidates of the
+    province all stay; the stages are counts over one window, so candidates are joined once.
     """
-    named = listings.filter("raw_obreb IS NOT NULL AND raw_numer IS NOT NULL").withColumn("_key", ascii_key(F.col("raw_obreb"))).withColumn("_woj", province_code(F.col("raw_woj")))
-    found = named.join(cadastre.withColumn("_key", ascii_key(F.col("precinct_name"))).select("_key", F.col("number").alias("raw_numer"), "cad_id", F.col("woj").alias("_cad_woj"), F.col("area_m2").alias("_cad_area")), ["_key", "raw_numer"])
-    w = Window.partitionBy("listing_id")
+    w = Window.partitionBy(*keys)
     rows = found.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_here", F.col("_woj").eqNullSafe(F.col("_cad_woj"))).withColumn("_n_here", F.count_if(F.col("_here")).over(w))
     usable = (F.col("_n_here") == 0) | F.col("_here")
     near = usable & F.col("_cad_area").between(F.col("area_m2") * (1 - TOLERANCE), F.col("area_m2") * (1 + TOLERANCE)) & (F.col("area_m2") > 0)
     rows = rows.withColumn("_near", F.coalesce(near, F.lit(False))).withColumn("_n_near", F.count_if(F.col("_near")).over(w))
     alone = (F.col("_n") == 1) | ((F.col("_n_here") == 1) & F.col("_here"))
     by_area = (F.col("_n") > 1) & (F.col("_n_here") != 1) & (F.col("_n_near") == 1) & F.col("_near")
-    return rows.filter(alone | by_area).select("listing_id", "cad_id", F.when(alone, "teryt_exact").otherwise("uldk_partial").alias("method"))
+    return rows.filter(alone | by_area).select(*keys, "cad_id", F.when(alone, "alone").otherwise("area").alias("by"))
+
+
+def by_precinct(cadastre: DataFrame, name: str = "precinct_name") -> DataFrame:
+    """The cadastre as candidates by the key of a precinct's name and a number."""
+    return cadastre.select(ascii_key(F.col(name)).alias("_key"), F.col("number").alias("_number"), "cad_id", F.col("woj").alias("_cad_woj"), F.col("area_m2").alias("_cad_area"))
+
+
+def resolve_by_name(listings: DataFrame, cadastre: DataFrame, name: str = "precinct_name") -> DataFrame:
+    """(listing_id, cad_id, method) by precinct name and number, if one candidate is left: alone, by province, then by area."""
+    named = listings.filter("raw_obreb IS NOT NULL AND raw_numer IS NOT NULL").select("listing_id", "area_m2", ascii_key(F.col("raw_obreb")).alias("_key"), F.col("raw_numer").alias("_number"), province_code(F.col("raw_woj")).alias("_woj"))
+    chosen = choose(named.join(by_precinct(cadastre, name), ["_key", "_number"]), ["listing_id"])
+    return chosen.select("listing_id", "cad_id", F.when(F.col("by") == "alone", "teryt_exact").otherwise("uldk_partial").alias("method"))
 
 
 def resolve_cascade(listings: DataFrame, strategies: list[DataFrame]) -> DataFrame:

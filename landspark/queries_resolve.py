@@ -37,18 +37,6 @@ def c13_resolve_by_name(spark, sf_dir):
     return ops.resolve_by_name(*tables(spark, sf_dir))
 
 
-@query(
-    "c19_resolve_cascade",
-    f"""{BY_NAME}, b AS (SELECT *, 0 AS k FROM by_id UNION ALL SELECT *, 1 FROM by_name), r AS (SELECT DISTINCT listing_id, cad_id, method FROM b QUALIFY k = min(k) OVER (PARTITION BY listing_id))
-SELECT listing_id, cad_id, method, CASE method WHEN 'teryt_exact' THEN 0.98 WHEN 'uldk_partial' THEN 0.7 END AS match_confidence,
-  CASE WHEN cad_id IS NOT NULL THEN 'resolved' WHEN coalesce(raw_numer, '') = '' THEN 'missing_parcel_number' WHEN coalesce(raw_obreb, '') = '' THEN 'missing_precinct' ELSE 'not_found_or_ambiguous' END AS outcome FROM fx_unresolved LEFT JOIN r USING (listing_id)""",
-)
-def c19_resolve_cascade(spark, sf_dir):
-    """Every listing with the parcels of the first strategy that has any, or the reason."""
-    listings, cadastre = tables(spark, sf_dir)
-    return ops.resolve_cascade(listings, [ops.resolve_by_id(listings, cadastre), ops.resolve_by_name(listings, cadastre)])
-
-
 @query(
     "c18_common_region",
     """WITH c AS (SELECT DISTINCT l_orderkey AS notice_id, l_linenumber AS number, (l_partkey * l_linenumber) % 4 AS region_code FROM lineitem),

@@ -25,6 +25,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what several branches of a plan read is made once, and survives any executor."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def next_version(df: DataFrame, path: str, version: int) -> str:
     """Write a table's next version beside the others; readers of the old one are not disturbed."""
     where = f"{path}/v={version:08d}"
