@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landspark.functions import markup
 from landspark.functions import planning as p
 from landspark.functions.text import fold, html_to_text
 from landspark.operators.backlog import resolve_href, signal_date
@@ -77,15 +78,6 @@ def _signal(**values: Column | str | None) -> Column:
     return F.struct(*((v if isinstance(v := values.get(n), Column) else F.lit(v).cast(t)).alias(n) for n, t in fields))
 
 
-def _cells(body: Column) -> Column:
-    """The cells of the first table row of the class studium, as pieces of the page."""
-    opening = lambda piece: F.lower(F.substring_index(piece, ">", 1))
-    rows = F.filter(F.slice(F.split(body, r"(?i)<tr(?=[\s>])"), 2, 100_000), lambda x: opening(x).rlike(r"class=['\"][^'\"]*studium"))
-    row = F.regexp_replace(F.get(rows, F.lit(0)), r"(?is)</tr>.*", "")
-    cells = F.filter(F.slice(F.split(row, r"(?i)<td(?=[\s>])"), 2, 1000), lambda x: opening(x).rlike(r"class=['\"][^'\"]*cell"))
-    return F.transform(cells, lambda x: F.regexp_replace(F.regexp_replace(x, r"^[^>]*>", ""), r"(?is)</td>.*", ""))
-
-
 def page_signals(pages: DataFrame) -> DataFrame:
     """Signals of ``pages`` (source_id, teryt_gmina, source_url, source_type, confidence, body): the page's columns but its body, and what
     CANDIDATE and its comment name, with designation_normalized, plan_name, source_url and legal_weight.
@@ -97,7 +89,7 @@ def page_signals(pages: DataFrame) -> DataFrame:
     rows = pages.withColumn("_body", F.coalesce("body", F.lit(""))).withColumn("_clean", html_to_text(F.col("_body")))
     rows = rows.withColumn("_folded", fold(F.col("_clean"))).withColumn("_low", F.lower("_body"))
     begin = F.instr(F.col("_low"), SECTION)
-    rows = rows.withColumn("_cells", F.when(index, _cells(F.col("_body")))).withColumn("_inner", F.when(index & (begin > 0), F.substring_index(F.substr(F.col("_body"), begin + len(SECTION)), END_SECTION, 1)))
+    rows = rows.withColumn("_cells", F.when(index, markup.cells(F.get(markup.rows(F.col("_body"), "studium"), F.lit(0)), "cell"))).withColumn("_inner", F.when(index & (begin > 0), F.substring_index(F.substr(F.col("_body"), begin + len(SECTION)), END_SECTION, 1)))
     rows = rows.withColumn("_inner", F.when(F.startswith(F.lower("_inner"), F.lit(OPEN_SECTION)) & F.contains(F.lower("_inner"), F.lit(IN_WORK)), F.col("_inner")))
     rows = rows.withColumn("_texts", F.transform("_cells", html_to_text)).withColumn("_land", F.when(gml, p.designation_class(F.lit("POG"), F.col("_body"))))
 

@@ -70,13 +70,6 @@ def k10_benchmark_gaps(spark, sf_dir):
     return rows.select("teryt_gmina", "lead_id", "overall_score", "price_per_m2_zl", F.col("scope").alias("benchmark_scope"), "sample_size", "reliable")
 
 
-@query("i20_plan_states", f"WITH {duck('fx_zones')} SELECT zone_id, CASE WHEN zone_id % 11 = 0 THEN 'bbox_axis_suspect' WHEN zone_id % 5 > 0 AND zone_id % 3 = 0 THEN 'ready' WHEN zone_id % 5 > 0 AND zone_id % 3 = 1 THEN 'manual_override_required' ELSE 'source_discovered' END AS plan_state, CASE WHEN symbol IN ('MN', 'U') THEN 'ready' WHEN zone_id % 4 = 0 THEN 'legend_missing_semantics' ELSE 'manual_override_required' END AS probe_state FROM fx_zones")
-def i20_plan_states(spark, sf_dir):
-    """Readiness of every plan and of its probe."""
-    z = F.col("zone_id")
-    return derived(spark, sf_dir, "fx_zones").select("zone_id", ops.plan_state(z % 11 == 0, z % 5, z % 3 < 2, z % 3 == 0).alias("plan_state"), ops.probe_state(F.when(F.col("symbol").isin("MN", "U"), F.col("symbol")), z % 4).alias("probe_state"))
-
-
 @query(
     "h22_page_checks",
     f"""WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\\b.*?</script\\s*>', ' ', 'gis'), '<style\\b.*?</style\\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs') AS h FROM pages),
