@@ -102,6 +102,10 @@ SELECT o_orderkey AS lead_id, o_orderkey // 2 AS parcel_id, {gmina('o_custkey',
 FROM orders
 """
 
+# the zones of plans that are loaded so far, and the leads that are still open: those of one market segment, and of the dearest orders
+LOADED = f"{ZONES.rstrip()} WHERE c_mktsegment = 'BUILDING'\n"
+OPEN_LEADS = f"{LEADS.rstrip()} WHERE o_totalprice > 490000\n"
+
 CADASTRE = f"""
 SELECT concat({gmina('o_custkey', 'o_custkey')}, '.', lpad(cast(o_orderkey % 30 + 1 AS varchar(20)), 4, '0'), '.', cast(o_orderkey % 211 + 1 AS varchar(20))) AS cad_id,
   {pick('o_custkey % 3', '12', '18', '24')} AS woj, concat('Obręb-', {pick('o_orderkey % 7', 'Łąki', 'Górny', 'Dolny', 'Śródmieście', 'Zachód', 'Wschód', 'Nowy')}, ' ', cast(o_orderkey % 41 AS varchar(20))) AS precinct_name,
@@ -156,8 +160,8 @@ OVERRIDES = f"""
 SELECT concat('KW', cast(o_orderkey AS varchar(20))) AS kw, {THIRD} AS number, {PRECINCT} AS obreb FROM orders WHERE o_orderkey % 36 = 12
 """
 
-SQL = {"fx_cadastre": CADASTRE, "fx_unresolved": UNRESOLVED, "fx_leads": LEADS, "fx_parcels": PARCELS, "fx_zones": ZONES, "fx_zones_adjacent": ADJACENT, "fx_listings": LISTINGS, "fx_signals": SIGNALS, "fx_retry": RETRY, "fx_notices": NOTICES, "fx_plots": PLOTS, "fx_cities": CITIES, "fx_cases": CASES, "fx_enriched": ENRICHED, "fx_overrides": OVERRIDES}
-BASE = {"fx_cadastre": "orders", "fx_unresolved": "orders", "fx_leads": "orders", "fx_parcels": "orders", "fx_zones": "customer", "fx_zones_adjacent": "orders", "fx_listings": "lineitem", "fx_signals": "events", "fx_retry": "events", "fx_notices": "lineitem", "fx_plots": "orders", "fx_cities": "orders", "fx_cases": "orders", "fx_enriched": "orders", "fx_overrides": "orders"}
+SQL = {"fx_cadastre": CADASTRE, "fx_unresolved": UNRESOLVED, "fx_leads": LEADS, "fx_parcels": PARCELS, "fx_zones": ZONES, "fx_zones_adjacent": ADJACENT, "fx_loaded": LOADED, "fx_open_leads": OPEN_LEADS, "fx_listings": LISTINGS, "fx_signals": SIGNALS, "fx_retry": RETRY, "fx_notices": NOTICES, "fx_plots": PLOTS, "fx_cities": CITIES, "fx_cases": CASES, "fx_enriched": ENRICHED, "fx_overrides": OVERRIDES}
+BASE = {"fx_cadastre": "orders", "fx_unresolved": "orders", "fx_leads": "orders", "fx_parcels": "orders", "fx_zones": "customer", "fx_zones_adjacent": "orders", "fx_loaded": "customer", "fx_open_leads": "orders", "fx_listings": "lineitem", "fx_signals": "events", "fx_retry": "events", "fx_notices": "lineitem", "fx_plots": "orders", "fx_cities": "orders", "fx_cases": "orders", "fx_enriched": "orders", "fx_overrides": "orders"}
 
 #: Vertices of a ring, clockwise and not closed, for the three shapes.
 RECTANGLE = ("x0, y0", "x0, y0 + h", "x0 + w, y0 + h", "x0 + w, y0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landspark.functions import geometry as g
@@ -14,6 +14,11 @@ from landspark.operators.spatial import dwithin_join, shared_boundary
 REACH = 100.0
 
 
+def per_m2() -> Column:
+    """Price per square metre, rounded half-even to two places, as it is stored; null without a price or an area."""
+    return F.bround(F.try_divide(F.col("price_zl").cast("double"), F.col("area_m2")), 2)
+
+
 def heuristics(parcels: DataFrame, zones: DataFrame) -> DataFrame:
     """Distances and contacts of each parcel, from one distance join to all zones within reach and one boundary join.
 
@@ -36,8 +41,8 @@ def run_future(parcels: DataFrame, zones: DataFrame, signals: DataFrame, listing
     """
     area = parcels.select("parcel_id", "teryt_gmina", g.area(F.col("geom")).alias("area_m2"))
     latest = listings.groupBy("parcel_id").agg(F.max_by("price_zl", F.struct("created_at", "listing_id")).alias("price_zl"))
-    priced = area.join(latest, "parcel_id", "left").withColumn("price_per_m2", (F.col("price_zl") / F.col("area_m2")).cast("double"))
-    benchmark = s.market_benchmark(listings.join(area, "parcel_id").select("teryt_gmina", (F.col("price_zl") / F.col("area_m2")).cast("double").alias("price_per_m2")))
+    priced = area.join(latest, "parcel_id", "left").withColumn("price_per_m2", per_m2())
+    benchmark = s.market_benchmark(listings.join(area, "parcel_id").select("teryt_gmina", per_m2().alias("price_per_m2")))
     rows = s.with_benchmark(priced, benchmark)
     rows = rows.withColumn("cheapness_score", p.cheapness(F.col("price_per_m2"), F.coalesce("sample_size", F.lit(0)), F.col("p25"), F.col("p40")))
     rows = rows.join(s.score_signals(parcels, signals), "parcel_id", "left").join(s.corroborate(parcels, signals).select("parcel_id", "bonus"), "parcel_id", "left")

@@ -143,14 +143,14 @@ def d14_near_threshold(spark, sf_dir):
 
 @query(
     "d5_coverage_target",
-    f"""WITH {duck('fx_parcels', 'fx_zones', 'fx_leads')}, g AS (SELECT DISTINCT teryt_gmina AS g FROM fx_parcels),
-  j AS (SELECT substr(g, 1, 2) AS province, g IN (SELECT teryt_gmina FROM fx_zones WHERE zone_id % 9 < 3) AS z, g IN (SELECT teryt_gmina FROM fx_leads WHERE lead_id % 40 = 0) AS l FROM g),
+    f"""WITH {duck('fx_parcels', 'fx_loaded', 'fx_open_leads')}, g AS (SELECT DISTINCT teryt_gmina AS g FROM fx_parcels),
+  j AS (SELECT substr(g, 1, 2) AS province, g IN (SELECT teryt_gmina FROM fx_loaded) AS z, g IN (SELECT teryt_gmina FROM fx_open_leads) AS l FROM g),
   c AS (SELECT province, count(*) AS n_gminas, count_if(z) AS covered, count_if(l) AS with_leads FROM j GROUP BY province)
 SELECT *, round(100.0 * covered / n_gminas, 1) AS coverage_pct, ceil(n_gminas * 0.7)::BIGINT AS target, greatest(ceil(n_gminas * 0.7)::BIGINT - covered, 0) AS gap FROM c""",
 )
 def d5_coverage_target(spark, sf_dir):
     """Covered communes of each province and the gap to the target."""
-    return ops.coverage_target(derived(spark, sf_dir, "fx_parcels"), derived(spark, sf_dir, "fx_zones").filter("zone_id % 9 < 3"), derived(spark, sf_dir, "fx_leads").filter("lead_id % 40 = 0"))
+    return ops.coverage_target(derived(spark, sf_dir, "fx_parcels"), derived(spark, sf_dir, "fx_loaded"), derived(spark, sf_dir, "fx_open_leads"))
 
 
 CORPUS = "corpus AS (SELECT lead_id AS parcel_id, CASE lead_id % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'uncertain' END AS label, overall_score FROM (SELECT lead_id, (lead_id * 13 % 101)::DOUBLE AS overall_score FROM fx_leads))"

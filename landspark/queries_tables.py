@@ -67,19 +67,28 @@ def d3_missing_use_by_gmina(spark, sf_dir):
     return derived(spark, sf_dir, "fx_parcels").filter(F.trim(F.coalesce("current_use", F.lit(""))) == "").groupBy("teryt_gmina").agg(F.count(F.lit(1)).alias("n"), F.min("parcel_id").alias("sample_id"))
 
 
-@query("d6_uncovered_gminas", f"WITH {duck('fx_parcels', 'fx_zones', 'fx_listings')}, u AS (SELECT * FROM fx_parcels WHERE teryt_gmina NOT IN (SELECT teryt_gmina FROM fx_zones WHERE zone_id % 9 < 3)) SELECT u.teryt_gmina, count(DISTINCT u.parcel_id) AS n, string_agg(DISTINCT current_use, ',' ORDER BY current_use) AS uses, min(source_url) AS url FROM u LEFT JOIN fx_listings USING (parcel_id) GROUP BY u.teryt_gmina")
+@query("d6_uncovered_gminas", f"WITH {duck('fx_parcels', 'fx_loaded', 'fx_listings')}, u AS (SELECT * FROM fx_parcels WHERE teryt_gmina NOT IN (SELECT teryt_gmina FROM fx_loaded)) SELECT u.teryt_gmina, count(DISTINCT u.parcel_id) AS n, string_agg(DISTINCT current_use, ',' ORDER BY current_use) AS uses, min(source_url) AS url FROM u LEFT JOIN fx_listings USING (parcel_id) GROUP BY u.teryt_gmina")
 def d6_uncovered_gminas(spark, sf_dir):
     """Communes with parcels but no zones: parcels, land uses and a listing."""
-    zones = derived(spark, sf_dir, "fx_zones").filter("zone_id % 9 < 3").select("teryt_gmina")
+    zones = derived(spark, sf_dir, "fx_loaded").select("teryt_gmina")
     rows = derived(spark, sf_dir, "fx_parcels").join(zones, "teryt_gmina", "left_anti").join(derived(spark, sf_dir, "fx_listings").groupBy("parcel_id").agg(F.min("source_url").alias("u")), "parcel_id", "left")
     return rows.groupBy("teryt_gmina").agg(F.countDistinct("parcel_id").alias("n"), F.nullif(F.array_join(F.array_sort(F.collect_set("current_use")), ","), F.lit("~")).alias("uses"), F.min("u").alias("url"))
 
 
-@query("d7_covered_no_leads", f"WITH {duck('fx_parcels', 'fx_zones', 'fx_leads')}, p AS (SELECT teryt_gmina, count(*) AS parcels FROM fx_parcels GROUP BY 1), z AS (SELECT teryt_gmina, count(*) AS zones FROM fx_zones GROUP BY 1), l AS (SELECT teryt_gmina FROM fx_leads WHERE lead_id % 200 = 0) SELECT * FROM p JOIN z USING (teryt_gmina) WHERE teryt_gmina NOT IN (SELECT teryt_gmina FROM l)")
+@query(
+    "d7_covered_no_leads",
+    f"""WITH {duck('fx_parcels', 'fx_loaded', 'fx_open_leads', 'fx_listings', 'fx_signals')}, p AS (SELECT teryt_gmina, count(*) AS parcels FROM fx_parcels GROUP BY 1), z AS (SELECT teryt_gmina, count(*) AS zones FROM fx_loaded GROUP BY 1),
+li AS (SELECT teryt_gmina, count(DISTINCT listing_id) AS listings FROM fx_listings JOIN fx_parcels USING (parcel_id) GROUP BY 1), s AS (SELECT teryt_gmina, count(*) AS signals FROM fx_signals GROUP BY 1)
+SELECT teryt_gmina, parcels, zones, coalesce(listings, 0) AS listings, coalesce(signals, 0) AS signals, 0 AS leads FROM p JOIN z USING (teryt_gmina) LEFT JOIN li USING (teryt_gmina) LEFT JOIN s USING (teryt_gmina) WHERE teryt_gmina NOT IN (SELECT teryt_gmina FROM fx_open_leads)""",
+)
 def d7_covered_no_leads(spark, sf_dir):
-    """Covered communes without leads; each side is counted before the join."""
-    count = lambda name, c: derived(spark, sf_dir, name).groupBy("teryt_gmina").agg(F.count(F.lit(1)).alias(c))
-    return count("fx_parcels", "parcels").join(count("fx_zones", "zones"), "teryt_gmina").join(derived(spark, sf_dir, "fx_leads").filter("lead_id % 200 = 0"), "teryt_gmina", "left_anti")
+    """Covered communes without leads, with five counts; each side is counted before the join."""
+    table = lambda name: derived(spark, sf_dir, name)
+    count = lambda df, c: df.groupBy("teryt_gmina").agg(F.count(F.lit(1)).alias(c))
+    listed = table("fx_listings").select("listing_id", "parcel_id").distinct().join(table("fx_parcels").select("parcel_id", "teryt_gmina"), "parcel_id")
+    rows = count(table("fx_parcels"), "parcels").join(count(table("fx_loaded"), "zones"), "teryt_gmina").join(table("fx_open_leads"), "teryt_gmina", "left_anti")
+    rows = rows.join(count(listed, "listings"), "teryt_gmina", "left").join(count(table("fx_signals"), "signals"), "teryt_gmina", "left")
+    return rows.select("teryt_gmina", "parcels", "zones", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("listings", "signals")), F.lit(0).alias("leads"))
 
 
 ERR = "lower(trim(coalesce(last_error, '')))"
@@ -140,22 +149,22 @@ def d29_pipeline_rates(spark, sf_dir):
 STATUS = "CASE WHEN NOT z THEN CASE WHEN r THEN 'source_configured_but_not_loaded' ELSE 'no_source_configured' END WHEN d THEN 'covered_but_no_buildable_delta' ELSE 'covered_but_no_delta' END"
 
 
-@query("i18_backlog_status", f"WITH {duck('fx_parcels', 'fx_zones')}, g AS (SELECT teryt_gmina, count(*) AS n, teryt_gmina IN (SELECT teryt_gmina FROM fx_zones WHERE zone_id % 9 < 3) AS z, substr(teryt_gmina, 3, 2) > '10' AS r, count_if(current_use = 'R') > 20 AS d FROM fx_parcels GROUP BY teryt_gmina) SELECT teryt_gmina, n, {STATUS} AS status FROM g ORDER BY list_position(['no_source_configured', 'source_configured_but_not_loaded', 'covered_but_no_delta', 'covered_but_no_buildable_delta'], status), n DESC, teryt_gmina LIMIT 60")
+@query("i18_backlog_status", f"WITH {duck('fx_parcels', 'fx_loaded')}, g AS (SELECT teryt_gmina, count(*) AS n, teryt_gmina IN (SELECT teryt_gmina FROM fx_loaded) AS z, substr(teryt_gmina, 3, 2) > '10' AS r, count_if(current_use = 'R') > 20 AS d FROM fx_parcels GROUP BY teryt_gmina) SELECT teryt_gmina, n, {STATUS} AS status FROM g ORDER BY list_position(['no_source_configured', 'source_configured_but_not_loaded', 'covered_but_no_delta', 'covered_but_no_buildable_delta'], status), n DESC, teryt_gmina LIMIT 60")
 def i18_backlog_status(spark, sf_dir):
     """Communes of the backlog by status, ranked."""
-    zones = derived(spark, sf_dir, "fx_zones").filter("zone_id % 9 < 3").select("teryt_gmina").distinct().withColumn("z", F.lit(True))
+    zones = derived(spark, sf_dir, "fx_loaded").select("teryt_gmina").distinct().withColumn("z", F.lit(True))
     rows = derived(spark, sf_dir, "fx_parcels").groupBy("teryt_gmina").agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("current_use") == "R") > 20).alias("d")).join(zones, "teryt_gmina", "left")
     status = p.backlog_status(F.substring("teryt_gmina", 3, 2) > "10", F.coalesce("z", F.lit(False)), F.col("d"))
     order = F.array_position(F.array(*map(F.lit, ("no_source_configured", "source_configured_but_not_loaded", "covered_but_no_delta", "covered_but_no_buildable_delta"))), F.col("status"))
     return rows.select("teryt_gmina", "n", status.alias("status")).orderBy(order, F.desc("n"), "teryt_gmina").limit(60)
 
 
-@query("i11_buildable_status", f"WITH {duck('fx_parcels', 'fx_leads')}, c AS (SELECT DISTINCT parcel_id FROM fx_leads WHERE strategy_type = 'current_buildable' AND lead_id % 5 = 0), u AS (SELECT DISTINCT parcel_id FROM fx_leads WHERE lead_id % 7 = 0) SELECT parcel_id, CASE WHEN parcel_id IN (FROM c) THEN 'already_buildable' WHEN parcel_id IN (FROM u) THEN 'mixed' WHEN trim(coalesce(current_use, '')) IN ('B', 'Ba', 'Bi', 'Bp', 'K') THEN 'already_buildable' WHEN trim(coalesce(current_use, '')) IN ('R', 'Ł', 'Ps', 'Ls', 'Lz', 'S', 'N', 'W', 'dr', '') THEN 'non_buildable' ELSE 'mixed' END AS status FROM fx_parcels")
+@query("i11_buildable_status", f"WITH {duck('fx_parcels', 'fx_leads')}, c AS (SELECT DISTINCT parcel_id FROM fx_leads WHERE strategy_type = 'current_buildable'), u AS (SELECT DISTINCT parcel_id FROM fx_leads) SELECT parcel_id, CASE WHEN parcel_id IN (FROM c) THEN 'already_buildable' WHEN parcel_id IN (FROM u) THEN 'mixed' WHEN trim(coalesce(current_use, '')) IN ('B', 'Ba', 'Bi', 'Bp', 'K') THEN 'already_buildable' WHEN trim(coalesce(current_use, '')) IN ('R', 'Ł', 'Ps', 'Ls', 'Lz', 'S', 'N', 'W', 'dr', '') THEN 'non_buildable' ELSE 'mixed' END AS status FROM fx_parcels")
 def i11_buildable_status(spark, sf_dir):
     """Whether each parcel can be built on today."""
     leads = derived(spark, sf_dir, "fx_leads")
     flag = lambda df, c: df.select("parcel_id").distinct().withColumn(c, F.lit(True))
-    rows = derived(spark, sf_dir, "fx_parcels").join(flag(leads.filter("strategy_type = 'current_buildable' AND lead_id % 5 = 0"), "c"), "parcel_id", "left").join(flag(leads.filter("lead_id % 7 = 0"), "u"), "parcel_id", "left")
+    rows = derived(spark, sf_dir, "fx_parcels").join(flag(leads.filter("strategy_type = 'current_buildable'"), "c"), "parcel_id", "left").join(flag(leads, "u"), "parcel_id", "left")
     use = F.trim(F.coalesce("current_use", F.lit("")))
     status = F.when(F.col("c"), "already_buildable").when(F.col("u"), "mixed").when(use.isin(*p.BUILT), "already_buildable").when(use.isin(*p.AGRICULTURAL, ""), "non_buildable").otherwise("mixed")
     return rows.select("parcel_id", status.alias("status"))
@@ -174,12 +183,12 @@ def e8_infer_current_use(spark, sf_dir):
     return rows.groupBy("parcel_id").agg(F.max_by("current_use", F.struct("created_at", "listing_id")).alias("current_use"))
 
 
-@query("j1_upsert_zones", f"{ZONES} SELECT zone_id, CASE WHEN zone_id % 3 = 0 THEN 'new plan' ELSE plan_name END AS plan_name, CASE WHEN zone_id % 3 = 0 AND zone_id % 2 = 1 THEN upper(symbol) ELSE symbol END AS symbol FROM fx_zones WHERE zone_id % 2 = 0 OR zone_id % 3 = 0")
+@query("j1_upsert_zones", f"{ZONES} SELECT zone_id, CASE WHEN plan_type <> 'studium' THEN 'new plan' ELSE plan_name END AS plan_name, CASE WHEN plan_type = 'pog' THEN upper(symbol) ELSE symbol END AS symbol FROM fx_zones")
 def j1_upsert_zones(spark, sf_dir):
-    """Zones upserted by key; the stored symbol stays."""
-    zones = derived(spark, sf_dir, "fx_zones").select("zone_id", "symbol", "plan_name")
-    new = zones.filter("zone_id % 3 = 0").withColumn("plan_name", F.lit("new plan")).withColumn("symbol", F.upper("symbol"))
-    return ops.upsert(zones.filter("zone_id % 2 = 0"), new, ["zone_id"], keep=["symbol"])
+    """Zones upserted by key; the stored symbol stays (J1): studies are stored only, general plans are new only, local plans are both."""
+    zones = derived(spark, sf_dir, "fx_zones").select("zone_id", "symbol", "plan_name", "plan_type")
+    new = zones.filter("plan_type <> 'studium'").withColumn("plan_name", F.lit("new plan")).withColumn("symbol", F.upper("symbol")).drop("plan_type")
+    return ops.upsert(zones.filter("plan_type <> 'pog'").drop("plan_type"), new, ["zone_id"], keep=["symbol"])
 
 
 @query("j3_save_deltas", f"{LEADS} SELECT parcel_id, lead_id AS zone_id, lead_id % 4 AS v FROM fx_leads WHERE lead_id % 4 = 1 UNION ALL SELECT parcel_id, lead_id, lead_id % 4 FROM fx_leads WHERE lead_id % 4 <> 1 AND parcel_id NOT IN (SELECT parcel_id FROM fx_leads WHERE lead_id % 4 = 1)")
