@@ -21,12 +21,12 @@ def b16_collect_polygons(spark, sf_dir):
     return ops.sum_polygons(derived(spark, sf_dir, "fx_parcels"), ["teryt_gmina"])
 
 
-@query("b18_dedup_tiled", f"{ZONES} SELECT count(*) AS n, sum(zone_id) AS s FROM fx_zones")
+@query("b18_dedup_tiled", f"{ZONES} SELECT zone_id, 0 AS tile, symbol FROM fx_zones")
 def b18_dedup_tiled(spark, sf_dir):
     """Zones that two tiles brought, once."""
     zones = derived(spark, sf_dir, "fx_zones")
-    twice = zones.withColumn("tile", F.lit(0)).unionByName(zones.filter("zone_id % 3 = 0").withColumn("tile", F.lit(1)))
-    return ops.dedup_tiled(twice, [F.asc("tile"), F.asc("zone_id")]).agg(F.count(F.lit(1)).alias("n"), F.sum("zone_id").alias("s"))
+    twice = zones.withColumn("tile", F.lit(0)).unionByName(zones.filter("plan_type = 'pog'").withColumn("tile", F.lit(1)))
+    return ops.dedup_tiled(twice, [F.asc("tile"), F.asc("zone_id")]).select("zone_id", "tile", "symbol")
 
 
 PIXELS = "WITH px AS (SELECT vec_id, (abs(embedding[1]) * 255)::INT % 256 AS r, (abs(embedding[2]) * 255)::INT % 256 AS g, (abs(embedding[3]) * 255)::INT % 256 AS b FROM embeddings WHERE embedding IS NOT NULL)"
@@ -70,12 +70,12 @@ def a13_run_ledger(spark, sf_dir):
     return ops.run_ledger(events).select("run_id", "saved", "failed", "status")
 
 
-@query("a9_load_current_use", "WITH c AS (SELECT (o_orderkey % 9000)::VARCHAR AS i, CASE WHEN o_orderkey % 13 = 0 THEN 'R1;' ELSE 'R' END AS u FROM orders), n AS (SELECT *, count(*) OVER (PARTITION BY i) AS k FROM c) SELECT CASE WHEN k > 1 THEN 'repeated_id' WHEN u <> 'R' THEN 'bad_code' ELSE 'accepted' END AS outcome, count(*) AS n FROM n GROUP BY 1")
+@query("a9_load_current_use", "WITH c AS (SELECT (o_orderkey % 9000)::VARCHAR AS i, CASE WHEN o_orderkey % 13 = 0 THEN 'R1;' ELSE 'R' END AS u FROM orders), n AS (SELECT *, count(*) OVER (PARTITION BY i) AS k FROM c) SELECT i AS identyfikator, u AS current_use, CASE WHEN k > 1 THEN 'repeated_id' WHEN u <> 'R' THEN 'bad_code' ELSE 'accepted' END AS outcome FROM n")
 def a9_load_current_use(spark, sf_dir):
     """Reviewed land uses accepted and rejected, by reason."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 9000).cast("string").alias("identyfikator"), F.when(F.col("o_orderkey") % 13 == 0, "R1;").otherwise("R").alias("current_use"))
     good, bad = ops.load_current_use(rows)
-    return good.select(F.lit("accepted").alias("outcome")).unionByName(bad.select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return good.withColumn("outcome", F.lit("accepted")).unionByName(bad.withColumnRenamed("reason", "outcome"))
 
 
 TIER = "CASE WHEN confidence_band = 'formal' THEN 'formal' WHEN confidence_band = 'supported' THEN 'supported' WHEN confidence_band = 'speculative' OR lead_id % 4 = 0 THEN 'below_threshold' WHEN lead_id % 4 = 1 THEN 'blocked' ELSE 'below_threshold' END"
@@ -109,19 +109,19 @@ def i26_suggest_label(spark, sf_dir):
     return derived(spark, sf_dir, "fx_leads").groupBy(ops.suggest_label(F.col("overall_score"), F.col("lead_id") % 9 == 0, F.col("confidence_band")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j6_refresh_signals", f"{SIGNALS} SELECT source_type, count(*) AS n, count_if(fresh) AS fresh FROM (SELECT source_type, FALSE AS fresh FROM fx_signals WHERE source_type <> 'html' UNION ALL SELECT source_type, TRUE FROM fx_signals WHERE source_type = 'html' AND signal_id % 2 = 0) GROUP BY source_type")
+@query("j6_refresh_signals", f"{SIGNALS} SELECT signal_id, source_type, FALSE AS fresh FROM fx_signals WHERE source_type <> 'html' UNION ALL SELECT signal_id, source_type, TRUE FROM fx_signals WHERE source_type = 'html' AND signal_id % 2 = 0")
 def j6_refresh_signals(spark, sf_dir):
     """Managed signals give way to fresh ones."""
     rows = derived(spark, sf_dir, "fx_signals").select("signal_id", "teryt_gmina", "source_type").withColumn("fresh", F.lit(False))
     fresh = rows.filter("source_type = 'html' AND signal_id % 2 = 0").withColumn("fresh", F.lit(True))
-    return ops.refresh_signals(rows, fresh, ["html"]).groupBy("source_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("fresh"))
+    return ops.refresh_signals(rows, fresh, ["html"]).drop("teryt_gmina")
 
 
-@query("j9_sweep_retry", f"WITH {duck('fx_retry', 'fx_listings')}, q AS (SELECT listing_id, {CATEGORY} AS category FROM fx_retry WHERE listing_id NOT IN (SELECT listing_id FROM fx_listings)) SELECT category = 'manual_only_case' AS manual, count(*) AS n FROM q GROUP BY 1")
+@query("j9_sweep_retry", f"WITH {duck('fx_retry', 'fx_listings')}, q AS (SELECT listing_id, {CATEGORY} AS category FROM fx_retry WHERE listing_id NOT IN (SELECT listing_id FROM fx_listings)) SELECT listing_id, category, category = 'manual_only_case' AS manual FROM q")
 def j9_sweep_retry(spark, sf_dir):
     """The queue after a sweep, and what goes to the manual backlog."""
     left, manual = ops.sweep_retry(derived(spark, sf_dir, "fx_retry"), derived(spark, sf_dir, "fx_listings"))
-    return left.select(F.lit(False).alias("manual")).unionByName(manual.select(F.lit(True).alias("manual"))).groupBy("manual").agg(F.count(F.lit(1)).alias("n"))
+    return left.withColumn("manual", F.lit(False)).unionByName(manual.withColumn("manual", F.lit(True))).select("listing_id", "category", "manual")
 
 
 @query("f10_scope_parcels", f"WITH {duck('fx_parcels')} SELECT parcel_id FROM fx_parcels WHERE parcel_id IN (1, 2, 3) OR teryt_gmina = '1201011' OR teryt_gmina LIKE '18%'")

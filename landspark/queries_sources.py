@@ -35,20 +35,19 @@ def b15_esri_rings(spark, sf_dir):
     return geojson.from_esri_rings(texts).select("source_id", F.round(g.area(F.col("geom")), 2).alias("area"))
 
 
-@query("a7_ingest_cadastre", f"WITH {duck('fx_parcels')} SELECT teryt_gmina AS commune, count(*) AS n, min(parcel_id::VARCHAR) AS first_parcel FROM fx_parcels WHERE parcel_id % 10 < 8 GROUP BY teryt_gmina")
+@query("a7_ingest_cadastre", f"WITH {duck('fx_parcels')} SELECT parcel_id // 100 AS source_id, teryt_gmina || '.' || parcel_id AS identifier, substr(teryt_gmina, 1, 4) AS county, teryt_gmina AS commune, '0001' AS region, parcel_id::VARCHAR AS parcel FROM fx_parcels WHERE parcel_id % 10 < 8")
 def a7_ingest_cadastre(spark, sf_dir):
     """Parcels from pipe-delimited responses; a fifth of the lines is malformed."""
     line = F.when(F.col("parcel_id") % 10 < 8, F.concat_ws("|", F.concat("teryt_gmina", F.lit("."), F.col("parcel_id").cast("string")), F.substring("teryt_gmina", 1, 2), F.substring("teryt_gmina", 1, 4), "teryt_gmina", F.lit("0001"), F.col("parcel_id").cast("string"), F.lit("00"))).otherwise("broken|line")
     bodies = derived(spark, sf_dir, "fx_parcels").groupBy(F.expr("parcel_id div 100").alias("source_id")).agg(F.concat(F.lit("0\n"), F.array_join(F.collect_list(line), "\n")).alias("body"))
-    return geojson.ingest_cadastre(bodies).groupBy("commune").agg(F.count(F.lit(1)).alias("n"), F.min("parcel").alias("first_parcel"))
+    return geojson.ingest_cadastre(bodies).select("source_id", F.col(geojson.CADASTRE[0]).alias("identifier"), "county", "commune", "region", "parcel")
 
 
-@query("a8_ingest_regions", "SELECT c_custkey % 9 + 1 AS k, count(*) AS n, min(lpad((c_custkey % 70)::VARCHAR, 4, '0')) AS region_code FROM customer GROUP BY 1")
+@query("a8_ingest_regions", "SELECT '12610' || (c_custkey % 9 + 1) || '_1.' || c_custkey % 70 AS region_id, '12610' || (c_custkey % 9 + 1) || '1' AS commune_code, lpad((c_custkey % 70)::VARCHAR, 4, '0') AS region_code, c_name AS name FROM customer")
 def a8_ingest_regions(spark, sf_dir):
     """Precinct directory rows: commune code and padded number."""
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("12610"), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit("_1."), (F.col("c_custkey") % 70).cast("string")).alias("region_id"), F.col("c_name").alias("name"))
-    out = geojson.ingest_regions(rows)
-    return out.groupBy(F.substring("commune_code", 6, 1).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("region_code").alias("region_code"))
+    return geojson.ingest_regions(rows)
 
 
 @query("a12_geojson_features")

@@ -20,13 +20,12 @@ def a1_pending_listings(spark, sf_dir):
     return ops.pending_listings(rows, 50).select("listing_id", "created_at")
 
 
-@query("a2_register_listings", "SELECT count(*) AS n, count(DISTINCT h) AS n_hashes FROM (SELECT sha256(coalesce(source, '') || coalesce(text, '')) AS h FROM documents QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id) = 1)")
+@query("a2_register_listings", "SELECT coalesce(min(doc_id) FILTER (WHERE doc_id % 2 = 0), min(doc_id)) AS doc_id, sha256(coalesce(source, '') || coalesce(text, '')) AS hash FROM documents GROUP BY 2")
 def a2_register_listings(spark, sf_dir):
-    """Documents registered as listings, once for each hash of address and text (A2)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", ops.listing_hash(F.col("source"), F.col("text")).alias("h"))
-    current = ops.newest(docs.filter("doc_id % 2 = 0"), ["h"], [F.asc("doc_id")])
-    out = ops.insert_absent(current, docs.filter("doc_id % 2 = 1"), ["h"], [F.asc("doc_id")])
-    return out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("h").alias("n_hashes"))
+    """Documents registered as listings, once for each hash of address and text; those with even ids are there already (A2)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", ops.listing_hash(F.col("source"), F.col("text")).alias("hash"))
+    current = ops.newest(docs.filter("doc_id % 2 = 0"), ["hash"], [F.asc("doc_id")])
+    return ops.insert_absent(current, docs.filter("doc_id % 2 = 1"), ["hash"], [F.asc("doc_id")])
 
 
 @query("c8_unanalysed", f"WITH {duck('fx_parcels', 'fx_leads')} SELECT parcel_id FROM fx_parcels WHERE parcel_id NOT IN (SELECT parcel_id FROM fx_leads WHERE strategy_type = 'future_buildable')")
@@ -218,27 +217,26 @@ def j8_update_retry(spark, sf_dir):
     return out.select("listing_id", "attempt_count", "next_retry_at")
 
 
-@query("j11_backfill_current_use", f"{PARCELS} SELECT {USE} AS code, count(*) AS n FROM (SELECT CASE WHEN trim(coalesce(current_use, '')) = '' AND parcel_id % 2 = 0 THEN 'R' ELSE current_use END AS current_use FROM fx_parcels) GROUP BY 1")
+@query("j11_backfill_current_use", f"{PARCELS} SELECT parcel_id, CASE WHEN trim(coalesce(current_use, '')) = '' AND parcel_id % 2 = 0 THEN 'R' ELSE current_use END AS current_use FROM fx_parcels")
 def j11_backfill_current_use(spark, sf_dir):
     """Land use filled in where it was blank."""
     parcels = derived(spark, sf_dir, "fx_parcels").select("parcel_id", "current_use")
-    out = ops.backfill_current_use(parcels, parcels.filter("parcel_id % 2 = 0").withColumn("current_use", F.lit("R")))
-    return out.groupBy(F.coalesce(F.nullif(F.trim("current_use"), F.lit("")), F.lit("(missing)")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return ops.backfill_current_use(parcels, parcels.filter("parcel_id % 2 = 0").withColumn("current_use", F.lit("R")))
 
 
-@query("j14_update_status", f"{LEADS} SELECT CASE WHEN lead_id % 5 = 0 THEN 'shortlisted' ELSE status END AS status, count(*) AS n, coalesce(count_if(lead_id % 5 = 0), 0) AS reviewed FROM fx_leads GROUP BY 1")
+@query("j14_update_status", f"{LEADS} SELECT lead_id, CASE WHEN lead_id % 5 = 0 THEN 'shortlisted' ELSE status END AS status, lead_id % 5 = 0 AS reviewed FROM fx_leads")
 def j14_update_status(spark, sf_dir):
     """Workflow states after changes, those that are not allowed left out."""
     leads = derived(spark, sf_dir, "fx_leads")
     changes = leads.filter("lead_id % 5 < 2").select("lead_id", F.when(F.col("lead_id") % 5 == 0, "shortlisted").otherwise("nonsense").alias("status"))
-    return ops.update_status(leads, changes, F.to_timestamp(F.lit("2026-01-01"))).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count("reviewed_at").alias("reviewed"))
+    return ops.update_status(leads, changes, F.to_timestamp(F.lit("2026-01-01"))).select("lead_id", "status", F.col("reviewed_at").isNotNull().alias("reviewed"))
 
 
-@query("j16_mark_processed", f"WITH {duck('fx_listings', 'fx_retry')} SELECT count(*) AS n, count_if(listing_id NOT IN (SELECT listing_id FROM fx_retry)) AS open FROM fx_listings")
+@query("j16_mark_processed", f"WITH {duck('fx_listings', 'fx_retry')} SELECT listing_id, listing_id IN (SELECT listing_id FROM fx_retry) AS is_processed FROM fx_listings")
 def j16_mark_processed(spark, sf_dir):
     """Listings marked as processed."""
     rows = derived(spark, sf_dir, "fx_listings").withColumn("is_processed", F.lit(False))
-    return ops.mark_processed(rows, derived(spark, sf_dir, "fx_retry")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_processed")).alias("open"))
+    return ops.mark_processed(rows, derived(spark, sf_dir, "fx_retry")).select("listing_id", "is_processed")
 
 
 @query("g2_price_consistency", f"{LEADS}, c AS (SELECT price_per_m2_zl AS s, price_zl / area_m2 AS r, lead_id % 10 = 0 AS off FROM fx_leads) SELECT count(*) AS n, count_if(s IS NULL) AS missing, coalesce(count_if(abs(s + off::INT * 5 - r) > 0.05), 0) AS mismatch FROM c")
