@@ -33,12 +33,12 @@ INTRODUCTIONS = (
     ("za cene nie nizsza niz", "cena nabycia", "cena sprzedazy"),
     (r"(?:stanowiac|wynosz)\w*\D{0,24}(?:3/4|trzy czwarte)\D{0,24}oszacowania",),
 )
-GAP = r"\D{0,48}(?:kwote)?\s*$"
+GAP = r"\D{0,48}?(?:kwote)?\s*"
 # fixed values: words near an amount that say it is no price (folded), and how many characters before and behind count
 OTHER_AMOUNTS = ("najnizsze postapienie", "wadium", "rekojmia", "udzial", "ulamek", "zaliczk", "koszt")
 BEFORE, BEHIND = 36, 20
-#: Characters before an amount in which a phrase may begin, and amounts that so many may hold.
-REACH, NEIGHBOURS = 180, 60
+#: Amounts before one that its surroundings may hold.
+NEIGHBOURS = 60
 
 
 def fold(text: Column) -> Column:
@@ -67,30 +67,32 @@ def sane_price(value: Column) -> Column:
 def extract_price(text: Column) -> Column:
     """The price a notice names: the first amount behind an introduction, in order of sureness, else the first that no other word claims.
 
-    Amounts are found once, with what stands before and behind each, and every rule is a test of these surroundings.
+    Introductions are looked for one after the other, and only a text without any is cut into amounts and their surroundings.
     """
+    plain = fold(text)
+    first = lambda values: F.get(F.filter(F.transform(values, lambda x: sane_price(parse_decimal(x))), lambda v: v.isNotNull()), F.lit(0))
+    introduced = [first(F.regexp_extract_all(plain, F.lit("(?:" + "|".join(x.replace(" ", r"\s+") for x in phrases) + ")" + GAP + amount("zl|pln")), 1)) for phrases in INTRODUCTIONS]
+    return F.coalesce(*introduced, unclaimed_price(plain))
+
+
+def unclaimed_price(plain: Column) -> Column:
+    """The first amount of a folded text whose surroundings do not say that it is another one's."""
     # cut before each amount: a piece is the amount, its unit and the text up to the next amount
-    pieces = F.split(F.regexp_replace(F.translate(fold(text), "\x01\x02\x03", ""), amount("zl|pln"), "\x01$1\x02$2\x03"), "\x01")
-    introduced = ["(?:" + "|".join(x.replace(" ", r"\s+") for x in phrases) + ")" + GAP for phrases in INTRODUCTIONS]
-
-    def judge(plain: Column, piece: Column, i: Column) -> Column:
-        before = F.array_join(F.slice(plain, F.greatest(i - NEIGHBOURS + 1, F.lit(1)), F.least(i, F.lit(NEIGHBOURS))), "")
-        behind = F.concat(F.substring_index(piece, "\x03", -1), F.array_join(F.slice(plain, i + 2, BEHIND), ""))
-        near = F.concat(F.right(before, F.lit(BEFORE)), F.lit(" "), F.left(behind, F.lit(BEHIND)))
-        rank = F.lit(None).cast("int")
-        for k in reversed(range(len(introduced))):
-            rank = F.when(F.right(before, F.lit(REACH)).rlike(introduced[k]), k).otherwise(rank)
+    pieces = F.split(F.regexp_replace(F.translate(plain, "\x01\x02\x03", ""), amount("zl|pln"), "\x01$1\x02$2\x03"), "\x01")
+
+    def judge(bare: Column, piece: Column, i: Column) -> Column:
+        before = F.right(F.array_join(F.slice(bare, F.greatest(i - NEIGHBOURS + 1, F.lit(1)), F.least(i, F.lit(NEIGHBOURS))), ""), F.lit(BEFORE))
+        behind = F.left(F.concat(F.substring_index(piece, "\x03", -1), F.array_join(F.slice(bare, i + 2, BEHIND), "")), F.lit(BEHIND))
         value = sane_price(parse_decimal(F.substring_index(piece, "\x02", 1)))
-        free = ~near.rlike("|".join(OTHER_AMOUNTS))
-        return F.struct(F.coalesce(rank, F.when(free, len(introduced))).alias("rank"), i.alias("i"), value.alias("value"))
+        return F.when((i > 0) & ~F.concat(before, F.lit(" "), behind).rlike("|".join(OTHER_AMOUNTS)), value)
 
-    def first(x: Column) -> Column:
+    def whole(x: Column) -> Column:
         judged = F.transform(x["pieces"], lambda piece, i: judge(x["plain"], piece, i))
-        return F.array_min(F.filter(judged, lambda y: (y["i"] > 0) & y["value"].isNotNull() & y["rank"].isNotNull()))["value"]
+        return F.get(F.filter(judged, lambda v: v.isNotNull()), F.lit(0))
 
     # arrays that a lambda names are made anew for each element unless they are bound, as the one element of an array
     bound = F.transform(F.array(pieces), lambda x: F.struct(x.alias("pieces"), F.transform(x, lambda y: F.translate(y, "\x02\x03", "")).alias("plain")))
-    return F.get(F.transform(bound, first), F.lit(0))
+    return F.get(F.transform(bound, whole), F.lit(0))
 
 
 def check_digit(court: Column, number: Column) -> Column:
