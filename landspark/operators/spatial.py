@@ -55,10 +55,14 @@ def candidate_pairs(left: DataFrame, right: DataFrame, size: float | None = None
     return a.join(b, on & meets & corner).select("left_id", "right_id", F.least("a.minx", "b.minx").alias("ox"), F.least("a.miny", "b.miny").alias("oy"))
 
 
-def edge_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row for each pair of edges of each pair of polygons: ``p`` of the left one and ``q`` of the right one."""
-    one, two = left.select("left_id", F.col("geom").alias("_l")), right.select("right_id", F.col("geom").alias("_r"))
-    return pairs.join(one, "left_id").join(two, "right_id").withColumn("p", F.explode(g.edges(F.col("_l")))).withColumn("q", F.explode(g.edges(F.col("_r")))).drop("_l", "_r")
+def edge_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, upright: bool = True) -> DataFrame:
+    """One row for each pair of edges of each pair of polygons: ``p`` of the left one and ``q`` of the right one.
+
+    Edges are made once for each polygon, below the joins; ``upright`` says whether those that stand upright are wanted.
+    """
+    of = lambda geom: g.edges(geom) if upright else F.filter(g.edges(geom), lambda e: e["x1"] != e["x2"])
+    one, two = left.select("left_id", of(F.col("geom")).alias("_l")), right.select("right_id", of(F.col("geom")).alias("_r"))
+    return pairs.join(one, "left_id").join(two, "right_id").withColumn("p", F.explode("_l")).withColumn("q", F.explode("_r")).drop("_l", "_r")
 
 
 def _under_both(p: Column, q: Column, ox: Column, oy: Column) -> Column:
@@ -86,7 +90,7 @@ def intersect_join(left: DataFrame, right: DataFrame, left_key: str, right_key:
     """
     a, b = boxes(left, left_key, "left_id"), boxes(right, right_key, "right_id")
     pairs = candidate_pairs(a, b, size)
-    rows = edge_pairs(pairs, a, b)
+    rows = edge_pairs(pairs, a, b, upright=False)  # under an upright edge there is nothing
     p, q = F.col("p"), F.col("q")
     overlap = (F.greatest(F.least(p["x1"], p["x2"]), F.least(q["x1"], q["x2"]))) < F.least(F.greatest(p["x1"], p["x2"]), F.greatest(q["x1"], q["x2"]))
     areas = rows.filter(overlap).groupBy("left_id", "right_id").agg(F.round(F.sum(_under_both(p, q, F.col("ox"), F.col("oy"))), 6).alias("_area")).filter(F.col("_area") > min_area)
