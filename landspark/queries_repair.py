@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landspark.fixtures import derived, duck, duck_edges, pick, spark_sql
-from landspark.operators import grids, places, repair
-from landspark.queries import query
+from landspark.functions import geometry as g
+from landspark.operators import grids, override, places, repair
+from landspark.queries import AREA, query
 from landspark.queries_places import FORMS, NUMBER, PLACE
 from landspark.queries_reports import CATEGORY
 from landspark.queries_resolve import KEY
+from landspark.storage import keep, new_path, publish, published
 
 OLD = f"""{pick('listing_id % 7', 'same', None, '32', 'abc', '7', 'more', '12345')} AS old, {pick('listing_id // 7 % 5', None, 'w sądzie rejonowym', 'same', 'Las', '0005')} AS obreb,
   {pick('listing_id // 11 % 3', None, 'like', 'numer 5')} AS gmina"""
@@ -116,3 +118,39 @@ def d28_neighbourhood_mode(spark, sf_dir):
     size = pixels.select("image_id").distinct().select("image_id", F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"))
     white = (F.col("r") == 255) & (F.col("g") == 255) & (F.col("b") == 255)
     return grids.neighbourhood_mode(points, pixels, size, white, REACH)
+
+
+DECISION = pick("parcel_id % 5", "MN", "ZL", "19.U", "R", " MW/U-2 ")
+
+
+@query(
+    "j12_manual_override",
+    f"""WITH {duck('fx_parcels', 'fx_leads', 'fx_listings')}, {duck_edges('e', 'fx_parcels', 'parcel_id')}, own AS (SELECT parcel_id, ({AREA})::DECIMAL(12,2) AS area FROM e GROUP BY parcel_id),
+d AS (SELECT parcel_id, trim({DECISION}) AS symbol, CASE WHEN parcel_id % 5 IN (1, 3) THEN 'not_buildable' WHEN parcel_id IN (SELECT parcel_id FROM fx_leads WHERE strategy_type = 'current_buildable') THEN 'has_lead' ELSE 'accepted' END AS outcome, match_confidence, teryt_gmina FROM fx_parcels WHERE match_confidence >= 0.9),
+l AS (SELECT parcel_id, listing_id, price_zl FROM fx_listings QUALIFY row_number() OVER (PARTITION BY parcel_id ORDER BY created_at DESC, listing_id DESC) = 1),
+a AS (SELECT *, 'manual:' || parcel_id || ':' || CASE symbol WHEN 'MN' THEN 'MN' WHEN '19.U' THEN 'U' ELSE 'MW/U' END AS zone_id FROM d JOIN own USING (parcel_id) LEFT JOIN l USING (parcel_id) WHERE outcome = 'accepted')
+SELECT 'judged' AS table_name, parcel_id, symbol, outcome AS detail, NULL::DECIMAL(12,2) AS number FROM d
+UNION ALL SELECT 'zones', parcel_id, symbol, zone_id, area FROM a
+UNION ALL SELECT 'deltas', parcel_id, symbol, zone_id, area FROM a
+UNION ALL SELECT 'leads', parcel_id, symbol, CASE WHEN match_confidence * 0.95 >= 0.9 THEN 'high' WHEN match_confidence * 0.95 >= 0.75 THEN 'medium' ELSE 'low' END, CASE WHEN area > 0 THEN round_even((price_zl / area)::DECIMAL(20,8), 2) END FROM a""",
+)
+def j12_manual_override(spark, sf_dir):
+    """Decisions on all surely matched parcels, and the zones, deltas and leads of the version that they make."""
+    parcels, listings = derived(spark, sf_dir, "fx_parcels"), derived(spark, sf_dir, "fx_listings")
+    led = derived(spark, sf_dir, "fx_leads").filter("strategy_type = 'current_buildable'").select("parcel_id")
+    decisions = parcels.filter("match_confidence >= 0.9").selectExpr("parcel_id", f"{DECISION} AS symbol", "created_at AS decided_at")
+    judged = keep(override.judge(decisions, parcels, led), "judged")
+    kinds = {
+        "zones": "zone_id string, source string, teryt_gmina string, symbol string, plan_type string, plan_name string, resolution string, geom array<array<array<struct<x: double, y: double>>>>",
+        "deltas": "parcel_id long, zone_id string, coverage_pct decimal(5,2), intersection_area_m2 decimal(12,2), use_before string, symbol string, delta_score decimal(3,2)",
+        "leads": "parcel_id long, zone_id string, dominant_przeznaczenie string, priority string, confidence_score decimal(3,2), price_per_m2_zl decimal(12,2)",
+    }
+    made = override.override({k: spark.createDataFrame([], v) for k, v in kinds.items()}, parcels, listings, judged)
+    root = new_path(spark, "overrides")
+    publish(made, root)
+    t = published(spark, root)
+    number = F.lit(None).cast("decimal(12,2)")
+    own = t["zones"].select(F.lit("zones").alias("table_name"), F.split("zone_id", ":")[1].cast("long").alias("parcel_id"), "symbol", F.col("zone_id").alias("detail"), g.area(F.col("geom")).cast("decimal(12,2)").alias("number"))
+    rows = judged.select(F.lit("judged").alias("table_name"), "parcel_id", "symbol", F.col("outcome").alias("detail"), number.alias("number")).union(own)
+    rows = rows.union(t["deltas"].select(F.lit("deltas"), "parcel_id", "symbol", "zone_id", "intersection_area_m2"))
+    return rows.union(t["leads"].select(F.lit("leads"), "parcel_id", "dominant_przeznaczenie", "priority", "price_per_m2_zl"))

@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,3 +39,43 @@ def next_version(df: DataFrame, path: str, version: int) -> str:
     where = f"{path}/v={version:08d}"
     df.write.mode("overwrite").parquet(where)
     return where
+
+
+def publish(tables: dict[str, DataFrame], root: str) -> int:
+    """Write several tables as one version: all of them, and then a manifest that names their folders; returns its number.
+
+    A version exists when its manifest is complete, which is a single commit of one small file; what a failure leaves before that is
+    named by no manifest.  Of two writers of one number the second one fails, before any reader has seen its tables.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    number, stamp = last_version(spark, root) + 1, uuid.uuid4().hex
+    rows = []
+    for name, df in tables.items():
+        where = f"{root}/{name}/{number:08d}-{stamp}"
+        df.write.parquet(where)
+        rows.append((number, name, where))
+    manifest = spark.createDataFrame(rows, "version long, name string, path string").coalesce(1)
+    manifest.write.mode("errorifexists").parquet(f"{root}/manifest/{number:08d}")
+    return number
+
+
+def _manifests(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("version long, name string, path string").option("recursiveFileLookup", "true").parquet(f"{root}/manifest")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def last_version(spark: SparkSession, root: str) -> int:
+    """The number of the newest complete version; zero without any."""
+    found = _manifests(spark, root)
+    return 0 if found is None else found.agg(F.max("version")).first()[0] or 0
+
+
+def published(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of a complete version, the newest one if none is named; none without any."""
+    version = last_version(spark, root) if version is None else version
+    found = _manifests(spark, root) if version else None
+    return {} if found is None else {r.name: spark.read.parquet(r.path) for r in found.filter(F.col("version") == version).collect()}
