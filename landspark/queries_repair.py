@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from landspark.fixtures import derived, duck, duck_edges, pick, spark_sql
 from landspark.functions import geometry as g
-from landspark.operators import grids, override, places, repair
+from landspark.operators import grids, override, places, polygons, repair
 from landspark.queries import AREA, query
 from landspark.queries_places import FORMS, NUMBER, PLACE
 from landspark.queries_reports import CATEGORY
@@ -154,3 +154,21 @@ def j12_manual_override(spark, sf_dir):
     rows = judged.select(F.lit("judged").alias("table_name"), "parcel_id", "symbol", F.col("outcome").alias("detail"), number.alias("number")).union(own)
     rows = rows.union(t["deltas"].select(F.lit("deltas"), "parcel_id", "symbol", "zone_id", "intersection_area_m2"))
     return rows.union(t["leads"].select(F.lit("leads"), "parcel_id", "dominant_przeznaczenie", "priority", "price_per_m2_zl"))
+
+
+#: Landed rings by the parcel's key modulo eight: open, crossed, of two vertices, flat, with a spike; the others closed and simple.
+LANDED = """CASE parcel_id % 8 WHEN 1 THEN slice(r, 1, size(r) - 1)
+  WHEN 2 THEN array(r[0], named_struct('x', cast(x0 + w AS double), 'y', cast(y0 + h AS double)), named_struct('x', cast(x0 + w AS double), 'y', cast(y0 AS double)), named_struct('x', cast(x0 AS double), 'y', cast(y0 + h AS double)), r[0])
+  WHEN 3 THEN array(r[0], r[1], r[0]) WHEN 4 THEN array(r[0], r[1], named_struct('x', r[0].x, 'y', r[0].y + h / 2), r[0])
+  WHEN 5 THEN concat(slice(r, 1, 2), array(named_struct('x', r[1].x, 'y', r[1].y + 5), r[1]), slice(r, 3, size(r) - 2)) ELSE r END"""
+
+
+@query(
+    "b2_polygon_faults",
+    f"WITH {duck('fx_parcels')} SELECT parcel_id, CASE parcel_id % 8 WHEN 1 THEN 'open_ring' WHEN 2 THEN 'self_crossing,zero_area' WHEN 3 THEN 'short_ring' WHEN 4 THEN 'self_crossing,zero_area' WHEN 5 THEN 'self_crossing' END AS reasons FROM fx_parcels WHERE parcel_id % 8 BETWEEN 1 AND 5",
+)
+def b2_polygon_faults(spark, sf_dir):
+    """Faults of landed polygons, with their reasons (B2)."""
+    rows = derived(spark, sf_dir, "fx_parcels").withColumn("r", F.concat(F.col("geom")[0][0], F.slice(F.col("geom")[0][0], 1, 1)))
+    landed = rows.select("parcel_id", F.array(F.array(F.expr(LANDED))).alias("geom"))
+    return polygons.polygon_faults(landed, "parcel_id").select("parcel_id", F.array_join("reasons", ",").alias("reasons"))
