@@ -40,9 +40,11 @@ def _celled(df: DataFrame, size: float, top: int) -> DataFrame:
 
 def candidate_pairs(left: DataFrame, right: DataFrame, size: float | None = None) -> DataFrame:
     """Pairs (left_id, right_id) whose envelopes overlap; inputs as of ``boxes``, keys only, so polygons are not shuffled here."""
-    size = cell_size(left) if size is None else size
-    side = F.max(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))
-    widest = max(left.agg(side).first()[0] or 0.0, right.agg(side).first()[0] or 0.0, size)
+    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    # the median and the largest side of the left in one pass, as ``cell_size`` has them
+    half, most = left.agg(F.percentile_approx(side, 0.5, 1000), F.max(side)).first()
+    size = max(1.0, 2.0 * (half or 1.0)) if size is None else size
+    widest = max(most or 0.0, right.agg(F.max(side)).first()[0] or 0.0, size)
     top = 0
     while size * 2**top < widest:
         top += 1
