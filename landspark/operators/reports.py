@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from landspark.functions import geometry as g
 from landspark.functions import planning as p
+from landspark.operators.sizes import small
 
 FORMAL_KINDS = ("pog_zone", "pog_ouz", "studium_zone")
 SUPPORTING_KINDS = ("planning_resolution", "mpzp_project")
+#: Entries of a legend at most.
+LEGEND = 2000
 
 
 def signal_tier(strategy: Column, band: Column, breakdown: Column) -> Column:
@@ -57,7 +60,7 @@ def collect_polygons(df: DataFrame, by: list[str], key: str, most: int = 1000) -
     A group gets as many parts as its number of polygons asks for, dealt by the hash of ``key``.
     """
     parts = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / most).alias("_k"))
-    rows = df.join(F.broadcast(parts), by).withColumn("part", F.pmod(F.xxhash64(key), F.col("_k")))
+    rows = df.join(small(parts), by).withColumn("part", F.pmod(F.xxhash64(key), F.col("_k")))
     return rows.groupBy(*by, "part").agg(F.flatten(F.collect_list("geom")).alias("geom"), F.count(F.lit(1)).alias("n_parts"))
 
 
@@ -70,8 +73,11 @@ def dedup_tiled(zones: DataFrame, order: list[Column]) -> DataFrame:
 def classify_colours(samples: DataFrame, legend: DataFrame) -> DataFrame:
     """Nearest legend colour of each sample (id, r, g, b, hint): entries whose designation is the hint go before those whose label holds it, these before all.
 
-    The legend is a short list; it is broadcast and each sample keeps one entry by one aggregation.
+    The legend is a short list, of at most ``LEGEND`` entries or an error; it is broadcast as one row, and each sample keeps one entry by
+    one aggregation.
     """
+    if legend.limit(LEGEND + 1).count() > LEGEND:
+        raise ValueError(f"a legend has at most {LEGEND} entries; classify the pictures of one legend at a time")
     gap = lambda c: (F.col(c) - F.col(f"l_{c}")) * (F.col(c) - F.col(f"l_{c}"))
     named = legend.select("designation", "label", *(F.col(c).alias(f"l_{c}") for c in "rgb"))
     tier = F.when(F.col("hint") == F.col("designation"), 0).when(F.lower("label").contains(F.lower("hint")), 1).otherwise(2)

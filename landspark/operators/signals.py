@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landspark.functions import planning as p
+from landspark.operators.sizes import small
 
 
 def attach_signals(parcels: DataFrame, signals: DataFrame, overlaps: DataFrame | None = None) -> DataFrame:
@@ -38,7 +39,7 @@ def _sides(parcels: DataFrame, signals: DataFrame) -> tuple[DataFrame, DataFrame
 def _both(keyed: DataFrame, own: DataFrame, level: DataFrame) -> DataFrame:
     """parcel_id with ``o``, its own aggregates, and ``l``, its commune's: one row a parcel, if it has either."""
     struct = lambda df, key, name: df.select(key, F.struct(*(c for c in df.columns if c != key)).alias(name))
-    rows = keyed.join(F.broadcast(struct(level, "_g", "l")), "_g", "left").join(struct(own, "parcel_id", "o"), "parcel_id", "left")
+    rows = keyed.join(small(struct(level, "_g", "l")), "_g", "left").join(struct(own, "parcel_id", "o"), "parcel_id", "left")
     return rows.filter(F.col("o").isNotNull() | F.col("l").isNotNull())
 
 
