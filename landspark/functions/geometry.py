@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, of) -> Column:
+    """``of(value)``, with the value worked out once however often ``of`` names it; inside lambdas Spark would repeat it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def closed_edges(ring: Column) -> Column:
     """The directed edges of a ring as structs (x1, y1, x2, y2)."""
     after = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
@@ -45,8 +50,9 @@ def perimeter(geom: Column) -> Column:
 
 
 def envelope(geom: Column) -> Column:
-    xs, ys = F.transform(vertices(geom), lambda p: p["x"]), F.transform(vertices(geom), lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
+    along = lambda v: F.struct(F.transform(v, lambda p: p["x"]).alias("x"), F.transform(v, lambda p: p["y"]).alias("y"))
+    bounds = lambda c: F.struct(F.array_min(c["x"]).alias("minx"), F.array_min(c["y"]).alias("miny"), F.array_max(c["x"]).alias("maxx"), F.array_max(c["y"]).alias("maxy"))
+    return let(let(vertices(geom), along), bounds)
 
 
 def _moment(geom: Column, part: str, x0: Column, y0: Column) -> Column:
@@ -65,8 +71,13 @@ def centroid(geom: Column) -> Column:
 
 def contains_point(geom: Column, x: Column, y: Column) -> Column:
     """Even-odd rule over all rings, holes included."""
+    return edges_hold(edges(geom), x, y)
+
+
+def edges_hold(lines: Column, x: Column, y: Column) -> Column:
+    """``contains_point`` for a polygon given by its edges."""
     crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
-    return F.size(F.filter(edges(geom), crosses)) % 2 == 1
+    return F.size(F.filter(lines, crosses)) % 2 == 1
 
 
 def swap_xy(geom: Column) -> Column:

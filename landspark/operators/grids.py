@@ -18,13 +18,18 @@ def grid_cells(parcels: DataFrame, n: int, key: str = "parcel_id", geom: str = "
     without a geometry.
     """
     n = max(LEAST_CELLS, n)
-    box = parcels.filter(F.size(geom) > 0).select(key, F.col(geom).alias("_geom"), g.envelope(F.col(geom)).alias("_box"))
-    side = lambda low, high: F.greatest(F.col(f"_box.{high}") - F.col(f"_box.{low}"), F.lit(1.0))
-    rows = box.withColumn("_w", side("minx", "maxx")).withColumn("_h", side("miny", "maxy")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
-    rows = rows.withColumn("ix", F.floor(F.col("_k") / n).cast("int")).withColumn("iy", (F.col("_k") % n).cast("int"))
-    centre = lambda low, size, i: F.col(f"_box.{low}") + (F.col(i) + 0.5) * F.col(size) / n
-    rows = rows.withColumn("x", centre("minx", "_w", "ix")).withColumn("y", centre("miny", "_h", "iy"))
-    return rows.filter(g.contains_point(F.col("_geom"), F.col("x"), F.col("y"))).select(key, "ix", "iy", "x", "y", (F.col("_w") * F.col("_h") / (n * n)).alias("cell_area"))
+    box = lambda b: F.struct(b["minx"].alias("x"), b["miny"].alias("y"), F.greatest(b["maxx"] - b["minx"], F.lit(1.0)).alias("w"), F.greatest(b["maxy"] - b["miny"], F.lit(1.0)).alias("h"))
+    # box and edges are made once a parcel, not once a cell
+    shape = lambda v: F.struct(g.edges(v).alias("edges"), g.let(g.envelope(v), box).alias("box"))
+
+    def inner(s: Column) -> Column:
+        centre = lambda axis, size, i: s["box"][axis] + (i + 0.5) * s["box"][size] / n
+        index = lambda k: F.struct(F.floor(k / n).cast("int").alias("ix"), (k % n).cast("int").alias("iy"))
+        cell = lambda i: F.struct(i["ix"].alias("ix"), i["iy"].alias("iy"), centre("x", "w", i["ix"]).alias("x"), centre("y", "h", i["iy"]).alias("y"), (s["box"]["w"] * s["box"]["h"] / (n * n)).alias("cell_area"))
+        cells = F.transform(F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), index), cell)
+        return F.filter(cells, lambda c: g.edges_hold(s["edges"], c["x"], c["y"]))
+
+    return parcels.filter(F.size(geom) > 0).select(key, F.explode(g.let(g.let(F.col(geom), shape), inner)).alias("_c")).select(key, "_c.*")
 
 
 def sampled_zones(cells: DataFrame, hits: DataFrame, key: str = "parcel_id") -> DataFrame:

@@ -92,7 +92,7 @@ SELECT parcel_id, designation, 'plan ' || parcel_id % 7 AS plan_name, count(*) A
 )
 def b19_sampling_grid(spark, sf_dir):
     """Approximate zones of all parcels from what is found at the centres of their grids' cells."""
-    cells = grids.grid_cells(derived(spark, sf_dir, "fx_parcels"), GRID)
+    cells = keep(grids.grid_cells(derived(spark, sf_dir, "fx_parcels"), GRID), "cells")  # both sides of the join read them
     hits = cells.selectExpr("parcel_id", "ix", "iy", f"{HIT} AS designation", "cast(null AS string) AS description", "concat('plan ', parcel_id % 7) AS plan_name", "cast(null AS string) AS resolution")
     zones = grids.sampled_zones(cells, hits)
     return zones.select("parcel_id", "designation", "plan_name", "n_cells", F.round("area", 4).alias("area"), F.array_join(F.transform("cells", lambda c: F.concat_ws(":", c["ix"].cast("string"), c["iy"].cast("string"))), ",").alias("cells"))
@@ -170,5 +170,5 @@ LANDED = """CASE parcel_id % 8 WHEN 1 THEN slice(r, 1, size(r) - 1)
 def b2_polygon_faults(spark, sf_dir):
     """Faults of landed polygons, with their reasons (B2)."""
     rows = derived(spark, sf_dir, "fx_parcels").withColumn("r", F.concat(F.col("geom")[0][0], F.slice(F.col("geom")[0][0], 1, 1)))
-    landed = rows.select("parcel_id", F.array(F.array(F.expr(LANDED))).alias("geom"))
+    landed = keep(rows.select("parcel_id", F.array(F.array(F.expr(LANDED))).alias("geom")), "landed")  # each check reads them
     return polygons.polygon_faults(landed, "parcel_id").select("parcel_id", F.array_join("reasons", ",").alias("reasons"))
