@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landspark.functions import geometry as g
+from landspark.storage import keep
 
 #: Reasons, in the order in which they are named.
 OPEN, SHORT, FLAT, CROSSING, EMPTY = "open_ring", "short_ring", "zero_area", "self_crossing", "no_ring"
 #: Square metres up to which an area is none.
 NOTHING = 1e-9
+#: Edges up to which a ring's edges are tried in its own row.
+FEW = 32
 
 
 def _rings(df: DataFrame, key: str, geom: str) -> DataFrame:
@@ -24,19 +27,42 @@ def _side(p: Column, q: Column, x: Column, y: Column) -> Column:
     return F.signum((q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"]))
 
 
+def _edges_of(v: Column) -> Column:
+    """The edges (i, p, q) of a landed ring, without its closing vertex and repeated ones; null if fewer than three are left."""
+    same = lambda a, b: (a["x"] == b["x"]) & (a["y"] == b["y"])
+    bare = F.when((F.size(v) > 1) & same(F.get(v, F.lit(0)), F.element_at(v, -1)), F.slice(v, F.lit(1), F.size(v) - 1)).otherwise(v)
+    single = lambda r: F.filter(r, lambda x, i: (i == 0) | ~same(x, F.get(r, i - 1)))
+    lines = lambda r: F.when(F.size(r) > 2, F.transform(r, lambda x, i: F.struct(i.alias("i"), x.alias("p"), F.get(r, (i + 1) % F.size(r)).alias("q"))))
+    return g.let(g.let(bare, single), lines)
+
+
+def _wrong(e: Column, f: Column, n: Column) -> Column:
+    """Whether two edges (i, p, q) of a ring of n, the second one later in it, meet elsewhere than neighbours do at their vertex."""
+    one, two, three, four = e["p"], e["q"], f["p"], f["q"]
+    within = lambda k: F.greatest(F.least(one[k], two[k]), F.least(three[k], four[k])) <= F.least(F.greatest(one[k], two[k]), F.greatest(three[k], four[k]))
+    split = lambda a, b, c, d: _side(a, b, c["x"], c["y"]) * _side(a, b, d["x"], d["y"]) <= 0
+    meet = within("x") & within("y") & split(one, two, three, four) & split(three, four, one, two)
+    follows, closes = f["i"] == e["i"] + 1, (e["i"] == 0) & (f["i"] == n - 1)
+    # neighbours share a vertex; they are wrong only if one runs back along the other
+    back = lambda a, b, c: (_side(a, b, c["x"], c["y"]) == 0) & ((a["x"] - b["x"]) * (c["x"] - b["x"]) + (a["y"] - b["y"]) * (c["y"] - b["y"]) > 0)
+    return F.when(follows & closes, F.lit(True)).when(follows, back(one, two, four)).when(closes, back(two, one, three)).otherwise(meet)
+
+
 def crossing_rings(df: DataFrame, key: str, geom: str = "geom") -> DataFrame:
     """(key, part, ring) of rings of which two edges cross, touch or lie on each other, but for neighbours that share their vertex.
 
-    Edges meet in the cells of a grid as wide as the ring's edges are on average, each only in the cells that it passes through, so a ring
-    of n edges has about as many cells and is spread over tasks; it is never joined with itself as a whole.
+    Pairs of edges of a ring of at most ``FEW`` edges are tried within its row.  Edges of the others meet in the cells of a grid as wide
+    as the ring's edges are on average, each only in the cells that it passes through, so a ring of n edges has about as many cells and
+    is spread over tasks; it is never joined with itself as a whole.
     """
-    same = lambda a, b: (a["x"] == b["x"]) & (a["y"] == b["y"])
-    bare = F.when((F.size("v") > 1) & same(F.get("v", F.lit(0)), F.element_at("v", -1)), F.slice("v", 1, F.size("v") - 1)).otherwise(F.col("v"))
-    rows = _rings(df, key, geom).filter(F.size("v") > 1).withColumn("v", bare)
-    rows = rows.withColumn("v", F.filter("v", lambda x, i: (i == 0) | ~same(x, F.get("v", i - 1)))).withColumn("n", F.size("v")).filter("n > 2")
-    rows = rows.withColumn("e", F.transform("v", lambda x, i: F.struct(i.alias("i"), x.alias("p"), F.get("v", (i + 1) % F.col("n")).alias("q"))))
-    width = F.aggregate("e", F.lit(0.0), lambda a, e: a + F.hypot(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"])) / F.col("n")
-    edges = rows.select(key, "part", "ring", "n", width.alias("w"), F.explode("e").alias("e")).select(key, "part", "ring", "n", "w", "e.*")
+    rows = _rings(df, key, geom).filter(F.size("v") > 1)
+    tried = lambda e: F.when(F.size(e) <= FEW, F.exists(e, lambda x: F.exists(e, lambda y: (x["i"] < y["i"]) & _wrong(x, y, F.size(e)))))
+    few = rows.filter(g.let(_edges_of(F.col("v")), tried)).select(key, "part", "ring")
+    width = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + F.hypot(x["q"]["x"] - x["p"]["x"], x["q"]["y"] - x["p"]["y"])) / F.size(e)
+    measured = lambda e: g.let(width(e), lambda w: F.transform(e, lambda x: F.struct(F.size(e).alias("n"), w.alias("w"), x["i"].alias("i"), x["p"].alias("p"), x["q"].alias("q"))))
+    # a ring of so many edges has so many vertices; both sides of the join read the kept edges
+    many = rows.filter(F.size("v") > FEW).select(key, "part", "ring", F.explode(g.let(_edges_of(F.col("v")), lambda e: F.when(F.size(e) > FEW, measured(e)))).alias("e"))
+    edges = keep(many.select(key, "part", "ring", "e.*"), "edges")
     low, high = (lambda c, f=f: f(F.col(f"p.{c}"), F.col(f"q.{c}")) for f in (F.least, F.greatest))
     cell = lambda x: F.floor(x / F.col("w"))
     edges = edges.withColumn("cx", F.explode(F.sequence(cell(low("x")), cell(high("x")))))
@@ -50,15 +76,9 @@ def crossing_rings(df: DataFrame, key: str, geom: str = "geom") -> DataFrame:
     x, y = edges.alias("x"), edges.alias("y")
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (key, "part", "ring", "cx", "cy")]
     pairs = x.join(y, [*on, F.col("x.i") < F.col("y.i")])
-    one, two, three, four = (F.col(c) for c in ("x.p", "x.q", "y.p", "y.q"))
-    s = [_side(one, two, three["x"], three["y"]), _side(one, two, four["x"], four["y"]), _side(three, four, one["x"], one["y"]), _side(three, four, two["x"], two["y"])]
-    within = lambda a, b, c, d, k: F.greatest(F.least(a[k], b[k]), F.least(c[k], d[k])) <= F.least(F.greatest(a[k], b[k]), F.greatest(c[k], d[k]))
-    meet = (s[0] * s[1] <= 0) & (s[2] * s[3] <= 0) & within(one, two, three, four, "x") & within(one, two, three, four, "y")
-    follows, closes = F.col("y.i") == F.col("x.i") + 1, (F.col("x.i") == 0) & (F.col("y.i") == F.col("x.n") - 1)
-    # neighbours share a vertex; they are wrong only if one runs back along the other
-    back = lambda a, b, c: (_side(a, b, c["x"], c["y"]) == 0) & ((a["x"] - b["x"]) * (c["x"] - b["x"]) + (a["y"] - b["y"]) * (c["y"] - b["y"]) > 0)
-    wrong = F.when(follows & closes, F.lit(True)).when(follows, back(one, two, four)).when(closes, back(two, one, three)).otherwise(meet)
-    return pairs.filter(wrong).select(F.col(f"x.{key}").alias(key), F.col("x.part").alias("part"), F.col("x.ring").alias("ring")).distinct()
+    edge = lambda t: {c: F.col(f"{t}.{c}") for c in ("i", "p", "q")}
+    met = pairs.filter(_wrong(edge("x"), edge("y"), F.col("x.n")))
+    return few.union(met.select(F.col(f"x.{key}"), F.col("x.part"), F.col("x.ring")).distinct())
 
 
 def polygon_faults(df: DataFrame, key: str, geom: str = "geom") -> DataFrame:
