@@ -1,4 +1,4 @@
-"""Spatial joins as equi-joins on grid cells, and pairwise geometry as joins of edges.
+"""Spatial joins as equi-joins on grid cells, and pairwise geometry as folds over the edges of a pair.
 
 A plain range predicate would be a nested-loop join.  Here each polygon is listed in the cells of a grid that its envelope
 touches; polygons much larger than a cell use coarser grids, so that no polygon lies in more than a few cells, and two
@@ -12,16 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landspark.functions import geometry as g
-from landspark.storage import new_path
+from landspark.storage import keep, new_path
 
 #: Intersections of less area are noise.
 SLIVER = 0.5
 
 
-def boxes(df: DataFrame, key: str, name: str, grow: float = 0.0) -> DataFrame:
-    """(name, envelope columns, geom); the envelope is grown on each side."""
-    out = df.select(F.col(key).alias(name), "geom").withColumn("_e", g.envelope(F.col("geom")))
-    return out.select(name, "geom", *((F.col(f"_e.{c}") + (grow if c[:3] == "max" else -grow)).alias(c) for c in ("minx", "miny", "maxx", "maxy")))
+def boxes(df: DataFrame, key: str, name: str, grow: float = 0.0, **carried: Column) -> DataFrame:
+    """(name, envelope columns, ``carried`` ones of geom); the envelope is grown on each side.
+
+    They are worked out once a polygon, dealt over all tasks, and kept: sizes, cells and joins read them many times over.
+    """
+    out = df.select(F.col(key).alias(name), "geom").repartition(name)
+    out = keep(out.select(name, g.envelope(F.col("geom")).alias("_e"), *(c.alias(k) for k, c in carried.items())), "boxes")
+    return out.select(name, *carried, *((F.col(f"_e.{c}") + (grow if c[:3] == "max" else -grow)).alias(c) for c in ("minx", "miny", "maxx", "maxy")))
 
 
 def cell_size(df: DataFrame) -> float:
@@ -39,48 +43,62 @@ def _celled(df: DataFrame, size: float, top: int) -> DataFrame:
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, size: float | None = None) -> DataFrame:
-    """Pairs (left_id, right_id) whose envelopes overlap; inputs as of ``boxes``, keys only, so polygons are not shuffled here."""
+    """Pairs (left_id, right_id, ox, oy) whose envelopes overlap; inputs as of ``boxes``.
+
+    Carried columns come along through the one shuffle by cell; a polygon lies in a few cells but in many pairs, so pairs
+    are never shuffled.
+    """
     side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    # the median and the largest side of the left in one pass, as ``cell_size`` has them
+    # the median and the largest side of each side in one pass
     half, most = left.agg(F.percentile_approx(side, 0.5, 1000), F.max(side)).first()
-    size = max(1.0, 2.0 * (half or 1.0)) if size is None else size
-    widest = max(most or 0.0, right.agg(F.max(side)).first()[0] or 0.0, size)
+    half_right, most_right = right.agg(F.percentile_approx(side, 0.5, 1000), F.max(side)).first()
+    # cells of the larger polygons' size: with smaller ones each polygon would be listed at several levels
+    size = max(1.0, 2.0 * (half or 1.0), half_right or 1.0) if size is None else size
+    widest = max(most or 0.0, most_right or 0.0, size)
     top = 0
     while size * 2**top < widest:
         top += 1
-    a = _celled(left.drop("geom"), size, top).alias("a")
-    b = _celled(right.drop("geom"), size, top).alias("b")
+    a = _celled(left, size, top).alias("a")
+    b = _celled(right, size, top).alias("b")
     step = F.lit(size) * F.pow(F.lit(2.0), F.col("a.level"))
     meets = (F.col("a.level") == F.greatest("a.own", "b.own")) & (F.col("a.minx") <= F.col("b.maxx")) & (F.col("b.minx") <= F.col("a.maxx")) & (F.col("a.miny") <= F.col("b.maxy")) & (F.col("b.miny") <= F.col("a.maxy"))
     corner = (F.col("a.cx") == F.floor(F.greatest("a.minx", "b.minx") / step)) & (F.col("a.cy") == F.floor(F.greatest("a.miny", "b.miny") / step))
     on = (F.col("a.level") == F.col("b.level")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
-    return a.join(b, on & meets & corner).select("left_id", "right_id", F.least("a.minx", "b.minx").alias("ox"), F.least("a.miny", "b.miny").alias("oy"))
+    plain = ("left_id", "right_id", "minx", "miny", "maxx", "maxy")
+    carried = [c for df in (left, right) for c in df.columns if c not in plain]
+    return a.join(b, on & meets & corner).select("left_id", "right_id", F.least("a.minx", "b.minx").alias("ox"), F.least("a.miny", "b.miny").alias("oy"), *carried)
 
 
-def edge_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, upright: bool = True) -> DataFrame:
-    """One row for each pair of edges of each pair of polygons: ``p`` of the left one and ``q`` of the right one.
+def _lines(geom: Column) -> Column:
+    """Edges for ``_under_both``, without those that stand upright, under which there is nothing: x-range, start, slope and sign."""
+    line = lambda e: F.struct(F.least(e["x1"], e["x2"]).alias("lo"), F.greatest(e["x1"], e["x2"]).alias("hi"), e["x1"].alias("x"), e["y1"].alias("y"), ((e["y2"] - e["y1"]) / (e["x2"] - e["x1"])).alias("m"), F.signum(e["x2"] - e["x1"]).alias("s"))
+    return F.transform(F.filter(g.edges(geom), lambda e: e["x1"] != e["x2"]), line)
 
-    Edges are made once for each polygon, below the joins; ``upright`` says whether those that stand upright are wanted.
-    """
-    of = lambda geom: g.edges(geom) if upright else F.filter(g.edges(geom), lambda e: e["x1"] != e["x2"])
-    one, two = left.select("left_id", of(F.col("geom")).alias("_l")), right.select("right_id", of(F.col("geom")).alias("_r"))
-    return pairs.join(one, "left_id").join(two, "right_id").withColumn("p", F.explode("_l")).withColumn("q", F.explode("_r")).drop("_l", "_r")
-
-
-def _under_both(p: Column, q: Column, ox: Column, oy: Column) -> Column:
-    """Signed integral of the lower of two edges over their common x-range, about the origin (ox, oy)."""
-    a = F.greatest(F.least(p["x1"], p["x2"]), F.least(q["x1"], q["x2"]))
-    b = F.least(F.greatest(p["x1"], p["x2"]), F.greatest(q["x1"], q["x2"]))
-    y = lambda e, x: e["y1"] - oy + (e["y2"] - e["y1"]) * (x - e["x1"]) / (e["x2"] - e["x1"])
-    pa, pb, qa, qb = y(p, a), y(p, b), y(q, a), y(q, b)
-    da, db = pa - qa, pb - qb
-    low_a, low_b = F.least(pa, qa), F.least(pb, qb)
-    t = da / (da - db)
-    cross = pa + t * (pb - pa)
-    whole = (b - a) * (low_a + low_b) / 2
-    broken = (b - a) * ((low_a + cross) * t + (cross + low_b) * (1 - t)) / 2
-    sign = F.signum(p["x2"] - p["x1"]) * F.signum(q["x2"] - q["x1"])
-    return sign * F.when(da * db < 0, broken).otherwise(whole)
+
+def _under_both(p: Column, q: Column, oy: Column) -> Column:
+    """Signed integral of the lower of two lines over their common x-range, about the height ``oy``."""
+    y = lambda e, x: e["y"] - oy + e["m"] * (x - e["x"])
+    ends = F.struct(F.greatest(p["lo"], q["lo"]).alias("a"), F.least(p["hi"], q["hi"]).alias("b"))
+    heights = lambda r: F.struct(y(p, r["a"]).alias("pa"), y(p, r["b"]).alias("pb"), y(q, r["a"]).alias("qa"), y(q, r["b"]).alias("qb"), (r["b"] - r["a"]).alias("w"))
+
+    def integral(v: Column) -> Column:
+        da, db = v["pa"] - v["qa"], v["pb"] - v["qb"]
+        low_a, low_b = F.least(v["pa"], v["qa"]), F.least(v["pb"], v["qb"])
+        cross = lambda t: v["pa"] + t * (v["pb"] - v["pa"])
+        broken = g.let(da / (da - db), lambda t: ((low_a + cross(t)) * t + (cross(t) + low_b) * (1 - t)) / 2)
+        return v["w"] * F.when(da * db < 0, broken).otherwise((low_a + low_b) / 2)
+
+    return p["s"] * q["s"] * g.let(g.let(ends, heights), integral)
+
+
+def over_pairs(left: Column, right: Column, start: Column, step) -> Column:
+    """Fold over all pairs of items of two arrays: ``step(so far, p, q)``; no pair is a row of its own."""
+    return F.aggregate(left, start, lambda a, p: F.aggregate(right, a, lambda b, q: step(b, p, q)))
+
+
+def _only(value: Column, test) -> Column:
+    """Explodes to the value's one row if it passes the test, so that it is worked out once for both."""
+    return F.explode(F.filter(F.array(value), test))
 
 
 def intersect_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, min_area: float = SLIVER, size: float | None = None) -> DataFrame:
@@ -90,14 +108,12 @@ def intersect_join(left: DataFrame, right: DataFrame, left_key: str, right_key:
     pairs of edges of closed-form integrals; polygons with holes and several parts need nothing special, and nothing is
     clipped.  Rings must be normalised and simple.
     """
-    a, b = boxes(left, left_key, "left_id"), boxes(right, right_key, "right_id")
-    pairs = candidate_pairs(a, b, size)
-    rows = edge_pairs(pairs, a, b, upright=False)  # under an upright edge there is nothing
-    p, q = F.col("p"), F.col("q")
-    overlap = (F.greatest(F.least(p["x1"], p["x2"]), F.least(q["x1"], q["x2"]))) < F.least(F.greatest(p["x1"], p["x2"]), F.greatest(q["x1"], q["x2"]))
-    areas = rows.filter(overlap).groupBy("left_id", "right_id").agg(F.round(F.sum(_under_both(p, q, F.col("ox"), F.col("oy"))), 6).alias("_area")).filter(F.col("_area") > min_area)
-    own = left.select(F.col(left_key).alias("left_id"), g.area(F.col("geom")).alias("_own"))
-    return areas.join(own, "left_id").select(
+    a = boxes(left, left_key, "left_id", _l=_lines(F.col("geom")), _own=g.area(F.col("geom")))
+    b = boxes(right, right_key, "right_id", _r=_lines(F.col("geom")))
+    both = lambda t, p, q: F.when((p["lo"] < q["hi"]) & (q["lo"] < p["hi"]), t + _under_both(p, q, F.col("oy"))).otherwise(t)
+    area = F.round(over_pairs(F.col("_l"), F.col("_r"), F.lit(0.0), both), 6)
+    areas = candidate_pairs(a, b, size).select("left_id", "right_id", "_own", _only(area, lambda v: v > min_area).alias("_area"))
+    return areas.select(
         "left_id",
         "right_id",
         F.col("_area").cast("decimal(12,2)").alias("intersection_area_m2"),
@@ -121,15 +137,29 @@ def _segment_distance(p: Column, q: Column) -> Column:
 
 def dwithin_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, d: float, size: float | None = None) -> DataFrame:
     """Pairs of polygons at most ``d`` apart: left_id, right_id, distance_m (0 if they overlap or one holds the other)."""
-    a, b = boxes(left, left_key, "left_id", grow=d), boxes(right, right_key, "right_id")
-    pairs = candidate_pairs(a, b, size)
-    rows = edge_pairs(pairs, a, b)
-    apart = rows.groupBy("left_id", "right_id").agg(F.min(_segment_distance(F.col("p"), F.col("q"))).alias("_d"))
-    one, two = left.select(F.col(left_key).alias("left_id"), F.col("geom").alias("_l")), right.select(F.col(right_key).alias("right_id"), F.col("geom").alias("_r"))
-    start = lambda c: F.col(c)[0][0][0]
-    inside = g.contains_point(F.col("_r"), start("_l")["x"], start("_l")["y"]) | g.contains_point(F.col("_l"), start("_r")["x"], start("_r")["y"])
-    found = apart.join(one, "left_id").join(two, "right_id").select("left_id", "right_id", F.when(inside, 0.0).otherwise(F.col("_d")).alias("distance_m"))
-    return found.filter(F.col("distance_m") <= d)
+    a, b = _with_edges(left, right, left_key, right_key, d)
+    # edges whose boxes are farther apart than the least distance so far, or than d, cannot lessen it
+    nearer = lambda t, p, q: F.when(_gap(p, q) > F.least(t, F.lit(d)), t).otherwise(F.least(t, _segment_distance(p, q)))
+    far = F.lit(float("inf"))
+    distance = F.when(_inside(), F.lit(0.0)).otherwise(over_pairs(F.col("_l"), F.col("_r"), far, lambda t, p, q: F.when(t == 0, t).otherwise(nearer(t, p, q))))
+    return candidate_pairs(a, b, size).select("left_id", "right_id", _only(distance, lambda v: v <= d).alias("distance_m"))
+
+
+def _with_edges(left: DataFrame, right: DataFrame, left_key: str, right_key: str, grow: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides as of ``boxes``, the left one grown, with their edges as ``_l`` and ``_r``."""
+    return boxes(left, left_key, "left_id", grow=grow, _l=g.edges(F.col("geom"))), boxes(right, right_key, "right_id", _r=g.edges(F.col("geom")))
+
+
+def _inside() -> Column:
+    """Whether the first vertex of one polygon of a pair lies in the other one."""
+    start = lambda c: F.get(F.col(c), F.lit(0))
+    return g.edges_hold(F.col("_r"), start("_l")["x1"], start("_l")["y1"]) | g.edges_hold(F.col("_l"), start("_r")["x1"], start("_r")["y1"])
+
+
+def _gap(p: Column, q: Column) -> Column:
+    """How far the boxes of two edges are apart along the axis where they are farther; not above zero if they touch."""
+    along = lambda c: F.greatest(F.least(p[c + "1"], p[c + "2"]) - F.greatest(q[c + "1"], q[c + "2"]), F.least(q[c + "1"], q[c + "2"]) - F.greatest(p[c + "1"], p[c + "2"]))
+    return F.greatest(along("x"), along("y"))
 
 
 def spacing(left: DataFrame, right: DataFrame) -> float:
@@ -141,25 +171,48 @@ def spacing(left: DataFrame, right: DataFrame) -> float:
     return max(1.0, ((row[2] - row[0]) * (row[3] - row[1]) / max(1, right.count())) ** 0.5)
 
 
+def _held(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """(left_id, distance_m = 0) of left polygons whose first vertex lies in a right one; points meet boxes in cells of the box's level."""
+    around = boxes(right, right_key, "right_id", _r=g.edges(F.col("geom")))
+    size = cell_size(around) / 2
+    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(size))
+    around = around.withColumn("level", F.ceil(F.log2(side / size)).cast("int"))
+    top = around.agg(F.max("level")).first()[0] or 0
+    step = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step)))
+    celled = around.withColumn("cx", cells("minx", "maxx")).withColumn("cy", cells("miny", "maxy")).alias("b")
+    first = F.get(F.get(F.get(F.col("geom"), F.lit(0)), F.lit(0)), F.lit(0))
+    spots = left.select(F.col(left_key).alias("left_id"), first.alias("_p")).select("left_id", "_p.x", "_p.y", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level"))
+    spots = spots.withColumn("cx", F.floor(F.col("x") / step)).withColumn("cy", F.floor(F.col("y") / step)).alias("a")
+    on = (F.col("a.level") == F.col("b.level")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
+    near = F.col("a.x").between(F.col("b.minx"), F.col("b.maxx")) & F.col("a.y").between(F.col("b.miny"), F.col("b.maxy"))
+    held = spots.join(celled, on & near & g.edges_hold(F.col("b._r"), F.col("a.x"), F.col("a.y")), "left_semi")
+    return held.select("left_id").distinct().select("left_id", F.lit(0.0).alias("distance_m"))
+
+
 def nearest_distance(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius: float | None = None, max_radius: float | None = None) -> DataFrame:
     """(left_id, distance_m to the nearest right polygon) by searches of growing radius for the rows not yet served.
 
     The first radius, unless it is given, is about how far the right rows are apart, so that one search serves nearly all;
     each further one is three times as wide.  ``max_radius`` ends the search; without it, it goes on until every left row
-    has found one, and an empty right side ends it at once.  Rows without a find have no row.  What a search leaves is
+    has found one, and an empty right side ends it at once.  Before, rows whose first vertex lies in a right polygon are served
+    by a semi join, which stops at the first such polygon however many lie there.  Rows without a find have no row.  What a search leaves is
     written to the shared folder, so no search is done twice.
     """
     spark, none = left.sparkSession, "left_id long, distance_m double"
     if right.isEmpty():
         return spark.createDataFrame([], none)
     radius = spacing(left, right) if radius is None else radius
-    found, rest = None, left.select(left_key, "geom")
+    found = keep(_held(left, right, left_key, right_key), "held")
+    rest = left.select(left_key, "geom").join(found, F.col(left_key) == F.col("left_id"), "left_anti")
+    if rest.isEmpty():
+        return found
     while True:
         radius = radius if max_radius is None else min(radius, max_radius)
         path = new_path(spark, "nearest")
         dwithin_join(rest, right, left_key, right_key, radius).groupBy("left_id").agg(F.min("distance_m").alias("distance_m")).write.parquet(path)
         part = spark.read.parquet(path)
-        found = part if found is None else found.unionByName(part)
+        found = found.unionByName(part)
         rest = rest.join(part, rest[left_key] == part["left_id"], "left_anti")
         if max_radius is not None and radius >= max_radius or rest.isEmpty():
             return found
@@ -171,24 +224,28 @@ def shared_boundary(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
     Metres count once for each right polygon, so overlapping ones count twice.
     """
-    a, b = boxes(left, left_key, "left_id", grow=within), boxes(right, right_key, "right_id")
-    rows = edge_pairs(candidate_pairs(a, b), a, b)
-    p, q = F.col("p"), F.col("q")
-    dx, dy = p["x2"] - p["x1"], p["y2"] - p["y1"]
-    length = F.hypot(dx, dy)
-    off = lambda x, y: F.abs(dx * (y - p["y1"]) - dy * (x - p["x1"])) <= tolerance * length * F.greatest(length, F.lit(1.0))
-    along = lambda x, y: ((x - p["x1"]) * dx + (y - p["y1"]) * dy) / length
-    one, two = along(q["x1"], q["y1"]), along(q["x2"], q["y2"])
-    common = F.greatest(F.lit(0.0), F.least(length, F.greatest(one, two)) - F.greatest(F.lit(0.0), F.least(one, two)))
-    metres = F.when(off(q["x1"], q["y1"]) & off(q["x2"], q["y2"]), common).otherwise(0.0)
-    each = rows.groupBy("left_id", "right_id").agg(F.sum(metres).alias("m"), F.min(_segment_distance(p, q)).alias("d"))
-    # a polygon that holds the other is within any distance, however far its edges are
-    geoms = (left.select(F.col(left_key).alias("left_id"), F.col("geom").alias("_l")), right.select(F.col(right_key).alias("right_id"), F.col("geom").alias("_r")))
-    start = lambda c: F.col(c)[0][0][0]
-    inside = g.contains_point(F.col("_r"), start("_l")["x"], start("_l")["y"]) | g.contains_point(F.col("_l"), start("_r")["x"], start("_r")["y"])
-    each = each.join(geoms[0], "left_id").join(geoms[1], "right_id").filter((F.col("d") <= within) | (F.col("m") > 0) | inside).drop("_l", "_r")
+    a, b = _with_edges(left, right, left_key, right_key, within)
+
+    def metres(p: Column, q: Column) -> Column:
+        dx, dy = p["x2"] - p["x1"], p["y2"] - p["y1"]
+        length = F.hypot(dx, dy)
+        off = lambda x, y: F.abs(dx * (y - p["y1"]) - dy * (x - p["x1"])) <= tolerance * length * F.greatest(length, F.lit(1.0))
+        along = lambda x, y: ((x - p["x1"]) * dx + (y - p["y1"]) * dy) / length
+        one, two = along(q["x1"], q["y1"]), along(q["x2"], q["y2"])
+        common = F.greatest(F.lit(0.0), F.least(length, F.greatest(one, two)) - F.greatest(F.lit(0.0), F.least(one, two)))
+        return F.when(off(q["x1"], q["y1"]) & off(q["x2"], q["y2"]), common).otherwise(0.0)
+
+    # edges with common metres are nearer to each other than the tolerance
+    apart = lambda p, q: _gap(p, q) > 0.01 + 2 * tolerance * (F.abs(p["x2"] - p["x1"]) + F.abs(p["y2"] - p["y1"]) + 1)
+    shared = over_pairs(F.col("_l"), F.col("_r"), F.lit(0.0), lambda t, p, q: F.when(apart(p, q), t).otherwise(t + metres(p, q)))
+    each = candidate_pairs(a, b).select("left_id", shared.alias("m"), _inside().alias("held"))
+    # a polygon that holds the other is within any distance, however far its edges are; pairs that are not within it share nothing
+    sums = keep(each.groupBy("left_id").agg(F.sum("m").alias("s"), F.max("m").alias("top"), F.max((F.col("m") > 0) | F.col("held")).alias("sure")), "shared")
+    unsure = left.join(sums.filter("NOT sure"), F.col(left_key) == F.col("left_id"), "left_semi")
+    near = dwithin_join(unsure, right, left_key, right_key, within).select("left_id").distinct()
+    found = sums.filter("sure").select("left_id", "s", "top").union(near.select("left_id", F.lit(0.0), F.lit(0.0)))
     around = left.select(F.col(left_key).alias("left_id"), g.perimeter(F.col("geom")).alias("_around"))
-    return each.groupBy("left_id").agg(F.sum("m").alias("s"), F.max("m").alias("top")).join(around, "left_id").select("left_id", F.round("s", 2).alias("shared_boundary_m"), F.round(100 * F.col("top") / F.col("_around"), 2).alias("adjacent_pct"))
+    return found.join(around, "left_id").select("left_id", F.round("s", 2).alias("shared_boundary_m"), F.round(100 * F.col("top") / F.col("_around"), 2).alias("adjacent_pct"))
 
 
 def match_plan_extents(parcels: DataFrame, plans: DataFrame) -> DataFrame:
