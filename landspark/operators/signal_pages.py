@@ -134,7 +134,8 @@ def page_signals(pages: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("_signals", F.when(F.size("_special") > 0, F.col("_special")).otherwise(F.array_compact(F.array(one))))
     keep = [c for c in pages.columns if c not in ("body", "confidence", "source_url")]
-    out = rows.select(*keep, F.col("source_url").alias("_url"), F.explode("_signals").alias("s")).select(*keep, "_url", "s.*")
+    # a slice of all of them: of a bare column Spark would ask, below all the steps above and by doing them over and over, whether it is empty
+    out = rows.select(*keep, F.col("source_url").alias("_url"), F.explode(F.slice("_signals", 1, markup.MANY)).alias("s")).select(*keep, "_url", "s.*")
     out = out.withColumn("designation_normalized", p.designation_class(F.upper("designation_raw"), F.col("about"))).withColumn("source_url", F.coalesce(resolve_href(F.col("_url"), F.col("href")), F.col("_url")))
     out = out.withColumn("plan_name", F.coalesce(F.concat("plan", F.lit(" "), "teryt_gmina"), "description")).drop("about", "href", "plan", "_url")
     return out.withColumn("legal_weight", p.signal_weight(F.col("signal_kind"), F.col("designation_normalized"), F.col("signal_status")))

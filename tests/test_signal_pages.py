@@ -87,3 +87,9 @@ def test_sync_replaces_managed_rows(spark):
 
 def test_empty_table(spark):
     assert ops.page_signals(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_steps_of_a_page_are_not_repeated(spark):
+    pages = spark.createDataFrame([(1, "1201011", "https://plan.test/", "html_index", 0.85, "<p>x</p>")], "source_id long, teryt_gmina string, source_url string, source_type string, confidence double, body string")
+    plan = ops.page_signals(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("totalAmount") == 1  # no filter below the steps does them again
