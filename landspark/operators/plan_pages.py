@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landspark.functions import markup
+from landspark.functions.places import bound
 from landspark.functions.text import html_to_text
 from landspark.operators.backlog import resolve_href
 
@@ -71,7 +72,7 @@ def legend_entries(sheets: DataFrame) -> DataFrame:
     rows = sheets.withColumn("_rows", markup.rows(F.col("body")))
     heads = F.filter(F.transform(F.slice("_rows", 1, HEADING_ROWS), lambda r: html_to_text(F.concat(F.lit("<tr"), r))), lambda x: (x != "") & (F.upper(x) != HEADING))
     title = F.regexp_replace(F.get(heads, F.lit(0)), f"^{HEADING_FOR}", "")
-    rows = rows.select("source_id", "source_url", F.trim(title).alias("title"), F.posexplode("_rows").alias("row", "x"))
+    rows = rows.select("source_id", "source_url", F.trim(title).alias("title"), F.posexplode(F.slice("_rows", 1, markup.MANY)).alias("row", "x"))
     texts = F.filter(F.transform(markup.cells(F.col("x")), html_to_text), lambda t: (t != "") & ~F.startswith(t, F.lit(HEADING)) & ~F.startswith(t, F.lit(HEADING_FOR)))
     longest = F.array_max(F.transform(texts, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t"))))["t"]
     rows = rows.withColumn("label", longest).filter("label IS NOT NULL").select("*", F.posexplode(markup.attributes(F.col("x"), "src")).alias("k", "src")).filter("trim(src) <> ''")
@@ -103,15 +104,19 @@ def point_hits(answers: DataFrame) -> DataFrame:
 
     Two forms: ``@layer key;key;...;value;value;``, and a popup with headings in bold.  Answers that name no designation have no row.
     """
-    text = F.trim(F.regexp_replace(F.coalesce("body", F.lit("")), r"\s+", " "))
+    answers_text = F.trim(F.regexp_replace(F.coalesce("body", F.lit("")), r"\s+", " "))
+    text = F.col("_text")
     head = F.substring_index(text, ";", 1)
     keyed = F.startswith(text, F.lit("@")) & F.contains(text, F.lit(";")) & F.trim(F.substr(head, F.lit(2))).contains(" ")
     stream = F.concat(F.element_at(F.split(head, " "), -1), F.substr(text, F.length(head) + 1))
     tokens = F.filter(F.transform(F.split(stream, ";"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = answers.withColumn("_tokens", F.when(keyed, tokens)).withColumn("_n", F.size("_tokens"))
+    rows = answers.withColumn("_text", answers_text).withColumn("_keyed", keyed).withColumn("_tokens", F.when(F.col("_keyed"), tokens)).withColumn("_n", F.size("_tokens"))
     half = (F.col("_n") / 2).cast("int")
-    value = lambda key: F.nullif(F.get(F.slice("_tokens", half + 1, half), F.array_position(F.slice("_tokens", 1, half), key).cast("int") - 1), F.lit(""))
-    bare = lambda x: F.coalesce(F.nullif(F.regexp_replace(F.upper(F.trim(x)), r"^\d+", ""), F.lit("")), F.nullif(F.upper(F.trim(x)), F.lit("")))
+    value = lambda key: bound(F.get(F.slice("_tokens", half + 1, half), F.array_position(F.slice("_tokens", 1, half), key).cast("int") - 1), lambda v: F.when(v != "", v))
+    # values are bound: each is asked whether it is empty before it is used, and inside a lambda Spark would make it again each time
+    some = lambda x: bound(x, lambda v: F.when(v != "", v))
+    read = lambda x: some(html_to_text(x))
+    bare = lambda x: bound(F.upper(F.trim(x)), lambda v: F.coalesce(some(F.regexp_replace(v, r"^\d+", "")), F.when(v != "", v)))
     first, second = POINT_KEYS["designation"]
     even = (F.col("_n") >= 2) & (F.col("_n") % 2 == 0)
     semicolons = F.when(
@@ -124,11 +129,16 @@ def point_hits(answers: DataFrame) -> DataFrame:
     # a popup: what stands between one bold heading with a colon and the next
     after = lambda heading: F.substring_index(F.regexp_replace(F.regexp_extract("body", rf"(?is)<b>\s*{heading}:\s*</b>(.*)", 1), r"(?is)<b>[^<]*:\s*</b>", "\x01"), "\x01", 1)
     land = F.regexp_replace(after("Przeznaczenie"), r"(?is)<br/><br/>.*", "")
-    some = lambda x: F.nullif(html_to_text(x), F.lit(""))
-    popup = F.struct(
-        F.lit("popup").alias("form"), bare(some(F.regexp_extract(land, r"(?is)<b>([^<]+)</b>\s*-", 1))).alias("designation"), some(F.regexp_extract(land, r"(?is)</b>\s*-\s*([^<\r\n]+)", 1)).alias("description"),
-        F.coalesce(some(F.regexp_extract(after("Nazwa"), "(?is)<strong>(.*?)</strong>", 1)), F.lit(UNNAMED["popup"])).alias("plan_name"), some(F.regexp_extract("body", r"(?i)MPZP Nr:\s*([^<]+)", 1)).alias("resolution"),
-        F.get(markup.attributes(after("Legenda"), "href"), F.lit(0)).alias("legend_url"),
-    )
-    found = rows.withColumn("s", F.when(keyed, semicolons).otherwise(popup))
-    return found.select(*(c for c in answers.columns if c != "body"), "s.*").filter("designation IS NOT NULL")
+
+    def popup(land: Column) -> Column:
+        of = lambda designation: F.struct(
+            F.lit("popup").alias("form"), designation.alias("designation"), read(F.regexp_extract(land, r"(?is)</b>\s*-\s*([^<\r\n]+)", 1)).alias("description"),
+            F.coalesce(read(F.regexp_extract(after("Nazwa"), "(?is)<strong>(.*?)</strong>", 1)), F.lit(UNNAMED["popup"])).alias("plan_name"), read(F.regexp_extract("body", r"(?i)MPZP Nr:\s*([^<]+)", 1)).alias("resolution"),
+            F.get(markup.attributes(after("Legenda"), "href"), F.lit(0)).alias("legend_url"),
+        )
+        # nothing else is read of an answer without a designation
+        return bound(bare(read(F.regexp_extract(land, r"(?is)<b>([^<]+)</b>\s*-", 1))), lambda d: F.when(d.isNotNull(), of(d)))
+
+    # a generator, not a filter: that would move below the steps and do them again
+    answer = F.when(F.col("_keyed"), semicolons).otherwise(bound(land, popup))
+    return rows.select(*(c for c in answers.columns if c != "body"), F.explode(F.filter(F.array(answer), lambda s: s["designation"].isNotNull())).alias("s")).select(*(c for c in answers.columns if c != "body"), "s.*")

@@ -75,3 +75,13 @@ def test_point_answers(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], PAGE)
     assert ops.plan_register(none).count() == ops.sheet_links(none).count() == ops.legend_entries(none).count() == 0
+
+
+def test_an_answer_is_cut_once(spark):
+    plan = ops.point_hits(spark.createDataFrame([(1, "x")], "id long, body string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Przeznaczenie") == 1 and plan.count("split(") == 2  # nothing is inlined where its value is only asked for
+
+
+def test_rows_of_a_sheet_are_cut_once(spark):
+    plan = ops.legend_entries(spark.createDataFrame([(1, "https://plan.test/", "<tr></tr>")], "source_id long, source_url string, body string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?i)<tr") == 1
