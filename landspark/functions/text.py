@@ -127,7 +127,8 @@ def extract_location(text: Column) -> Column:
     A gmina is the run of capitals behind its word, a powiat the one or two words behind its own, and a province the word behind
     its own, or else the first word that is a province's.
     """
-    named = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    # bound: asked whether it is empty, and searched for once
+    named = lambda pattern: places.bound(F.regexp_extract(text, pattern, 1), lambda v: F.when(v != "", v))
     word = r"[\p{L}-]+"
     county = rf"{places.any_of('powiat')}\s+((?:{word} )?{word})(?=\s*(?:[,.;]|{places.any_of('woj*')}|$))"
     return F.struct(

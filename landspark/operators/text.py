@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landspark.functions import text as t
+from landspark.functions.places import bound
 
 CODE = r"([A-Z]{2}[0-9][A-Z])"
 #: Passes over a text, the strictest first: pattern of court, number and check digit, the source it counts as, base confidence.
@@ -66,7 +67,8 @@ def filter_land(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def filter_province(rows: DataFrame, provinces: list[str]) -> DataFrame:
     """Rows of the provinces; an unknown province stays in."""
-    return rows.filter(F.col("province").isNull() | F.lower("province").isin(*provinces))
+    # bound, for a filter moves below the steps that make the province and names it twice
+    return rows.filter(bound(F.lower("province"), lambda p: p.isNull() | p.isin(*provinces)))
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
