@@ -55,18 +55,21 @@ def envelope(geom: Column) -> Column:
     return let(let(vertices(geom), along), bounds)
 
 
-def _moment(geom: Column, part: str, x0: Column, y0: Column) -> Column:
-    """First moment about (x0, y0), which lies near the polygon for precision's sake."""
-    o = x0 if part == "x" else y0
-    cross = lambda e: (e["x2"] - x0) * (e["y1"] - y0) - (e["x1"] - x0) * (e["y2"] - y0)
-    return total(edges(geom), lambda e: (e[f"{part}1"] - o + e[f"{part}2"] - o) * cross(e) / 6)
-
-
 def centroid(geom: Column) -> Column:
     """Area centroid as a struct (x, y); null for an area of zero."""
-    p = vertices(geom)[0]
-    a = total(edges(geom), lambda e: (e["x2"] - e["x1"]) * (e["y1"] - p["y"] + e["y2"] - p["y"]) / 2)
-    return F.when(a != 0, F.struct((p["x"] + _moment(geom, "x", p["x"], p["y"]) / a).alias("x"), (p["y"] + _moment(geom, "y", p["x"], p["y"]) / a).alias("y")))
+
+    def of(p: Column, lines: Column) -> Column:
+        """From one fold over the edges: area and first moments about the first vertex, which lies near, for precision's sake."""
+
+        def add(t: Column, e: Column) -> Column:
+            cross = (e["x2"] - p["x"]) * (e["y1"] - p["y"]) - (e["x1"] - p["x"]) * (e["y2"] - p["y"])
+            moment = lambda axis: (e[f"{axis}1"] - p[axis] + e[f"{axis}2"] - p[axis]) * cross / 6
+            return F.struct((t["a"] + (e["x2"] - e["x1"]) * (e["y1"] - p["y"] + e["y2"] - p["y"]) / 2).alias("a"), (t["x"] + moment("x")).alias("x"), (t["y"] + moment("y")).alias("y"))
+
+        sums = F.aggregate(lines, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), add)
+        return let(sums, lambda t: F.when(t["a"] != 0, F.struct((p["x"] + t["x"] / t["a"]).alias("x"), (p["y"] + t["y"] / t["a"]).alias("y"))))
+
+    return let(F.struct(F.get(vertices(geom), F.lit(0)).alias("p"), edges(geom).alias("e")), lambda v: of(v["p"], v["e"]))
 
 
 def contains_point(geom: Column, x: Column, y: Column) -> Column:
@@ -101,20 +104,23 @@ def with_display_point(df: DataFrame, geom_col: str = "geom", name: str = "displ
     """``df`` with a point inside the largest polygon: its centroid, else its envelope's centre, else the inner grid point
     nearest to the centroid, else its first vertex.
 
-    The steps are columns of their own, so that no expression holds another many times over.
+    The steps are columns of their own, so that no expression holds another many times over; the grid is tried only where
+    neither the centroid nor the centre is inside.
     """
     by_size = lambda geom: F.array_sort(F.transform(geom, lambda a: F.struct((-F.abs(area(F.array(a)))).alias("k"), a.alias("a"))))
-    out = df.withColumn("_one", F.array(F.element_at(by_size(F.col(geom_col)), 1)["a"]))
+    one = F.when(F.size(geom_col) == 1, F.get(F.col(geom_col), F.lit(0))).otherwise(F.element_at(by_size(F.col(geom_col)), 1)["a"])
+    out = df.withColumn("_one", F.array(one)).withColumn("_e", edges(F.col("_one")))
     out = out.withColumn("_c", centroid(F.col("_one"))).withColumn("_b", envelope(F.col("_one")))
     mid = lambda axis: (F.col(f"_b.min{axis}") + F.col(f"_b.max{axis}")) / 2
     step = lambda axis, i: F.col(f"_b.min{axis}") + (F.col(f"_b.max{axis}") - F.col(f"_b.min{axis}")) * i / 6
     steps = F.sequence(F.lit(1), F.lit(5))
     grid = F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct(step("x", i).alias("x"), step("y", j).alias("y")))))
     near = lambda p: F.struct(F.hypot(p["x"] - F.col("_c.x"), p["y"] - F.col("_c.y")).alias("d"), p.alias("p"))
-    out = out.withColumn("_m", F.struct(mid("x").alias("x"), mid("y").alias("y"))).withColumn("_g", F.array_sort(F.transform(F.filter(grid, lambda p: contains_point(F.col("_one"), p["x"], p["y"])), near)))
-    inside = lambda c: contains_point(F.col("_one"), F.col(f"{c}.x"), F.col(f"{c}.y"))
-    point = F.when(inside("_c"), F.col("_c")).when(inside("_m"), F.col("_m")).when(F.size("_g") > 0, F.get(F.col("_g"), F.lit(0))["p"]).otherwise(F.col("_one")[0][0][0])
-    return out.withColumn(name, point).drop("_one", "_c", "_b", "_m", "_g")
+    inner = F.array_min(F.transform(F.filter(grid, lambda p: edges_hold(F.col("_e"), p["x"], p["y"])), near))["p"]
+    inside = lambda c: edges_hold(F.col("_e"), F.col(f"{c}.x"), F.col(f"{c}.y"))
+    out = out.withColumn("_m", F.struct(mid("x").alias("x"), mid("y").alias("y")))
+    point = F.when(inside("_c"), F.col("_c")).when(inside("_m"), F.col("_m")).otherwise(F.coalesce(inner, F.col("_one")[0][0][0]))
+    return out.withColumn(name, point).drop("_one", "_e", "_c", "_b", "_m")
 
 
 # fixed values: the GRS80 ellipsoid and the projection of EPSG:2180
@@ -141,14 +147,25 @@ def to_2180(lon: Column, lat: Column) -> Column:
 
 
 def to_4326(x: Column, y: Column) -> Column:
-    """Metres to WGS84 degrees, as a struct (x: longitude, y: latitude)."""
-    xi, eta = (y - FALSE_NORTH) / (SCALE * _RECTIFYING), (x - FALSE_EAST) / (SCALE * _RECTIFYING)
-    u, v = xi, eta
-    for k, b in enumerate(INVERSE, 1):
-        u = u - b * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
-        v = v - b * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
-    conformal = F.asin(F.sin(u) / F.cosh(v))
-    lat = conformal
-    for _ in range(6):  # the latitude whose conformal latitude this is, by fixed-point steps
-        lat = F.asin(F.tanh(F.atanh(F.sin(conformal)) + _ECC * F.atanh(_ECC * F.sin(lat))))
-    return F.struct((MERIDIAN + F.degrees(F.atan2(F.sinh(v), F.cos(u)))).alias("x"), F.degrees(lat).alias("y"))
+    """Metres to WGS84 degrees, as a struct (x: longitude, y: latitude).
+
+    What a step needs more than once is bound: angles, then the conformal latitude.
+    """
+
+    def unrolled(p: Column) -> Column:
+        u, v = p["xi"], p["eta"]
+        for k, b in enumerate(INVERSE, 1):
+            u = u - b * F.sin(2 * k * p["xi"]) * F.cosh(2 * k * p["eta"])
+            v = v - b * F.cos(2 * k * p["xi"]) * F.sinh(2 * k * p["eta"])
+        return let(F.struct(u.alias("u"), v.alias("v")), conformal)
+
+    def conformal(q: Column) -> Column:
+        return let(F.struct(F.asin(F.sin(q["u"]) / F.cosh(q["v"])).alias("c"), F.atan2(F.sinh(q["v"]), F.cos(q["u"])).alias("l")), geodetic)
+
+    def geodetic(r: Column) -> Column:
+        lat, own = r["c"], F.atanh(F.sin(r["c"]))
+        for _ in range(6):  # the latitude whose conformal latitude this is, by fixed-point steps
+            lat = F.asin(F.tanh(own + _ECC * F.atanh(_ECC * F.sin(lat))))
+        return F.struct((MERIDIAN + F.degrees(r["l"])).alias("x"), F.degrees(lat).alias("y"))
+
+    return let(F.struct(((y - FALSE_NORTH) / (SCALE * _RECTIFYING)).alias("xi"), ((x - FALSE_EAST) / (SCALE * _RECTIFYING)).alias("eta")), unrolled)

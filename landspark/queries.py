@@ -11,6 +11,7 @@ from landspark.fixtures import derived, duck, duck_edges
 from landspark.functions import geometry as g
 from landspark.functions import planning as p
 from landspark.operators import spatial
+from landspark.operators.sizes import spread
 from landspark.plans import delta
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,7 +77,7 @@ def b_swap_and_sliver(spark, sf_dir):
 def b_geom_hash(spark, sf_dir):
     """Spatial natural key and an interior display point of every zone (B9, B10, B14); held against brute force in the tests."""
     geom, point = F.col("geom"), F.col("display_point")
-    return g.with_display_point(derived(spark, sf_dir, "fx_zones")).select("zone_id", g.geom_hash(geom).alias("geom_hash"), point["x"].alias("px"), point["y"].alias("py"), g.contains_point(geom, point["x"], point["y"]).alias("inside"))
+    return g.with_display_point(spread(derived(spark, sf_dir, "fx_zones"))).select("zone_id", g.geom_hash(geom).alias("geom_hash"), point["x"].alias("px"), point["y"].alias("py"), g.contains_point(geom, point["x"], point["y"]).alias("inside"))
 
 
 @query("b_reproject")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landspark.functions import geometry as g
+from landspark.operators.sizes import spread
 
 FEATURES = "struct<features:array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>>"
 
@@ -63,11 +64,11 @@ def ingest_regions(rows: DataFrame) -> DataFrame:
 
 def to_geojson_features(df: DataFrame, properties: list[str]) -> DataFrame:
     """One GeoJSON feature for each row, in WGS84, with a display point among its properties."""
-    shown = g.with_display_point(df).withColumn("_p", g.to_4326(F.col("display_point.x"), F.col("display_point.y")))
+    shown = g.with_display_point(spread(df)).withColumn("_p", g.to_4326(F.col("display_point.x"), F.col("display_point.y")))
 
     def closed(ring):
         whole = F.concat(ring, F.slice(ring, 1, 1))
-        return F.transform(whole, lambda v: (lambda w: F.array(F.round(w["x"], 7), F.round(w["y"], 7)))(g.to_4326(v["x"], v["y"])))
+        return F.transform(whole, lambda v: g.let(g.to_4326(v["x"], v["y"]), lambda w: F.array(F.round(w["x"], 7), F.round(w["y"], 7))))
 
     coordinates = F.transform("geom", lambda a: F.transform(a, closed))
     feature = F.struct(
