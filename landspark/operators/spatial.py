@@ -8,10 +8,11 @@ envelopes' overlap, so no ``distinct`` is needed.  Hot cells are ordinary skewed
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landspark.functions import geometry as g
+from landspark.operators.sizes import spread
 from landspark.storage import keep, new_path
 
 #: Intersections of less area are noise.
@@ -248,27 +249,69 @@ def shared_boundary(left: DataFrame, right: DataFrame, left_key: str, right_key:
     return found.join(around, "left_id").select("left_id", F.round("s", 2).alias("shared_boundary_m"), F.round(100 * F.col("top") / F.col("_around"), 2).alias("adjacent_pct"))
 
 
+#: Children of a block of ranks in ``count_in_boxes``.
+FAN = 4
+
+
+def _running(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``n``, the points (kind 1) of the group so far; a low end (kind 0) comes before the points that equal it, a high end (kind 2) behind them."""
+    so_far = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("n", F.count_if(F.col("kind") == 1).over(so_far))
+
+
+def count_in_boxes(points: DataFrame, boxes: DataFrame, group: str, keys: list[str]) -> DataFrame:
+    """(group, keys, n): how many points (group, x, y) lie in each box (group, keys, minx, miny, maxx, maxy) of their group, borders included.
+
+    No point meets a box.  A box's sides become ranks among the x of its group's points, and the ranks between them a few blocks of
+    4, 16, 64 ... ranks; points of a block are counted up to the box's two ends in y by one running count, so work grows with
+    (points + boxes) times the logarithm of a group's points, wherever they lie.
+    """
+    low, high = F.lit(0).alias("kind"), F.lit(2).alias("kind")
+    # a box is named by its row in what follows, so that its keys are carried as one column
+    boxes = boxes.filter(F.col(group).isNotNull() & (F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy"))).select(group, F.struct(*keys).alias("box"), "minx", "miny", "maxx", "maxy")
+    points = points.filter(F.col(group).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).select(group, F.lit(None).cast(boxes.schema["box"].dataType).alias("box"), F.lit(1).alias("kind"), "x", "y", F.lit(None).cast("double").alias("y2"))
+    ends = [boxes.select(group, "box", kind, F.col(x).alias("x"), F.col("miny").alias("y"), F.col("maxy").alias("y2")) for kind, x in ((low, "minx"), (high, "maxx"))]
+    ranked = keep(_running(points.unionByName(ends[0]).unionByName(ends[1]), [group], ["x", "kind", "y"]), "ranks")
+    most = ranked.agg(F.max("n")).first()[0] or 0  # one number
+    levels = next(k for k in range(1, 64) if FAN**k >= most)
+    size = lambda k: F.lit(FAN**k).cast("long")
+    spots = ranked.filter("kind = 1").select(group, "box", "kind", "y", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.floor((F.col("n") - 1) / size(k)).alias("block")) for k in range(levels)))).alias("_b"))
+    # ranks from a (points before the box) to b (points before its end), not included
+    spans = ranked.filter("kind <> 1").groupBy(group, "box", "y", "y2").agg(F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("a"), F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("b")).filter("a < b")
+    first, end = (lambda k: F.ceil(F.col("a") / size(k))), (lambda k: F.floor(F.col("b") / size(k)))
+    none = F.array().cast("array<bigint>")
+    some = lambda i, j: F.when(i < j, F.sequence(i, j - 1)).otherwise(none)
+
+    def whole(k: int) -> Column:
+        """Blocks of level ``k`` between a and b that no larger block between them holds."""
+        i, j, up, down = first(k), end(k), first(k + 1) * FAN, end(k + 1) * FAN
+        found = F.when(up < down, F.concat(some(i, up), some(down, j))).otherwise(some(i, j))
+        return F.transform(found, lambda x: F.struct(F.lit(k).alias("level"), x.alias("block")))
+
+    sides = F.explode(F.array(F.struct(low, F.col("y").alias("y")), F.struct(high, F.col("y2").alias("y")))).alias("_s")
+    asked = spans.select(group, "box", "y", "y2", F.explode(F.flatten(F.array(*map(whole, range(levels))))).alias("_b")).select(group, "box", "_b", sides).select(group, "box", "_s.kind", "_s.y", "_b")
+    rows = spots.unionByName(asked).select(group, "box", "kind", "y", "_b.level", "_b.block")
+    counted = _running(rows, [group, "level", "block"], ["y", "kind"]).filter("kind <> 1")
+    return counted.groupBy(group, "box").agg(F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(-F.col("n"))).alias("n")).select(group, "box.*", "n")
+
+
 def match_plan_extents(parcels: DataFrame, plans: DataFrame) -> DataFrame:
     """Parcels whose interior point lies in a plan's box of the same commune, and in the box with its axes swapped.
 
-    Per plan: teryt_gmina, zone_id, n_hits, n_swapped_hits and bbox_axes_suspect (hits only when swapped).  Points meet boxes in
-    the cells of a grid, at the level of the box's size; plans of communes without parcels have no row.
+    Per plan: teryt_gmina, zone_id, n_hits, n_swapped_hits and bbox_axes_suspect (hits only when swapped).  Hits are counted
+    (``count_in_boxes``), not joined, for they are as many as parcels times plans of a commune; plans of communes without parcels
+    have no row.
     """
-    points = g.with_display_point(parcels.select("teryt_gmina", "geom"), name="_p")
-    either = F.array(F.struct(F.col("_p.x").alias("x"), F.col("_p.y").alias("y"), F.lit(False).alias("swapped")), F.struct(F.col("_p.y").alias("x"), F.col("_p.x").alias("y"), F.lit(True).alias("swapped")))
-    points = points.select("teryt_gmina", F.explode(either).alias("_p")).select("teryt_gmina", "_p.*").filter("x IS NOT NULL AND y IS NOT NULL")
-    extents = plans.select("teryt_gmina", "zone_id", g.envelope(F.col("geom")).alias("_b")).select("teryt_gmina", "zone_id", "_b.*")
-    size = cell_size(extents)
-    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(size))
-    level = F.ceil(F.log2(side / size)).cast("int")
-    top = extents.agg(F.max(level)).first()[0] or 0
-    step = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
-    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step)))
-    # a box lies in four cells of its own level at most, a point in one cell of each level
-    celled = extents.withColumn("level", level).withColumn("cx", cells("minx", "maxx")).withColumn("cy", cells("miny", "maxy"))
-    spots = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("cx", F.floor(F.col("x") / step)).withColumn("cy", F.floor(F.col("y") / step))
-    inside = F.col("x").between(F.col("minx"), F.col("maxx")) & F.col("y").between(F.col("miny"), F.col("maxy"))
-    hits = celled.join(spots, ["teryt_gmina", "level", "cx", "cy"]).filter(inside).groupBy("teryt_gmina", "zone_id").agg(F.count_if(~F.col("swapped")).alias("n_hits"), F.count_if("swapped").alias("n_swapped_hits"))
+    # kept, for a filter on a point would be moved below the steps that make it and hold all of them, each many times over
+    points = keep(g.with_display_point(spread(parcels.select("teryt_gmina", "geom")), name="_p").select("teryt_gmina", "_p.x", "_p.y"), "points")
+    extents = keep(plans.select("teryt_gmina", "zone_id", g.envelope(F.col("geom")).alias("_b")).select("teryt_gmina", "zone_id", "_b.*"), "extents")
+    # one box for each different extent of a plan's rows; a point with its axes swapped lies in a box when it lies in the swapped box
+    named = extents.groupBy(*extents.columns).agg(F.count(F.lit(1)).alias("times"))
+    as_is, turned = ("minx", "miny", "maxx", "maxy"), ("miny", "minx", "maxy", "maxx")
+    asked = [named.select("teryt_gmina", "zone_id", "times", F.struct(*as_is).alias("extent"), F.lit(swapped).alias("swapped"), *(F.col(c).alias(d) for c, d in zip(sides, as_is, strict=True))) for swapped, sides in ((False, as_is), (True, turned))]
+    counts = count_in_boxes(points, asked[0].unionByName(asked[1]), "teryt_gmina", ["zone_id", "times", "extent", "swapped"])
+    of = lambda test: F.coalesce(F.sum(F.when(test, F.col("n") * F.col("times"))), F.lit(0).cast("long"))
+    hits = counts.groupBy("teryt_gmina", "zone_id").agg(of(~F.col("swapped")).alias("n_hits"), of(F.col("swapped")).alias("n_swapped_hits"))
     known = extents.select("teryt_gmina", "zone_id").join(parcels.select("teryt_gmina").distinct(), "teryt_gmina", "left_semi")
     out = known.join(hits, ["teryt_gmina", "zone_id"], "left").fillna(0, ["n_hits", "n_swapped_hits"])
     return out.withColumn("bbox_axes_suspect", (F.col("n_hits") == 0) & (F.col("n_swapped_hits") > 0))
