@@ -96,12 +96,11 @@ class RetryQueue(StatefulProcessor):
 class SecondAuctions(StatefulProcessor):
     """Auctions of one property (case and register): the first listing stays, price and date are the latest one's.
 
-    State: first and last listing by (time, id), of equal ones the one with the higher price, and their number.  With ``keep_days``, a timer clears a property that had no
-    auction for so long; without, properties are kept for ever, as the table is.
+    State: first and last listing by (time, id), of equal ones the one with the higher price, and their number.  A timer clears a property that had no auction for ``keep_days``.
     """
 
-    def __init__(self, keep_days: int | None):
-        self.keep = None if keep_days is None else keep_days * DAY
+    def __init__(self, keep_days: int):
+        self.keep = keep_days * DAY
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -120,10 +119,9 @@ class SecondAuctions(StatefulProcessor):
                 last_at, last_id, price = int(at[high]), int(ids[high]), prices[high]
             n += len(ids)
         self.state.update((first_at, first_id, last_at, last_id, price, n))
-        if self.keep is not None:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer((last_at + self.keep) // 1000 + 1)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer((last_at + self.keep) // 1000 + 1)
         yield pd.DataFrame({"case_key": [key[0]], "listing_id": [first_id], "price_zl": [price], "latest": [last_at], "n_auctions": [n], "status": ["requeued" if n > 1 else "new"]}, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -148,12 +146,16 @@ def retry_queue(attempts: DataFrame, delay: str = "1 day", keep_days: int = 365)
 def second_auctions(listings: DataFrame, delay: str = "36500 days", keep_days: int | None = None) -> DataFrame:
     """Changes of the properties of a stream (case_key, listing_id, created_at, price_zl).
 
-    ``delay`` is how late a listing may come.  Rows without a key or a time are left out.
+    ``delay`` is how late a listing may come.  Rows without a key or a time are left out.  With ``keep_days`` a property's state ends by
+    a timer; without, it is the streaming aggregation of first, last and number, whose state is the same and calls no Python for a key.
     """
     rows = listings.filter("case_key IS NOT NULL AND created_at IS NOT NULL AND listing_id IS NOT NULL").select("case_key", "listing_id", "created_at", F.unix_micros("created_at").alias("micros"), "price_zl")
-    timed = {"timeMode": "None"} if keep_days is None else {"timeMode": "EventTime"}
-    rows = rows if keep_days is None else rows.withWatermark("created_at", delay)
-    changes = rows.groupBy("case_key").transformWithStateInPandas(statefulProcessor=SecondAuctions(keep_days), outputStructType=AUCTIONS, outputMode="Update", **timed)
+    if keep_days is None:
+        first, last = F.min(F.struct("micros", "listing_id")).alias("first"), F.max(F.struct("micros", "listing_id", "price_zl")).alias("last")
+        found = rows.groupBy("case_key").agg(first, last, F.count(F.lit(1)).alias("n_auctions"))
+        status = F.when(F.col("n_auctions") > 1, "requeued").otherwise("new").alias("status")
+        return found.select("case_key", F.col("first.listing_id").alias("listing_id"), F.col("last.price_zl").alias("price_zl"), F.timestamp_micros("last.micros").alias("created_at"), "n_auctions", status)
+    changes = rows.withWatermark("created_at", delay).groupBy("case_key").transformWithStateInPandas(statefulProcessor=SecondAuctions(keep_days), outputStructType=AUCTIONS, outputMode="Update", timeMode="EventTime")
     return changes.select("case_key", "listing_id", "price_zl", F.timestamp_micros("latest").alias("created_at"), "n_auctions", "status")
 
 

@@ -128,3 +128,11 @@ def test_empty_streams(spark, tmp_path):
     put(tmp_path / "b", 0, [], LISTINGS)
     assert run(spark, tmp_path / "a", tmp_path / "x", stateful.retry_queue, "listing_id") == {}
     assert run(spark, tmp_path / "b", tmp_path / "y", stateful.second_auctions, "case_key") == {}
+
+
+def test_second_auctions_call_no_python_for_a_key(spark, tmp_path):
+    put(tmp_path / "in", 0, [{"case_key": "a", "listing_id": 1, "created_at": START, "price_zl": None}, {"case_key": "a", "listing_id": 1, "created_at": START, "price_zl": Decimal(-2)}], LISTINGS)
+    got = run(spark, tmp_path / "in", tmp_path, stateful.second_auctions, "case_key")
+    assert (got["a"].price_zl, got["a"].n_auctions) == (Decimal(-2), 2)
+    made = stateful.second_auctions(spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in")))
+    assert "TransformWithState" not in made._jdf.queryExecution().analyzed().toString()
