@@ -157,12 +157,15 @@ def nominative(name: Column, forms: dict[str, str] = FORMS) -> Column:
 
     A stray w behind a final vowel goes; then the table of ``forms`` (by key) decides, then -anem becomes -ane and -owie -ów.
     """
-    bare = F.regexp_replace(F.trim(name), "(?i)(?<=[aeiyąę])w$", "")
     table = F.create_map(*[F.lit(x) for kv in forms.items() for x in kv]) if forms else F.lit(None).cast("map<string,string>")
-    key = ascii_key(bare)
-    street = (~F.contains(key, F.lit(" ")) & key.rlike(f"(?:{'|'.join(GENITIVES)})$")) | key.rlike(f"(?:{'|'.join(DATES)})$")
-    ruled = F.when(key.rlike("anem$"), F.left(bare, F.length(bare) - 1)).when(key.rlike("owie$"), F.concat(F.left(bare, F.length(bare) - 4), F.lit("ów"))).otherwise(bare)
-    return F.coalesce(F.try_element_at(table, key), F.when(~street, ruled))
+
+    def of(bare: Column, key: Column) -> Column:
+        street = (~F.contains(key, F.lit(" ")) & key.rlike(f"(?:{'|'.join(GENITIVES)})$")) | key.rlike(f"(?:{'|'.join(DATES)})$")
+        ruled = F.when(key.rlike("anem$"), F.left(bare, F.length(bare) - 1)).when(key.rlike("owie$"), F.concat(F.left(bare, F.length(bare) - 4), F.lit("ów"))).otherwise(bare)
+        return F.coalesce(F.try_element_at(table, key), F.when(~street, ruled))
+
+    bare = F.regexp_replace(F.trim(name), "(?i)(?<=[aeiyąę])w$", "")
+    return places.bound(bare, lambda b: places.bound(ascii_key(b), lambda k: of(b, k)))
 
 
 #: Named entities that pages use, in the order in which they are replaced; the ampersand last.

@@ -16,7 +16,7 @@ from landspark.functions import places as p
 from landspark.functions.text import ascii_key, nominative
 from landspark.operators.places import HINTS
 from landspark.operators.resolve import CONFIDENCE, by_precinct, choose, province_code, resolve_by_id, resolve_by_name, resolve_cascade
-from landspark.operators.sizes import small
+from landspark.operators.sizes import small, spread
 from landspark.storage import keep
 
 # fixed values: what ends the description of a property, and the province whose registers are asked
@@ -38,8 +38,9 @@ def words_of(text: Column) -> Column:
 
 def runs_of(words: Column, longest: int) -> Column:
     """All runs of up to ``longest`` words, each once."""
-    of = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
-    return F.array_distinct(F.flatten(F.array_compact(F.array(*(of(n) for n in range(1, longest + 1))))))
+    of = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    # bound, or each run would cut the text into words again
+    return p.bound(words, lambda w: F.array_distinct(F.flatten(F.array_compact(F.array(*(of(w, n) for n in range(1, longest + 1)))))))
 
 
 def city_names(cities: DataFrame, forms: DataFrame | None = None) -> DataFrame:
@@ -57,15 +58,15 @@ def infer_commune(listings: DataFrame, names: DataFrame) -> DataFrame:
     The first of these that names a city of the listing's province decides (any province, if the listing's is not known), and in
     it the longest name, then the first in order of the alphabet.  ``names``: ``city_names``.
     """
+    names = keep(names, "names")
     longest = names.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1  # one number
     text = F.coalesce("raw_text", F.lit(""))
-    cut = text
-    for office in OFFICES:
-        at = F.instr(text, office)
-        cut = F.when((at > 1) & (F.length(cut) > at - 1) & (cut == text), F.left(text, at - 1)).otherwise(cut)
+    # up to the first of the offices that the text names behind its beginning; without one the description is the text, which is not searched twice
+    ends = [F.instr(text, office) for office in OFFICES]
+    cut = F.coalesce(*(F.when(at > 1, F.left(text, at - 1)) for at in ends), F.lit(""))
     whole = lambda name: F.array_compact(F.array(ascii_key(nominative(name))))
     sources = F.array(whole(F.col("raw_gmina")), whole(precinct_of(F.col("raw_obreb"))), *(runs_of(words_of(x), longest) for x in (cut, text, F.col("title"))))
-    rows = listings.select("listing_id", province_code(F.col("raw_woj")).alias("_woj"), F.posexplode(sources).alias("source", "keys")).select("listing_id", "_woj", "source", F.explode("keys").alias("key"))
+    rows = spread(listings.select("listing_id", "raw_woj", "raw_gmina", "raw_obreb", "raw_text", "title")).select("listing_id", province_code(F.col("raw_woj")).alias("_woj"), F.posexplode(sources).alias("source", "keys")).select("listing_id", "_woj", "source", F.explode("keys").alias("key"))
     found = rows.join(small(names), "key").filter(F.col("_woj").isNull() | (F.col("_woj") == F.col("woj")))
     return found.groupBy("listing_id").agg(F.min_by("commune", F.struct("source", -F.length("key"), "key", "commune")).alias("commune"))
 
@@ -88,7 +89,9 @@ def _hints(listings: DataFrame, notices: DataFrame, overrides: DataFrame | None)
     rows = listings.join(notices.select("listing_id", "numbers", F.col("text").alias("_notice")), "listing_id", "left")
     if overrides is not None:
         o = small(overrides.select(F.col("kw").alias("_kw"), F.col("numbers").alias("_numbers"), F.col("obreb").alias("_obreb")))
-        rows = rows.join(o, F.upper(F.replace("raw_kw", F.lit(" "), F.lit(""))) == F.col("_kw"), "left")
+        # only listings with a register meet overrides: a left join would send all others, which have no key, to one task
+        over = listings.select("listing_id", F.upper(F.replace("raw_kw", F.lit(" "), F.lit(""))).alias("_kw")).filter("_kw IS NOT NULL").join(o, "_kw")
+        rows = rows.join(over.select("listing_id", "_numbers", "_obreb"), "listing_id", "left")
         rows = rows.withColumn("numbers", F.coalesce("_numbers", "numbers"))
     else:
         rows = rows.withColumn("_obreb", F.lit(None).cast("string"))
@@ -145,11 +148,13 @@ def resolve_by_city(listings: DataFrame, cadastre: DataFrame, names: DataFrame)
     """
     named = F.regexp_extract(F.coalesce("raw_text", F.lit("")), REGION + r"(\d{1,4})(?!\d)", 1)
     rows = listings.filter("raw_numer <> ''").select("listing_id", F.col("raw_numer").alias("number"), "area_m2", F.when(named != "", F.lpad(named, 4, "0")).alias("_region"), F.concat(F.lit(" "), F.array_join(words_of(F.col("raw_text")), " "), F.lit(" ")).alias("_words"))
-    found = rows.join(infer_commune(listings, names), "listing_id").join(cadastre.select("commune", "number", "cad_id", "region_code", "region_name", F.col("area_m2").alias("_area")), ["commune", "number"])
     precinct = F.concat(F.lit(" "), F.array_join(words_of(F.col("region_name")), " "), F.lit(" "))
+    # names of precincts are cut into words once a parcel, not once a pair
+    plots = cadastre.select("commune", "number", "cad_id", "region_code", precinct.alias("_precinct"), F.col("area_m2").alias("_area"))
+    found = rows.join(infer_commune(listings, names), "listing_id").join(plots, ["commune", "number"])
     near = F.col("_area").between(F.col("area_m2") * 0.95, F.col("area_m2") * 1.05) & (F.col("area_m2") > 0)
     w = Window.partitionBy("listing_id")
-    tests = {"explicit": F.col("region_code") == F.col("_region"), "only": F.lit(True), "told": F.contains("_words", precinct), "near": near}
+    tests = {"explicit": F.col("region_code") == F.col("_region"), "only": F.lit(True), "told": F.contains("_words", F.col("_precinct")), "near": near}
     for name, test in tests.items():
         found = found.withColumn(name, F.coalesce(test, F.lit(False)))
     found = found.select("*", *(F.count_if(F.col(name)).over(w).alias(f"n_{name}") for name in tests))
@@ -172,6 +177,9 @@ def with_notice_parcels(resolved: DataFrame, listings: DataFrame, by_notice: Dat
 def resolve_all(listings: DataFrame, notices: DataFrame, cadastre: DataFrame, cities: DataFrame, units: DataFrame, register: DataFrame, rules: DataFrame, overrides: DataFrame | None = None, forms: DataFrame | None = None) -> DataFrame:
     """Every listing with the parcels of the first of seven strategies that has any, with method, confidence and outcome."""
     names = city_names(cities, forms)
+    # what most strategies read is made once
+    register = None if register is cadastre else register
+    listings, cadastre = keep(listings, "listings"), keep(cadastre, "cadastre")
     by_notice = keep(resolve_by_notice(listings, notices, cadastre, overrides), "by-notice")
     strategies = [
         resolve_by_id(listings, cadastre),
@@ -179,7 +187,7 @@ def resolve_all(listings: DataFrame, notices: DataFrame, cadastre: DataFrame, ci
         resolve_by_text_locality(listings, cadastre),
         by_notice,
         resolve_by_unit(listings, notices, units, cadastre),
-        resolve_by_register(listings, notices, register, rules),
+        resolve_by_register(listings, notices, cadastre if register is None else register, rules),
         resolve_by_city(listings, cadastre, names),
     ]
     first = keep(resolve_cascade(listings, strategies), "resolved")

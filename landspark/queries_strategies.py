@@ -10,15 +10,17 @@ from landspark.operators import strategies as ops
 from landspark.operators.tables import newest
 from landspark.queries import query
 from landspark.queries_resolve import KEY
+from landspark.storage import keep
 
 UNITS = [("Nowa Huta", "NH", "1201011"), ("Krowodrza", "K", "1201011"), ("Śródmieście", "S", "1201011"), ("Podgórze", "P", "1201011")]
 WOJ = "CASE raw_woj WHEN 'małopolskie' THEN '12' WHEN 'podkarpackie' THEN '18' WHEN 'śląskie' THEN '24' END"
 
 
-def tables(spark, sf_dir):
-    """Listings, notices, cadastre, cities, units, register, rules, overrides and inflected names."""
+def tables(spark, sf_dir, named=False):
+    """Listings, notices, cadastre, cities (``named``: kept, to be read more than once), units, register, rules, overrides and inflected names."""
     plots = newest(derived(spark, sf_dir, "fx_plots"), ["cad_id"], [F.asc("k")])
     cities = derived(spark, sf_dir, "fx_cities")
+    cities = keep(cities, "cities") if named else cities
     notices = derived(spark, sf_dir, "fx_enriched").select("listing_id", F.array("number_1", "number_2").alias("numbers"), "text")
     overrides = derived(spark, sf_dir, "fx_overrides").select("kw", F.array("number").alias("numbers"), "obreb")
     units = spark.createDataFrame(UNITS, "name string, prefix string, commune string")
@@ -80,7 +82,7 @@ def h19_nominative(spark, sf_dir):
 @query("h20_infer_commune", f"{BASE}, {COMMUNE} SELECT * FROM inferred")
 def h20_infer_commune(spark, sf_dir):
     """The commune of the city that each listing names, by runs of words."""
-    x = tables(spark, sf_dir)
+    x = tables(spark, sf_dir, named=True)
     return ops.infer_commune(x["listings"], ops.city_names(x["cities"], x["forms"]))
 
 
@@ -101,7 +103,7 @@ def c15_resolve_by_notice(spark, sf_dir):
 @query("c16_resolve_by_city", f"{BASE}, {BY_CITY} SELECT * FROM by_city")
 def c16_resolve_by_city(spark, sf_dir):
     """Listings resolved in the commune of the city that they name."""
-    x = tables(spark, sf_dir)
+    x = tables(spark, sf_dir, named=True)
     return ops.resolve_by_city(x["listings"], x["cadastre"], ops.city_names(x["cities"], x["forms"]))
 
 
@@ -133,4 +135,4 @@ SELECT listing_id, cad_id, method, CASE method WHEN 'teryt_exact' THEN 0.98 WHEN
 )
 def c19_resolve_cascade(spark, sf_dir):
     """Every listing with the parcels of the first of seven strategies that has any, joined by those of its notice, or the reason."""
-    return ops.resolve_all(**tables(spark, sf_dir))
+    return ops.resolve_all(**tables(spark, sf_dir, named=True))
