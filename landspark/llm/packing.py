@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landspark.llm.common import HELD, give_back, groups_of, materialise, text_buffer
+from landspark.llm.common import HELD, give_back, groups_of, materialise, text_buffer, trim
 
 WINDOW = 2048
 END_ID = 1
@@ -33,7 +33,7 @@ TRIPLE_LENGTHS = 96
 #: Words whose ids each of a worker's two tables remembers at most, and endings of punctuation.
 WORDS_KEPT, TAILS_KEPT = 200_000, 10_000
 #: Bytes of texts, about, that are encoded together.
-TEXT = 2 << 20
+TEXT = 1 << 20
 #: What may follow a word's letters; with nothing else behind the letters it is one piece of its own for the tokenizer.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -58,6 +58,7 @@ class Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        trim()  # reading the vocabulary takes more than keeping it
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landspark.llm.common import groups_of, released, text_buffer
+from landspark.llm.common import groups_of, materialise, released, text_buffer
 
 DIM, FILTERS, STEP, PARTS = 8, 16, 4, 3
 #: Steps (of four bytes) that a chunk advances; with the filter's reach, chunks overlap by eight bytes.
@@ -189,8 +189,9 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``threshold``; columns as they were, in one pass without a shuffle.
+    """The rows of ``docs`` whose text scores at least ``threshold``; columns as they were, without a shuffle.
 
+    They are written as a table at once, so that Python gets batches of bounded bytes, however long the texts.
     Null and empty texts are scored as empty; rows that repeat an id are judged each by its own text; an empty table gives
     no rows; without labels of both classes every text gets the labels' share, so all rows stay or all go.
     """
@@ -203,4 +204,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             out = [net.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in groups_of(offsets)]
             yield b.filter(pa.array(np.concatenate(out) >= threshold if out else np.zeros(0, bool)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return materialise(docs.mapInArrow(keep, docs.schema), "kept")

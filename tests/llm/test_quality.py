@@ -44,3 +44,26 @@ def test_edges(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
     assert quality.score_documents(docs.limit(0), net).count() == 0
     assert quality.keep_good(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_batches_of_kept_documents_are_bounded(spark, tmp_path, monkeypatch):
+    sizes = str(tmp_path / "sizes")
+
+    def noting(task):
+        def run(batches):
+            def seen():
+                for b in batches:
+                    with open(sizes, "a") as f:
+                        f.write(f"{b.nbytes}\n")
+                    yield b
+
+            return task(seen())
+
+        return run
+
+    monkeypatch.setattr(quality, "released", noting)
+    monkeypatch.setattr(quality, "fit", lambda *_: quality.Network())
+    docs = spark.range(0, 200, 1, 1).selectExpr("id AS doc_id", "repeat('abcd ', 10000) AS text")
+    assert quality.keep_good(docs, None, 0.0).count() == 200
+    got = [int(x) for x in open(sizes)]
+    assert sum(got) > 10_000_000 and max(got) < 3_000_000
