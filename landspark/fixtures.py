@@ -169,6 +169,10 @@ L_SHAPE = ("x0, y0", "x0, y0 + h", "x0 + w - w // 2, y0 + h", "x0 + w - w // 2,
 TRIANGLE = ("x0, y0", "x0, y0 + h", "x0 + w, y0")
 
 
+#: Rows of a base table, about, that one task groups.
+GROUPED_ROWS = 500_000
+
+
 def spark_sql(text: str) -> str:
     return text.replace("//", "div").replace("https:div", "https://")
 
@@ -176,6 +180,8 @@ def spark_sql(text: str) -> str:
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived table ``name``; polygon tables also get their ``geom`` column."""
     base = spark.read.parquet(f"{sf_dir}/{BASE[name]}.parquet")
+    if BASE[name] == "lineitem":  # grouped by order and line: tasks get a bounded number of rows, for rows of keys are many in few shuffled bytes
+        base = base.repartition(max(spark.sparkContext.defaultParallelism, base.count() // GROUPED_ROWS + 1), "l_orderkey")
     text = re.sub(rf"\bFROM {BASE[name]}\b", "FROM {base}", spark_sql(SQL[name]))
     df = spark.sql(text, base=base)
     return with_ring(df) if "shape" in df.columns else df

@@ -131,7 +131,8 @@ def refresh_signals(current: DataFrame, fresh: DataFrame, managed: list[str], co
 def sweep_retry(queue: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The queue without rows whose listing is resolved or whose case is manual, and the manual rows for the backlog."""
     category = p.retry_category(F.col("last_error"), F.col("attempt_count"), F.col("raw_obreb"), F.col("raw_numer_dzialki"))
-    left = queue.join(links.select("listing_id").distinct(), "listing_id", "left_anti").withColumn("category", category)
+    # bare ids are many in few compressed bytes, by which they would be broadcast
+    left = queue.join(links.select("listing_id").hint("merge"), "listing_id", "left_anti").withColumn("category", category)
     return left.filter("category <> 'manual_only_case'"), left.filter("category = 'manual_only_case'")
 
 

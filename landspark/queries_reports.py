@@ -120,7 +120,9 @@ def j6_refresh_signals(spark, sf_dir):
 @query("j9_sweep_retry", f"WITH {duck('fx_retry', 'fx_listings')}, q AS (SELECT listing_id, {CATEGORY} AS category FROM fx_retry WHERE listing_id NOT IN (SELECT listing_id FROM fx_listings)) SELECT listing_id, category, category = 'manual_only_case' AS manual FROM q")
 def j9_sweep_retry(spark, sf_dir):
     """The queue after a sweep, and what goes to the manual backlog."""
-    left, manual = ops.sweep_retry(derived(spark, sf_dir, "fx_retry"), derived(spark, sf_dir, "fx_listings"))
+    # as many parts as are set: by their few compressed bytes, parts of bare ids would be put together
+    listed = derived(spark, sf_dir, "fx_listings").select("listing_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "listing_id")
+    left, manual = ops.sweep_retry(derived(spark, sf_dir, "fx_retry"), listed)
     return left.withColumn("manual", F.lit(False)).unionByName(manual.withColumn("manual", F.lit(True))).select("listing_id", "category", "manual")
 
 
