@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landspark.functions import text as t
@@ -14,9 +14,16 @@ PASSES = (
     (rf"(?<![A-Z0-9]){CODE}/(\d{{8}})/(\d)(?![A-Z0-9/])", "free_text_regex", 0.80),
     (rf"(?i)(?<![A-Z0-9]){CODE}[\s/-]+(\d{{8}})[\s/-]+(\d)(?![A-Z0-9])", "relaxed_regex", 0.70),
 )
+#: Wherever one of the passes, or the partial one, finds a number, this does; its matches never overlap one another.
+ANY_NUMBER = r"(?<![A-Z0-9])(?i)[A-Z]{2}[0-9][A-Z][\s/-]+\d{8}"
 PARTIAL = rf"(?i)(?<![A-Z0-9/]){CODE}[\s/-](\d{{8}})(?![\s/-]*\d)(?![A-Z0-9])"
 
 
+SOURCES = (*((source, base) for _, source, base in PASSES), ("no_check_digit", 0.45))
+#: What stands between the parts of a number; and check digits, the missing one last.
+SEPARATORS, DIGITS = " \t\n\x0b\f\r/-", "0123456789?"
+
+
 def extract_registers(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Land-register numbers of each text: normalised, check_valid, court_known, confidence, source and flag.
 
@@ -24,17 +31,23 @@ def extract_registers(docs: DataFrame, id_col: str, text_col: str = "text") -> D
     digit are two.  Numbers without a check digit come last, with a question mark in its place, at a confidence of 0.45, or
     0.30 if the court is unknown.
     """
-    out = None
-    for k, (pattern, source, base) in enumerate((*PASSES, (PARTIAL, "no_check_digit", 0.45))):
-        hits = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0)).alias("raw"))
-        part = lambda i: F.regexp_extract("raw", pattern, i)  # noqa: B023, E731
-        digit = part(3) if k < len(PASSES) else F.lit("?")
-        rows = hits.select("doc_id", F.upper(part(1)).alias("court"), part(2).alias("number"), digit.alias("digit"), F.lit(source).alias("source"), F.lit(base).alias("base"), F.lit(k).alias("pass"))
-        out = rows if out is None else out.unionByName(rows)
-    strictest = F.min("pass").over(Window.partitionBy("doc_id", "court", "number"))
-    out = out.distinct().withColumn("_first", strictest).filter("pass = _first")
+    text = F.col(text_col)
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), 0)
+    of_pass = lambda values, k: F.transform(values, lambda raw: F.struct(F.lit(k).alias("pass"), F.translate(raw, SEPARATORS, "").alias("raw")))
+    looser = [of_pass(found(pattern), k) for k, pattern in enumerate((PASSES[1][0], PARTIAL), 1)]
+    # where the strictest pass finds a number at every place that any pass can, the looser ones add nothing
+    every = lambda strict: F.when(F.regexp_count(text, F.lit(ANY_NUMBER)) > F.size(strict), F.concat(of_pass(strict, 0), *looser)).otherwise(of_pass(strict, 0))
+    hits = docs.select(F.col(id_col).alias("doc_id"), F.explode(bound(found(PASSES[0][0]), every)).alias("hit")).select("doc_id", F.upper(F.left("hit.raw", F.lit(4))).alias("court"), F.substring("hit.raw", 5, 8).alias("number"), F.substring("hit.raw", 13, 1).alias("digit"), "hit.pass")
+    # of a number, each pass's check digits as bits, so that a row is shuffled once
+    bit = F.when(F.col("digit") == "", 1 << 10).otherwise(F.pow(F.lit(2), F.col("digit").cast("int")).cast("int"))
+    digits = [F.bit_or(F.when(F.col("pass") == k, bit)).alias(f"_{k}") for k in range(len(SOURCES))]
+    first = hits.groupBy("doc_id", "court", "number").agg(*digits).select("doc_id", "court", "number", F.coalesce(*(F.when(F.col(f"_{k}").isNotNull(), F.struct(F.lit(source).alias("source"), F.lit(base).alias("base"), F.col(f"_{k}").alias("bits"))) for k, (source, base) in enumerate(SOURCES))).alias("_s"))
+    digit = F.filter(F.array(*(F.when(F.col("_s.bits").bitwiseAND(1 << i) != 0, d) for i, d in enumerate(DIGITS))), lambda d: d.isNotNull())
+    out = first.select("doc_id", "court", "number", "_s.source", "_s.base", F.explode(digit).alias("digit"))
     unknown = F.col("digit") == "?"
-    valid, known = F.when(unknown, False).otherwise(t.check_digit(F.col("court"), F.col("number")).cast("string") == F.col("digit")), F.col("court").isin(*t.COURTS)
+    # a column of its own, for it is asked for several times
+    out = out.withColumn("_valid", F.when(unknown, False).otherwise(t.check_digit(F.col("court"), F.col("number")).cast("string") == F.col("digit")))
+    valid, known = F.col("_valid"), F.col("court").isin(*t.COURTS)
     full = F.round(F.greatest(F.when(valid, F.col("base")).otherwise(0.25) - F.when(known, 0.0).otherwise(0.05), F.lit(0.0)), 2)
     return out.select(
         "doc_id",

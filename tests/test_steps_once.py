@@ -14,6 +14,20 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_registers_in_one_pass(spark):
+    rows = [
+        (1, "xWA1M/12345678/1 oraz WA1M-12345678-2"), (1, "WA1M 12345678 3, KR1K/87654321"), (2, "KR1K/87654321 i kr1k 87654321 4"), (3, "GD4K/11111111/1, GD4K/11111111/2, GD4K/11111111/1"),
+        (4, "wa1m/12345678/x WA1M/12345678/1/KR1K/87654321"), (5, None),
+    ]
+    df = ops.extract_registers(spark.createDataFrame(rows, "i int, text string"), "i")
+    assert "Union" not in plan(df)
+    got = sorted((r.doc_id, r.normalized, r.source) for r in df.collect())
+    strict, relaxed, partial = "free_text_regex", "relaxed_regex", "no_check_digit"
+    assert got == [
+        (1, "KR1K/87654321/?", partial), (1, "WA1M/12345678/1", strict), (2, "KR1K/87654321/4", relaxed), (3, "GD4K/11111111/1", strict), (3, "GD4K/11111111/2", strict), (4, "WA1M/12345678/1", relaxed),
+    ]
+
+
 def test_tasks_that_group_listings_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "GROUPED_ROWS", 1000, raising=False)
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
