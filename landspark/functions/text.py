@@ -51,17 +51,21 @@ def parse_decimal(text: Column) -> Column:
 
     The last separator is the decimal one if one or two digits follow it, or if both kinds occur; all others group digits.
     """
-    bare = F.regexp_replace(text, r"[^0-9,.\-]", "")
-    tail = F.regexp_extract(bare, r"[.,]([^.,]*)$", 1)
-    whole = F.translate(bare, ".,", "")
-    both = F.contains(bare, F.lit(",")) & F.contains(bare, F.lit("."))
-    point = both | F.length(tail).between(1, 2)
-    with_point = F.concat(F.left(whole, F.length(whole) - F.length(tail)), F.lit("."), tail)
-    return F.when(point, with_point).otherwise(whole).try_cast("decimal(18,2)")
+
+    def read(parts: Column) -> Column:
+        bare, tail, whole = parts["bare"], parts["tail"], parts["whole"]
+        both = F.contains(bare, F.lit(",")) & F.contains(bare, F.lit("."))
+        point = both | F.length(tail).between(1, 2)
+        with_point = F.concat(F.left(whole, F.length(whole) - F.length(tail)), F.lit("."), tail)
+        return F.when(point, with_point).otherwise(whole).try_cast("decimal(18,2)")
+
+    # bound, for inside a lambda each mention is evaluated anew
+    parts = lambda bare: F.struct(bare.alias("bare"), F.regexp_extract(bare, r"[.,]([^.,]*)$", 1).alias("tail"), F.translate(bare, ".,", "").alias("whole"))
+    return places.bound(F.regexp_replace(text, r"[^0-9,.\-]", ""), lambda bare: places.bound(parts(bare), read))
 
 
 def sane_price(value: Column) -> Column:
-    return F.when(value.between(1000, 100_000_000), value)
+    return places.bound(value, lambda v: F.when(v.between(1000, 100_000_000), v))
 
 
 def extract_price(text: Column) -> Column:
@@ -69,7 +73,11 @@ def extract_price(text: Column) -> Column:
 
     Introductions are looked for one after the other, and only a text without any is cut into amounts and their surroundings.
     """
-    plain = fold(text)
+    return places.bound(fold(text), priced)
+
+
+def priced(plain: Column) -> Column:
+    """The price that a folded text names."""
     first = lambda values: F.get(F.filter(F.transform(values, lambda x: sane_price(parse_decimal(x))), lambda v: v.isNotNull()), F.lit(0))
     introduced = [first(F.regexp_extract_all(plain, F.lit("(?:" + "|".join(x.replace(" ", r"\s+") for x in phrases) + ")" + GAP + amount("zl|pln")), 1)) for phrases in INTRODUCTIONS]
     return F.coalesce(*introduced, unclaimed_price(plain))
@@ -97,7 +105,7 @@ def unclaimed_price(plain: Column) -> Column:
 
 def check_digit(court: Column, number: Column) -> Column:
     """Check digit of a land register: letters count 10 to 35 as two digits, weights 1, 3, 7 in turn, modulo ten."""
-    spread = F.transform(F.split(F.upper(court), ""), lambda c: F.when(c.rlike("^[A-Z]$"), (F.ascii(c) - 55).cast("string")).otherwise(c))
+    spread = F.transform(F.split(F.upper(court), ""), lambda c: F.when(c.between("A", "Z"), (F.ascii(c) - 55).cast("string")).otherwise(c))
     digits = F.filter(F.split(F.concat(F.array_join(spread, ""), number), ""), lambda d: d != "")
     weighed = F.transform(digits, lambda d, i: d.cast("int") * F.when(i % 3 == 0, WEIGHTS[0]).when(i % 3 == 1, WEIGHTS[1]).otherwise(WEIGHTS[2]))
     return F.aggregate(weighed, F.lit(0), lambda a, w: a + w) % 10

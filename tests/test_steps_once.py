@@ -14,6 +14,13 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_price_is_parsed_once(spark):
+    df = spark.createDataFrame([("1.234,56",)], "x string")
+    text = plan(df.select(t.sane_price(t.parse_decimal(F.col("x"))).alias("v")))
+    assert text.count("regexp_replace(") == 1, text
+    assert plan(df.select(t.extract_price(F.col("x")).alias("v"))).count("translate(lower(") == 1
+
+
 def test_registers_in_one_pass(spark):
     rows = [
         (1, "xWA1M/12345678/1 oraz WA1M-12345678-2"), (1, "WA1M 12345678 3, KR1K/87654321"), (2, "KR1K/87654321 i kr1k 87654321 4"), (3, "GD4K/11111111/1, GD4K/11111111/2, GD4K/11111111/1"),
