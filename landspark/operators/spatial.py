@@ -1,17 +1,21 @@
-"""Spatial joins as equi-joins on grid cells, and pairwise geometry as folds over the edges of a pair.
+"""Spatial joins: blocks of polygons that meet in grid cells (``blocks``), and what is asked of their pairs.
 
 A plain range predicate would be a nested-loop join.  Here each polygon is listed in the cells of a grid that its envelope
-touches; polygons much larger than a cell use coarser grids, so that no polygon lies in more than a few cells, and two
-polygons meet in the grid of the coarser one.  A pair is kept in the one cell that holds the lower left corner of its
-envelopes' overlap, so no ``distinct`` is needed.  Hot cells are ordinary skewed join keys, which adaptive execution splits.
+touches, and a pair is kept in the one cell that holds the lower left corner of its envelopes' overlap, so no ``distinct`` is
+needed and no pair is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landspark.functions import geometry as g
+from landspark.operators import blocks as bl
 from landspark.operators.sizes import spread
 from landspark.storage import keep, new_path
 
@@ -35,132 +39,101 @@ def cell_size(df: DataFrame) -> float:
     return max(1.0, 2.0 * (df.agg(F.percentile_approx(side, 0.5, 1000)).first()[0] or 1.0))
 
 
-def _celled(df: DataFrame, size: float, top: int) -> DataFrame:
-    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(size))
-    df = df.withColumn("own", F.ceil(F.log2(side / size)).cast("int")).withColumn("level", F.explode(F.sequence("own", F.lit(top))))
-    step = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
-    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step)))
-    return df.withColumn("cx", cells("minx", "maxx")).withColumn("cy", cells("miny", "maxy"))
-
+def _hundredths(micro: np.ndarray) -> np.ndarray:
+    """Millionths, not negative, to hundredths, half up."""
+    return (micro + 5000) // 10000
 
-def candidate_pairs(left: DataFrame, right: DataFrame, size: float | None = None) -> DataFrame:
-    """Pairs (left_id, right_id, ox, oy) whose envelopes overlap; inputs as of ``boxes``.
-
-    Carried columns come along through the one shuffle by cell; a polygon lies in a few cells but in many pairs, so pairs
-    are never shuffled.
-    """
-    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    # the median and the largest side of each side in one pass
-    half, most = left.agg(F.percentile_approx(side, 0.5, 1000), F.max(side)).first()
-    half_right, most_right = right.agg(F.percentile_approx(side, 0.5, 1000), F.max(side)).first()
-    # cells of the larger polygons' size: with smaller ones each polygon would be listed at several levels
-    size = max(1.0, 2.0 * (half or 1.0), half_right or 1.0) if size is None else size
-    widest = max(most or 0.0, most_right or 0.0, size)
-    top = 0
-    while size * 2**top < widest:
-        top += 1
-    a = _celled(left, size, top).alias("a")
-    b = _celled(right, size, top).alias("b")
-    step = F.lit(size) * F.pow(F.lit(2.0), F.col("a.level"))
-    meets = (F.col("a.level") == F.greatest("a.own", "b.own")) & (F.col("a.minx") <= F.col("b.maxx")) & (F.col("b.minx") <= F.col("a.maxx")) & (F.col("a.miny") <= F.col("b.maxy")) & (F.col("b.miny") <= F.col("a.maxy"))
-    corner = (F.col("a.cx") == F.floor(F.greatest("a.minx", "b.minx") / step)) & (F.col("a.cy") == F.floor(F.greatest("a.miny", "b.miny") / step))
-    on = (F.col("a.level") == F.col("b.level")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
-    plain = ("left_id", "right_id", "minx", "miny", "maxx", "maxy")
-    carried = [c for df in (left, right) for c in df.columns if c not in plain]
-    return a.join(b, on & meets & corner).select("left_id", "right_id", F.least("a.minx", "b.minx").alias("ox"), F.least("a.miny", "b.miny").alias("oy"), *carried)
 
+def _decimals(hundredths: np.ndarray, precision: int) -> pa.Array:
+    """Whole hundredths as decimals of two places."""
+    return pa.Array.from_buffers(pa.decimal128(precision, 2), len(hundredths), [None, pa.py_buffer(np.stack([hundredths, hundredths >> 63], axis=1))])
 
-def _lines(geom: Column) -> Column:
-    """Edges for ``_under_both``, without those that stand upright, under which there is nothing: x-range, start, slope and sign."""
-    line = lambda e: F.struct(F.least(e["x1"], e["x2"]).alias("lo"), F.greatest(e["x1"], e["x2"]).alias("hi"), e["x1"].alias("x"), e["y1"].alias("y"), ((e["y2"] - e["y1"]) / (e["x2"] - e["x1"])).alias("m"), F.signum(e["x2"] - e["x1"]).alias("s"))
-    return F.transform(F.filter(g.edges(geom), lambda e: e["x1"] != e["x2"]), line)
 
+def _overlaps(left: bl.Side, i: np.ndarray, area: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Areas and coverages of the left polygons, in hundredths."""
+    millionths = lambda x: np.floor(x * 1e6 + 0.5).astype(np.int64)
+    return _hundredths(millionths(area)), _hundredths(np.minimum(millionths(100 * area / left.boxes[i, 4]), 100_000_000))
 
-def _under_both(p: Column, q: Column, oy: Column) -> Column:
-    """Signed integral of the lower of two lines over their common x-range, about the height ``oy``."""
-    y = lambda e, x: e["y"] - oy + e["m"] * (x - e["x"])
-    ends = F.struct(F.greatest(p["lo"], q["lo"]).alias("a"), F.least(p["hi"], q["hi"]).alias("b"))
-    heights = lambda r: F.struct(y(p, r["a"]).alias("pa"), y(p, r["b"]).alias("pb"), y(q, r["a"]).alias("qa"), y(q, r["b"]).alias("qb"), (r["b"] - r["a"]).alias("w"))
 
-    def integral(v: Column) -> Column:
-        da, db = v["pa"] - v["qa"], v["pb"] - v["qb"]
-        low_a, low_b = F.least(v["pa"], v["qa"]), F.least(v["pb"], v["qb"])
-        cross = lambda t: v["pa"] + t * (v["pb"] - v["pa"])
-        broken = g.let(da / (da - db), lambda t: ((low_a + cross(t)) * t + (cross(t) + low_b) * (1 - t)) / 2)
-        return v["w"] * F.when(da * db < 0, broken).otherwise((low_a + low_b) / 2)
+def _types(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> tuple[str, str]:
+    return left.schema[left_key].dataType.simpleString(), right.schema[right_key].dataType.simpleString()
 
-    return p["s"] * q["s"] * g.let(g.let(ends, heights), integral)
 
+def intersect_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, min_area: float = SLIVER, size: float | None = None, left_mark: Column | None = None, right_mark: Column | None = None) -> DataFrame:
+    """Pairs of polygons that overlap by more than ``min_area``: left_id, right_id, intersection_area_m2, coverage_pct of the left, left_mark, right_mark.
 
-def over_pairs(left: Column, right: Column, start: Column, step) -> Column:
-    """Fold over all pairs of items of two arrays: ``step(so far, p, q)``; no pair is a row of its own."""
-    return F.aggregate(left, start, lambda a, p: F.aggregate(right, a, lambda b, q: step(b, p, q)))
+    Polygons with holes and several parts need nothing special, and nothing is clipped.  Rings must be normalised and simple.
+    Marks are ints that go with a polygon, for what else is asked of a pair; without them they are 0.
+    """
+    pairs = bl.block_pairs(bl.shapes(left, left_key, mark=left_mark, upright=False), bl.shapes(right, right_key, mark=right_mark, upright=False), size)
 
+    def give(a: bl.Side, b: bl.Side, i: np.ndarray, j: np.ndarray, area: np.ndarray) -> pa.RecordBatch:
+        some = area > min_area
+        i, j, area = i[some], j[some], area[some]
+        whole, share = _overlaps(a, i, area)
+        return pa.RecordBatch.from_arrays([a.ids.take(pa.array(i)), b.ids.take(pa.array(j)), _decimals(whole, 12), _decimals(share, 5), pa.array(a.marks[i]), pa.array(b.marks[j])], names=["left_id", "right_id", "intersection_area_m2", "coverage_pct", "left_mark", "right_mark"])
 
-def _only(value: Column, test) -> Column:
-    """Explodes to the value's one row if it passes the test, so that it is worked out once for both."""
-    return F.explode(F.filter(F.array(value), test))
+    one, two = _types(left, right, left_key, right_key)
+    return bl.answers(pairs, bl.overlap_area, give, f"left_id {one}, right_id {two}, intersection_area_m2 decimal(12,2), coverage_pct decimal(5,2), left_mark int, right_mark int")
 
 
-def intersect_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, min_area: float = SLIVER, size: float | None = None) -> DataFrame:
-    """Pairs of polygons that overlap by more than ``min_area``: left_id, right_id, intersection_area_m2, coverage_pct of the left.
+def best_overlaps(left: DataFrame, right: DataFrame, left_key: str, right_key: str, counts: Callable[[np.ndarray, np.ndarray], np.ndarray], min_area: float = SLIVER, size: float | None = None) -> DataFrame:
+    """Of each left polygon with overlaps that count: left_id, right_id and coverage_pct of the one with the largest coverage (the least right_id of equal ones), and max_area_m2 of any.
 
-    A polygon's indicator is the signed sum of the regions under its edges, so the area of an intersection is a sum over
-    pairs of edges of closed-form integrals; polygons with holes and several parts need nothing special, and nothing is
-    clipped.  Rings must be normalised and simple.
+    ``counts(area, coverage)``, in hundredths, says which overlaps count.  Pairs are folded where they are found; rows are a few a polygon.
     """
-    a = boxes(left, left_key, "left_id", _l=_lines(F.col("geom")), _own=g.area(F.col("geom")))
-    b = boxes(right, right_key, "right_id", _r=_lines(F.col("geom")))
-    both = lambda t, p, q: F.when((p["lo"] < q["hi"]) & (q["lo"] < p["hi"]), t + _under_both(p, q, F.col("oy"))).otherwise(t)
-    area = F.round(over_pairs(F.col("_l"), F.col("_r"), F.lit(0.0), both), 6)
-    areas = candidate_pairs(a, b, size).select("left_id", "right_id", "_own", _only(area, lambda v: v > min_area).alias("_area"))
-    return areas.select(
-        "left_id",
-        "right_id",
-        F.col("_area").cast("decimal(12,2)").alias("intersection_area_m2"),
-        F.least((100 * F.col("_area") / F.col("_own")).cast("decimal(20,6)"), F.lit(100)).cast("decimal(5,2)").alias("coverage_pct"),
-    )
-
-
-def _segment_distance(p: Column, q: Column) -> Column:
-    """Distance of two segments: zero if they cross, else the least of the four end points' distances."""
-
-    def to_segment(x, y, e):
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / (dx * dx + dy * dy)))
-        return F.hypot(x - e["x1"] - t * dx, y - e["y1"] - t * dy)
-
-    side = lambda e, x, y: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-    crossing = (side(p, q["x1"], q["y1"]) * side(p, q["x2"], q["y2"]) < 0) & (side(q, p["x1"], p["y1"]) * side(q, p["x2"], p["y2"]) < 0)
-    ends = F.least(to_segment(p["x1"], p["y1"], q), to_segment(p["x2"], p["y2"], q), to_segment(q["x1"], q["y1"], p), to_segment(q["x2"], q["y2"], p))
-    return F.when(crossing, 0.0).otherwise(ends)
+    pairs = bl.block_pairs(bl.shapes(left, left_key, upright=False), bl.shapes(right, right_key, upright=False), size)
+
+    def give(a: bl.Side, b: bl.Side, i: np.ndarray, j: np.ndarray, area: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(area > min_area)
+        whole, share = _overlaps(a, i[some], area[some])
+        good = counts(whole, share)
+        i, j, whole, share = i[some[good]], j[some[good]], whole[good], share[good]
+        if not len(i):
+            return pa.RecordBatch.from_arrays([a.ids.slice(0, 0), b.ids.slice(0, 0), _decimals(whole, 5), _decimals(whole, 12)], names=["left_id", "right_id", "coverage_pct", "max_area_m2"])
+        at = bl.starts(i)
+        most = np.maximum.reduceat(share, at)
+        top = np.flatnonzero(share == np.repeat(most, np.diff(np.append(at, len(i)))))
+        ids = b.ids.take(pa.array(j[top])).to_numpy(zero_copy_only=False)
+        least = pa.array(np.minimum.reduceat(ids, bl.starts(i[top])), b.ids.type)
+        return pa.RecordBatch.from_arrays([a.ids.take(pa.array(i[at])), least, _decimals(most, 5), _decimals(np.maximum.reduceat(whole, at), 12)], names=["left_id", "right_id", "coverage_pct", "max_area_m2"])
+
+    one, two = _types(left, right, left_key, right_key)
+    rows = bl.answers(pairs, bl.overlap_area, give, f"left_id {one}, right_id {two}, coverage_pct decimal(5,2), max_area_m2 decimal(12,2)")
+    # of whole decimals, so that the largest coverage and the least id are one least struct
+    best = rows.groupBy("left_id").agg(F.min(F.struct((-F.col("coverage_pct")).alias("c"), "right_id")).alias("_b"), F.max("max_area_m2").alias("max_area_m2"))
+    return best.select("left_id", "_b.right_id", (-F.col("_b.c")).cast("decimal(5,2)").alias("coverage_pct"), "max_area_m2")
 
 
 def dwithin_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, d: float, size: float | None = None) -> DataFrame:
     """Pairs of polygons at most ``d`` apart: left_id, right_id, distance_m (0 if they overlap or one holds the other)."""
-    a, b = _with_edges(left, right, left_key, right_key, d)
-    # edges whose boxes are farther apart than the least distance so far, or than d, cannot lessen it
-    nearer = lambda t, p, q: F.when(_gap(p, q) > F.least(t, F.lit(d)), t).otherwise(F.least(t, _segment_distance(p, q)))
-    far = F.lit(float("inf"))
-    distance = F.when(_inside(), F.lit(0.0)).otherwise(over_pairs(F.col("_l"), F.col("_r"), far, lambda t, p, q: F.when(t == 0, t).otherwise(nearer(t, p, q))))
-    return candidate_pairs(a, b, size).select("left_id", "right_id", _only(distance, lambda v: v <= d).alias("distance_m"))
+    pairs = bl.block_pairs(bl.shapes(left, left_key, grow=d), bl.shapes(right, right_key), size)
 
+    def give(a: bl.Side, b: bl.Side, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
+        near = np.flatnonzero(distance <= d)
+        return pa.RecordBatch.from_arrays([a.ids.take(pa.array(i[near])), b.ids.take(pa.array(j[near])), pa.array(distance[near])], names=["left_id", "right_id", "distance_m"])
 
-def _with_edges(left: DataFrame, right: DataFrame, left_key: str, right_key: str, grow: float) -> tuple[DataFrame, DataFrame]:
-    """Both sides as of ``boxes``, the left one grown, with their edges as ``_l`` and ``_r``."""
-    return boxes(left, left_key, "left_id", grow=grow, _l=g.edges(F.col("geom"))), boxes(right, right_key, "right_id", _r=g.edges(F.col("geom")))
+    one, two = _types(left, right, left_key, right_key)
+    return bl.answers(pairs, bl.distance, give, f"left_id {one}, right_id {two}, distance_m double")
 
 
-def _inside() -> Column:
-    """Whether the first vertex of one polygon of a pair lies in the other one."""
-    start = lambda c: F.get(F.col(c), F.lit(0))
-    return g.edges_hold(F.col("_r"), start("_l")["x1"], start("_l")["y1"]) | g.edges_hold(F.col("_l"), start("_r")["x1"], start("_r")["y1"])
+def least_distances(left: DataFrame, right: DataFrame, left_key: str, right_key: str, d: float, kinds: dict[str, Column], size: float | None = None) -> DataFrame:
+    """Of each left polygon with a right one of any kind at most ``d`` apart: left_id and the least distance to each kind, null beyond ``d``.
 
+    ``kinds`` are tests of the right rows by the name of their column.  Pairs are folded where they are found; rows are a few a polygon.
+    """
+    bits = sum((F.when(test, F.lit(1 << k)).otherwise(0) for k, test in enumerate(kinds.values())), F.lit(0))
+    pairs = bl.block_pairs(bl.shapes(left, left_key, grow=d), bl.shapes(right, right_key, mark=bits), size)
+    names = list(kinds)
+
+    def give(a: bl.Side, b: bl.Side, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
+        at, mark = bl.starts(i), b.marks[j]
+        least = [np.minimum.reduceat(np.where((mark >> k & 1 == 1) & (distance <= d), distance, np.inf), at) for k in range(len(names))]
+        some = np.flatnonzero(np.minimum.reduce(least) < np.inf)
+        return pa.RecordBatch.from_arrays([a.ids.take(pa.array(i[at[some]])), *(pa.array(v[some], mask=v[some] == np.inf) for v in least)], names=["left_id", *names])
 
-def _gap(p: Column, q: Column) -> Column:
-    """How far the boxes of two edges are apart along the axis where they are farther; not above zero if they touch."""
-    along = lambda c: F.greatest(F.least(p[c + "1"], p[c + "2"]) - F.greatest(q[c + "1"], q[c + "2"]), F.least(q[c + "1"], q[c + "2"]) - F.greatest(p[c + "1"], p[c + "2"]))
-    return F.greatest(along("x"), along("y"))
+    rows = bl.answers(pairs, bl.distance, give, f"left_id {left.schema[left_key].dataType.simpleString()}, " + ", ".join(f"{k} double" for k in names), lambda _, mark: mark > 0)
+    return rows.groupBy("left_id").agg(*(F.min(k).alias(k) for k in names))
 
 
 def spacing(left: DataFrame, right: DataFrame) -> float:
@@ -211,7 +184,7 @@ def nearest_distance(left: DataFrame, right: DataFrame, left_key: str, right_key
     while True:
         radius = radius if max_radius is None else min(radius, max_radius)
         path = new_path(spark, "nearest")
-        dwithin_join(rest, right, left_key, right_key, radius).groupBy("left_id").agg(F.min("distance_m").alias("distance_m")).write.parquet(path)
+        least_distances(rest, right, left_key, right_key, radius, {"distance_m": F.lit(True)}).write.parquet(path)
         part = spark.read.parquet(path)
         found = found.unionByName(part)
         rest = rest.join(part, rest[left_key] == part["left_id"], "left_anti")
@@ -225,25 +198,18 @@ def shared_boundary(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
     Metres count once for each right polygon, so overlapping ones count twice.
     """
-    a, b = _with_edges(left, right, left_key, right_key, within)
-
-    def metres(p: Column, q: Column) -> Column:
-        dx, dy = p["x2"] - p["x1"], p["y2"] - p["y1"]
-        length = F.hypot(dx, dy)
-        off = lambda x, y: F.abs(dx * (y - p["y1"]) - dy * (x - p["x1"])) <= tolerance * length * F.greatest(length, F.lit(1.0))
-        along = lambda x, y: ((x - p["x1"]) * dx + (y - p["y1"]) * dy) / length
-        one, two = along(q["x1"], q["y1"]), along(q["x2"], q["y2"])
-        common = F.greatest(F.lit(0.0), F.least(length, F.greatest(one, two)) - F.greatest(F.lit(0.0), F.least(one, two)))
-        return F.when(off(q["x1"], q["y1"]) & off(q["x2"], q["y2"]), common).otherwise(0.0)
-
-    # edges with common metres are nearer to each other than the tolerance
-    apart = lambda p, q: _gap(p, q) > 0.01 + 2 * tolerance * (F.abs(p["x2"] - p["x1"]) + F.abs(p["y2"] - p["y1"]) + 1)
-    shared = over_pairs(F.col("_l"), F.col("_r"), F.lit(0.0), lambda t, p, q: F.when(apart(p, q), t).otherwise(t + metres(p, q)))
-    each = candidate_pairs(a, b).select("left_id", shared.alias("m"), _inside().alias("held"))
-    # a polygon that holds the other is within any distance, however far its edges are; pairs that are not within it share nothing
-    sums = keep(each.groupBy("left_id").agg(F.sum("m").alias("s"), F.max("m").alias("top"), F.max((F.col("m") > 0) | F.col("held")).alias("sure")), "shared")
+    pairs = bl.block_pairs(bl.shapes(left, left_key, grow=within), bl.shapes(right, right_key))
+
+    def give(a: bl.Side, b: bl.Side, i: np.ndarray, j: np.ndarray, metres: np.ndarray, inside: np.ndarray) -> pa.RecordBatch:
+        at = bl.starts(i)
+        of = lambda fold, v: pa.array(fold.reduceat(v, at))
+        return pa.RecordBatch.from_arrays([a.ids.take(pa.array(i[at])), of(np.add, metres), of(np.maximum, metres), of(np.logical_or, (metres > 0) | inside)], names=["left_id", "s", "top", "sure"])
+
+    each = bl.answers(pairs, bl.shared_metres(tolerance), give, f"left_id {left.schema[left_key].dataType.simpleString()}, s double, top double, sure boolean")
+    # a polygon that shares metres, or starts in the other, is within any distance; of others the distance decides, and they share nothing
+    sums = keep(each.groupBy("left_id").agg(F.sum("s").alias("s"), F.max("top").alias("top"), F.bool_or("sure").alias("sure")), "shared")
     unsure = left.join(sums.filter("NOT sure"), F.col(left_key) == F.col("left_id"), "left_semi")
-    near = dwithin_join(unsure, right, left_key, right_key, within).select("left_id").distinct()
+    near = least_distances(unsure, right, left_key, right_key, within, {"distance_m": F.lit(True)})
     found = sums.filter("sure").select("left_id", "s", "top").union(near.select("left_id", F.lit(0.0), F.lit(0.0)))
     around = left.select(F.col(left_key).alias("left_id"), g.perimeter(F.col("geom")).alias("_around"))
     return found.join(around, "left_id").select("left_id", F.round("s", 2).alias("shared_boundary_m"), F.round(100 * F.col("top") / F.col("_around"), 2).alias("adjacent_pct"))

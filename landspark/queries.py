@@ -135,7 +135,7 @@ COVERAGE = "least((100 * area / own)::DECIMAL(20,6), 100)::DECIMAL(5,2) AS cover
 @query("c1_intersect_join", f"{OVERLAPS} SELECT parcel_id AS left_id, zone_id AS right_id, area::DECIMAL(12,2) AS intersection_area_m2, {COVERAGE} FROM ov JOIN own USING (parcel_id)")
 def c1_intersect_join(spark, sf_dir):
     """Every overlap of a parcel and a zone by area and coverage."""
-    return spatial.intersect_join(derived(spark, sf_dir, "fx_parcels"), derived(spark, sf_dir, "fx_zones"), "parcel_id", "zone_id")
+    return spatial.intersect_join(derived(spark, sf_dir, "fx_parcels"), derived(spark, sf_dir, "fx_zones"), "parcel_id", "zone_id").drop("left_mark", "right_mark")
 
 
 @query("c2_dwithin_join")
