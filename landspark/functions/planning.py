@@ -105,15 +105,30 @@ def signal_label(kind: Column, designation: Column, plan_name: Column) -> Column
     return F.concat(kind, F.lit(": "), F.coalesce(F.nullif(designation, F.lit("")), F.lit("unknown")), plan)
 
 
-def genuine_upgrade(symbol: Column, current_use: Column, case_insensitive_use: bool = False) -> Column:
-    """A buildable zone on land that is not built on; unknown use passes."""
+def open_land(current_use: Column, case_insensitive_use: bool = False) -> Column:
+    """Whether a parcel's use is not that of land that is built on; unknown use passes."""
     use = F.trim(F.coalesce(current_use, F.lit("")))
     within = (lambda codes: F.upper(use).isin(*[c.upper() for c in codes])) if case_insensitive_use else (lambda codes: use.isin(*codes))
-    return is_buildable(symbol) & ((use == "") | (F.upper(use) == "R_UNKNOWN") | (~within(BUILT) & within(AGRICULTURAL)))
+    return (use == "") | (F.upper(use) == "R_UNKNOWN") | (~within(BUILT) & within(AGRICULTURAL))
+
+
+def genuine_upgrade(symbol: Column, current_use: Column, case_insensitive_use: bool = False) -> Column:
+    """A buildable zone on land that is not built on; unknown use passes."""
+    return is_buildable(symbol) & open_land(current_use, case_insensitive_use)
+
+
+def enough(coverage: Column, area: Column) -> Column:
+    """Whether an overlap is large enough for a lead."""
+    return (coverage >= 30) | (area >= 500)
+
+
+def enough_hundredths(area, coverage):
+    """``enough`` of numbers of hundredths, in numpy."""
+    return (coverage >= 3000) | (area >= 50000)
 
 
 def qualifies(symbol: Column, current_use: Column, coverage: Column, area: Column, case_insensitive_use: bool = False) -> Column:
-    return genuine_upgrade(symbol, current_use, case_insensitive_use) & ((coverage >= 30) | (area >= 500))
+    return genuine_upgrade(symbol, current_use, case_insensitive_use) & enough(coverage, area)
 
 
 def delta_score(coverage: Column) -> Column:

@@ -195,7 +195,7 @@ def i1_zone_symbols(spark, sf_dir):
 @query("i5_qualified_deltas", f"{DELTAS} SELECT parcel_id, zone_id, coverage_pct, is_genuine, qualifies FROM dl")
 def i5_qualified_deltas(spark, sf_dir):
     """Deltas with the flags of genuine upgrade and lead qualification."""
-    return delta.deltas(derived(spark, sf_dir, "fx_parcels"), derived(spark, sf_dir, "fx_zones")).select("parcel_id", "zone_id", "coverage_pct", "is_genuine", "qualifies")
+    return delta.flags(derived(spark, sf_dir, "fx_parcels"), derived(spark, sf_dir, "fx_zones")).select("parcel_id", "zone_id", "coverage_pct", "is_genuine", "qualifies")
 
 
 def leads(spark, sf_dir):
