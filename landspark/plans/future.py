@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from landspark.functions import geometry as g
 from landspark.functions import planning as p
 from landspark.operators import signals as s
-from landspark.operators.spatial import dwithin_join, shared_boundary
+from landspark.operators.spatial import least_distances, shared_boundary
 
 #: The farthest distance, in metres, that any rule looks at.
 REACH = 100.0
@@ -20,15 +20,13 @@ def per_m2() -> Column:
 
 
 def heuristics(parcels: DataFrame, zones: DataFrame) -> DataFrame:
-    """Distances and contacts of each parcel, from one distance join to all zones within reach and one boundary join.
+    """Distances and contacts of each parcel, from one join for the least distances to zones within reach and one boundary join.
 
     Distances beyond the reach are null, which no rule tells from a larger number.
     """
     symbol = F.col("symbol")
-    kinds = zones.select("zone_id", p.is_buildable(symbol).alias("b"), p.is_mixed(symbol).alias("m"), p.is_road(symbol).alias("r"))
-    near = dwithin_join(parcels, zones, "parcel_id", "zone_id", REACH).join(kinds, F.col("right_id") == F.col("zone_id"))
-    least = lambda flag: F.min(F.when(F.col(flag), F.col("distance_m")))
-    found = near.groupBy(F.col("left_id").alias("parcel_id")).agg(least("b").alias("distance_to_nearest_buildable_m"), least("m").alias("distance_to_mixed_service_zone_m"), least("r").alias("distance_to_meaningful_road_m"))
+    kinds = {"distance_to_nearest_buildable_m": p.is_buildable(symbol), "distance_to_mixed_service_zone_m": p.is_mixed(symbol), "distance_to_meaningful_road_m": p.is_road(symbol)}
+    found = least_distances(parcels, zones, "parcel_id", "zone_id", REACH, kinds).withColumnRenamed("left_id", "parcel_id")
     edge = shared_boundary(parcels, zones.filter(p.is_buildable(F.col("symbol"))), "parcel_id", "zone_id").select(F.col("left_id").alias("parcel_id"), "shared_boundary_m", F.col("adjacent_pct").alias("adjacent_buildable_pct"))
     out = parcels.select("parcel_id").join(found, "parcel_id", "left").join(edge, "parcel_id", "left")
     return out.withColumn("has_road_access_signal", F.coalesce(F.col("distance_to_meaningful_road_m") <= 30, F.lit(False))).withColumn("has_urban_cluster_signal", F.coalesce(F.col("distance_to_nearest_buildable_m") <= REACH, F.lit(False)))
